@@ -6,17 +6,15 @@ permutation. Two sets of Jaccard similarity *j* agree in about a share *j* of th
 
 The index maps *(position, bytes from that position on)* to the sets having them. A posting list of
 one byte would hold 1/256 of all sets whatever their number, and tallying it would be quadratic;
-so an entry spans ``width`` neighbouring bytes, ``width`` following from the threshold, and the
-number of entries a set from the chance that a pair at the threshold shares none of them
-(``miss``). Then, for each pair met in the index:
-
-* count filter: positions whose bytes agree, over the whole signature, must reach the number that a
-  pair at the threshold reaches but for a chance of one in a million;
-* verification: the exact similarity of the two shingle sets.
+so an entry spans ``width`` neighbouring bytes, ``width`` following from the threshold. Entries
+shared are tallied for each pair of sets of compatible sizes; a pair is retained that reaches
+``MATCHES`` entries. There are so many entries that a pair at the threshold reaches this but for a
+chance of ``miss``. What is retained is verified: the exact similarity of the two shingle sets.
 
 Texts with equal sets are one set in all of this, so copies are never paired with each other. A
 posting list longer than ``long_list`` is not paired as it is: its sets are listed again under
-every pair of (that entry, another entry), which splits it among sets that also agree elsewhere.
+every pair of (that entry, another entry), which splits it among sets that also agree elsewhere, as
+the tally demands of them anyway.
 """
 
 from __future__ import annotations
@@ -36,6 +34,8 @@ from foliospark.workspace import materialize
 
 _WORD = re.compile(r"[^\W_]+")
 _MAX_CACHED_WORDS = 500_000
+#: Index entries that a retained pair shares.
+MATCHES = 2
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ class Similarity:
     words: int = 5
     threshold: float = 0.8
     least: int = 1
-    miss: float = 1e-3
+    miss: float = 2e-3
     long_list: int = 1000
     seed: int = 20_011
 
@@ -55,18 +55,16 @@ class Similarity:
 
     @property
     def entries(self) -> int:
-        return math.ceil(math.log(self.miss) / math.log(1 - self.threshold**self.width))
+        p = min(self.threshold**self.width, 0.999)
+        n = MATCHES
+        while sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(MATCHES)) > self.miss:
+            n += 1
+        return n
 
     @property
     def positions(self) -> int:
         return self.width * self.entries
 
-    @property
-    def guaranteed(self) -> int:
-        """Positions that a pair at the threshold shares but for a chance of about 1e-6."""
-        mean = self.threshold * self.positions
-        return max(self.width, math.floor(mean - 4.8 * math.sqrt(mean * (1 - self.threshold))))
-
 
 class _Shingler:
     """Word shingles of a text as a sorted array of distinct 64-bit hashes."""
@@ -132,48 +130,71 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
     return texts.mapInArrow(run, "id string, owner string, digest binary, size int, signature binary")
 
 
-def _key(digest: Column) -> Column:
-    return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("bigint")
+_SIZE = 1 << 16
 
 
 def _index(reps: DataFrame, how: Similarity) -> DataFrame:
-    """``reps(key, signature)`` to ``(entry, key)``, one row per set and index position."""
-    at = F.sequence(F.lit(0), F.lit(how.entries - 1))
-    entries = F.transform(at, lambda i: F.xxhash64(i, F.substring("signature", i * how.width + 1, F.lit(how.width))))
-    return reps.select("key", F.explode(entries).alias("entry"))
+    """``reps(key, size, signature)`` to ``(entry, set)``, one row per set and index entry.
 
+    What is shuffled most has few bytes: ``entry`` is the bytes themselves with their position while
+    one integer has room for that, and ``set`` holds the key with the size (at most 65535) behind it.
+    """
+    at = F.sequence(F.lit(0), F.lit(how.entries - 1))
 
-def candidates(reps: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs ``(a, b)`` of keys, ``a < b``, that meet in the index."""
-    lists = Window.partitionBy("entry")
-    met = materialize(
-        _index(reps, how).withColumn("many", F.count(F.lit(1)).over(lists)).filter("many > 1"), "near-index"
-    )
-    short = met.filter(F.col("many") <= how.long_list).select("entry", "key")
-    long = met.filter(F.col("many") > how.long_list).select("entry", "key")
-    split = (
-        long.join(met.select(F.col("entry").alias("other"), "key"), "key")
-        .filter("entry != other")
-        .select(F.xxhash64(F.least("entry", "other"), F.greatest("entry", "other")).alias("entry"), "key")
-        .distinct()
-    )
-    lists = short.unionByName(split)
-    left, right = lists.select("entry", F.col("key").alias("a")), lists.select("entry", F.col("key").alias("b"))
-    return left.join(right, "entry").filter("a < b").select("a", "b").distinct()
+    def entry(i: Column) -> Column:
+        part = F.substring("signature", i * how.width + 1, F.lit(how.width))
+        if how.width > 3:
+            return F.xxhash64(i, part)
+        return F.conv(F.hex(part), 16, 10).cast("bigint") + i * (1 << 24)
 
+    named = F.col("key") * _SIZE + F.least(F.col("size"), F.lit(_SIZE - 1))
+    return reps.select(named.alias("set"), F.explode(F.transform(at, entry)).alias("entry"))
 
-def _agree(how: Similarity):
-    @F.pandas_udf("int")
-    def agree(x, y):  # type: ignore[no-untyped-def]
-        import pandas as pd
 
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        left = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
-        right = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), -1)
-        return pd.Series((left == right).sum(axis=1).astype("int32"))
+def candidates(reps: DataFrame, how: Similarity, many: int) -> DataFrame:
+    """Pairs ``(a, b)`` of keys, ``a < b``, that share at least ``MATCHES`` index entries.
 
-    return agree
+    Keys are numbers below ``many``. Up to 2^31 of them a pair is tallied under a single number.
+    """
+    lists = Window.partitionBy("entry")
+    counted = _index(reps, how).withColumn("many", F.count(F.lit(1)).over(lists)).filter("many > 1")
+    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("many") / how.long_list))  # 0 for a short list
+    met = materialize(counted.groupBy("entry", "many", part.alias("part")).agg(F.sort_array(F.collect_list("set")).alias("sets")), "near-index")
+
+    def close(p: Column, q: Column) -> Column:
+        p, q = F.pmod(p, F.lit(_SIZE)), F.pmod(q, F.lit(_SIZE))
+        return F.least(p, q) >= how.threshold * F.greatest(p, q)
+
+    key = lambda c: F.shiftright(c, 16)
+    pair = [key("x") * (1 << 31) + key("y")] if many <= 1 << 31 else [key("x"), key("y")]
+    pair = [c.alias(f"p{k}") for k, c in enumerate(pair)]
+    names = [f"p{k}" for k in range(len(pair))]
+    short = (
+        met.filter(F.col("many") <= how.long_list)
+        .select("sets", F.posexplode("sets").alias("at", "x"))
+        .select("x", F.explode(F.slice("sets", F.col("at") + 2, F.greatest(F.size("sets") - F.col("at") - 1, F.lit(0)))).alias("y"))
+        .filter(close(F.col("x"), F.col("y")))
+        .select(*pair)
+    )
+    tallied = short.repartition(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MATCHES).select(*names)
+    found = tallied
+    long = met.filter(F.col("many") > how.long_list).select("entry", F.explode("sets").alias("set"))
+    if not long.isEmpty():
+        split = (
+            long.join(met.select(F.col("entry").alias("other"), F.explode("sets").alias("set")), "set")
+            .filter("entry != other")
+            .select(F.xxhash64(F.least("entry", "other"), F.greatest("entry", "other")).alias("both"), F.col("set").alias("x"))
+            .distinct()
+        )
+        again = split.join(split.select("both", F.col("x").alias("y")), "both").filter("x < y").filter(close(F.col("x"), F.col("y"))).select(*pair)
+        found = tallied.unionByName(again).distinct()
+    if len(names) == 1:
+        return found.select(F.shiftright("p0", 31).alias("a"), F.col("p0").bitwiseAND((1 << 31) - 1).alias("b"))
+    return found.select(F.col("p0").alias("a"), F.col("p1").alias("b"))
+
+
+#: Bytes kept of a shingle's hash for verification; two sets of 1000 then err by one in 10^8 pairs.
+_KEPT = 6
 
 
 def _jaccard():
@@ -183,7 +204,7 @@ def _jaccard():
 
         out = []
         for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            p, q = (_whole(side) for side in (p, q))
             common = len(np.intersect1d(p, q, assume_unique=True))
             out.append(common / max(1, len(p) + len(q) - common))
         return pd.Series(out, dtype="float64")
@@ -191,11 +212,21 @@ def _jaccard():
     return jaccard
 
 
+def _cut(members: np.ndarray) -> bytes:
+    return members.view(np.uint8).reshape(-1, 8)[:, :_KEPT].tobytes()
+
+
+def _whole(kept: bytes) -> np.ndarray:
+    out = np.zeros((len(kept) // _KEPT, 8), np.uint8)
+    out[:, :_KEPT] = np.frombuffer(kept, np.uint8).reshape(-1, _KEPT)
+    return out.view(np.uint64).ravel()
+
+
 def _members(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _Shingler(words)
         for batch in batches:
-            sets = [shingle(t).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [_cut(shingle(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
     return texts.select("key", "text").mapInArrow(run, "key bigint, shingles binary")
@@ -203,12 +234,26 @@ def _members(texts: DataFrame, words: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Near:
-    """``links(a, b, similarity)`` between sets by ``key``; ``rows(id, owner, digest, size, key)``."""
+    """``links(a, b, similarity)`` between sets by ``key``; ``rows(id, owner, key)``."""
 
     links: DataFrame
     rows: DataFrame
 
 
+def _numbered(reps: DataFrame) -> tuple[DataFrame, int]:
+    """``reps`` with ``key`` (a partition and a row in it) made a number from 0 without gaps, and how
+    many there are. To the driver comes one number a partition."""
+    part = F.shiftright("key", 33)
+    counts = reps.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    offsets, many = [], 0
+    for r in counts:
+        offsets.append((r["part"], many))
+        many += r["n"]
+    before = F.broadcast(reps.sparkSession.createDataFrame(offsets, "part bigint, offset bigint"))
+    key = F.col("key").bitwiseAND((1 << 33) - 1) + F.col("offset")
+    return reps.withColumn("part", part).join(before, "part").withColumn("key", key).drop("part", "offset"), many
+
+
 def near(texts: DataFrame, how: Similarity) -> Near:
     """The near pairs among ``texts(id, owner, text)``.
 
@@ -216,27 +261,24 @@ def near(texts: DataFrame, how: Similarity) -> Near:
     have no row and no link. Equal shingle sets share one ``key``; ``links`` holds each pair of
     different sets of a similarity of at least ``how.threshold`` once.
     """
-    rows = materialize(sketches(texts, how).dropDuplicates(["id"]).withColumn("key", _key(F.col("digest"))), "near-sketch")
-    reps = rows.groupBy("key").agg(F.min_by(F.struct("id", "size", "signature"), "id").alias("r")).select("key", "r.*")
-    pairs = candidates(reps.select("key", "signature"), how)
-    side = lambda s: reps.select(F.col("key").alias(s), F.col("signature").alias(f"sig_{s}"), F.col("size").alias(f"n_{s}"), F.col("id").alias(f"id_{s}"))
-    kept = materialize(
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(F.least("n_a", "n_b") >= how.threshold * F.greatest("n_a", "n_b"))
-        .filter(_agree(how)(F.col("sig_a"), F.col("sig_b")) >= how.guaranteed)
-        .select("a", "b", "id_a", "id_b"),
-        "near-kept",
+    sketch = materialize(sketches(texts, how), "near-sketch")
+    reps = materialize(
+        sketch.groupBy("digest").agg(F.min_by(F.struct("id", "size", "signature"), "id").alias("r")).select("digest", "r.*").withColumn("key", F.monotonically_increasing_id()),
+        "near-sets",
     )
+    reps, many = _numbered(reps)
+    rows = materialize(sketch.select("id", "owner", "digest").dropDuplicates(["id"]).join(reps.select("digest", "key"), "digest").drop("digest"), "near-rows")
+    side = lambda s: reps.select(F.col("key").alias(s), F.col("id").alias(f"id_{s}"))
+    kept = materialize(candidates(reps, how, many).join(side("a"), "a").join(side("b"), "b"), "near-kept")
     wanted = kept.select(F.col("a").alias("key"), F.col("id_a").alias("id")).unionByName(kept.select(F.col("b").alias("key"), F.col("id_b").alias("id"))).distinct()
-    sets = materialize(_members(texts.select("id", "text").join(wanted, "id").dropDuplicates(["id"]), how.words), "near-sets")
+    sets = materialize(_members(texts.select("id", "text").join(wanted, "id").dropDuplicates(["id"]), how.words), "near-shingles")
     links = (
         kept.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", _jaccard()("x", "y").alias("similarity"))
         .filter(F.col("similarity") >= how.threshold - 1e-12)
     )
-    return Near(links, rows.drop("signature"))
+    return Near(links, rows)
 
 
 def pairs(found: Near) -> DataFrame:
