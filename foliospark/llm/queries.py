@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import near_duplicates as nd
+from foliospark.llm import quality as ql
+from foliospark.llm import tokens as tk
+from foliospark.llm import tree_split as ts
+from foliospark.llm.fill import fill
+from foliospark.llm.mix import mix
 from foliospark.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +46,98 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return nd.groups(nd.near(_child_texts(spark, d), nd.Similarity())).withColumnRenamed("id", "chunk_id")
+
+
+def _to_split(spark: SparkSession, d: str) -> DataFrame:
+    limits = table(spark, d, "size_limits")
+    kind = F.concat(F.col("role"), F.lit("_chunk"))
+    texts = table(spark, d, "chunks").select(kind.alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")
+    tables = table(spark, d, "table_blocks").select(F.lit("table_block").alias("item_kind"), F.col("table_id").alias("item_id"), "table_rows")
+    sections = table(spark, d, "sections").select("doc_id", "sec_idx", "section_id").dropDuplicates(["section_id"])
+    key = F.concat_ws("\u001f", "doc_id", "sec_idx")
+    blocks = table(spark, d, "blocks").select(key.alias("item_id"), "block_id", F.col("block_order").alias("place"), "text")
+    cols = ("item_kind", "item_id", "item_tokens", "max_tokens", "overlap_tokens", "span", "lead", "text", "table_rows")
+    of_sections = ts.blocks_to_split(blocks, limits).join(sections.select(key.alias("item_id"), "section_id"), "item_id").drop("item_id").withColumnRenamed("section_id", "item_id")
+    return ts.texts_to_split(texts, limits).select(*cols).unionByName(ts.tables_to_split(tables, limits).select(*cols)).unionByName(of_sections.select(*cols))
+
+
+@query
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return ts.split(_to_split(spark, d))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).select("item_kind", "item_id").distinct()
+
+
+ORACLES["p2_found"] = r"""
+with tok as (
+  select role || '_chunk' as item_kind, chunk_id as item_id, len(regexp_extract_all(coalesce(text, ''), '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) as n from chunks
+  union all
+  select 'section', s.section_id, b.n from (
+    select doc_id, sec_idx, sum(n) as n from (
+      select distinct doc_id, sec_idx, block_id, len(regexp_extract_all(coalesce(text, ''), '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) as n from blocks
+    ) group by doc_id, sec_idx
+  ) b join (select distinct doc_id, sec_idx, section_id from sections) s using (doc_id, sec_idx)
+  union all
+  select 'table_block', table_id, list_sum(list_transform(flatten(table_rows), lambda c: len(regexp_extract_all(coalesce(c, ''), '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')))) from table_blocks
+)
+select distinct item_kind, item_id from tok join size_limits using (item_kind) where n > max_tokens
+"""
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tk.with_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text", "tokens")
+
+
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    return fill(_sizes(spark, d).select(F.col("doc_id").alias("key"), "tokens"), capacity=2048)
+
+
+@query
+def p5_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _containers(spark, d).withColumnRenamed("key", "doc_id")
+
+
+@query
+def p5_usage(spark: SparkSession, d: str) -> DataFrame:
+    bins = _containers(spark, d).filter("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("items"))
+    return bins.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("held").alias("tokens"),
+        F.max("held").alias("fullest"), F.round(F.sum("held") / (F.count(F.lit(1)) * 2048), 5).alias("used_share"),
+    )
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    plain = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    records = _sizes(spark, d).select(F.col("doc_id").alias("key"), F.array(plain(F.col("source"))).alias("sources"), "tokens")
+    return mix(records, table(spark, d, "mix_targets"))
+
+
+@query
+def p6_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].withColumnRenamed("key", "doc_id")
+
+
+@query
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "chunks").filter("role = 'child'").select(F.col("chunk_id").alias("id"), "block_type", "text")
+    labels = table(spark, d, "quality_labels").select(F.col("chunk_id").alias("id"), "annotator", "label")
+    rules, common = ql.learn(texts, labels)
+    return ql.classify(texts, "text", rules, common)
+
+
+@query
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).drop("text").withColumnRenamed("id", "chunk_id").dropDuplicates(["chunk_id"])
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    misfit = "(block_type = 'text' and kind <> 'prose') or (block_type = 'table' and kind = 'prose')"
+    return _kinds(spark, d).filter("length(text) >= 100").filter(misfit).select(F.col("id").alias("chunk_id")).distinct()
