@@ -65,7 +65,7 @@ def with_statistics(texts: DataFrame, text: str, common: list[str]) -> DataFrame
         "closed_line_share": _share(F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"[.!?:;…。]$"))).cast("double"), F.col("_many")),
         "mean_line_words": _share(F.col("_n"), F.col("_many")),
         "item_share": _share(chars_of(lambda x: x.rlike(ITEM)), F.col("_line_chars")),
-        "column_share": _share(chars_of(lambda x: marks(x) >= 2), F.col("_line_chars")),
+        "column_share": _share(chars_of(lambda x: (marks(x) >= 2) & (marks(x) * 40 >= F.length(x))), F.col("_line_chars")),
         "leader_share": _share(chars_of(lambda x: x.rlike(r"\.{4}|_{4}|-{6}|~{4}|#{6}|={4}")), F.col("_line_chars")),
         "numbered_end_share": _share(chars_of(lambda x: x.rlike(r"[\d)]\s*$")), F.col("_line_chars")),
         "separators_per_word": _share(marks(F.col("_t")).cast("double"), F.col("_n")),

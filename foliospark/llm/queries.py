@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import near_duplicates as nd
 from foliospark.llm import quality as ql
+from foliospark.llm import reading as rd
 from foliospark.llm import tokens as tk
 from foliospark.llm import tree_split as ts
 from foliospark.llm.fill import fill
@@ -141,3 +142,20 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     misfit = "(block_type = 'text' and kind <> 'prose') or (block_type = 'table' and kind = 'prose')"
     return _kinds(spark, d).filter("length(text) >= 100").filter(misfit).select(F.col("id").alias("chunk_id")).distinct()
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    plain = rd.function_words(table(spark, d, "word_list"))
+    model = rd.fit(texts, table(spark, d, "level_labels").select(F.col("doc_id").alias("id"), "level", "grader"), plain)
+    return rd.levels(texts, model, plain)
+
+
+@query
+def p7_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).filter("is_prose and level >= 4").select(F.col("id").alias("doc_id")).distinct()
