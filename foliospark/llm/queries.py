@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliospark.llm import near_duplicates as nd
 from foliospark.llm import quality as ql
 from foliospark.llm import reading as rd
+from foliospark.llm import scan_repair as sr
 from foliospark.llm import tokens as tk
 from foliospark.llm import tree_split as ts
 from foliospark.llm.fill import fill
@@ -159,3 +160,23 @@ def p7_levels(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).filter("is_prose and level >= 4").select(F.col("id").alias("doc_id")).distinct()
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "blocks")
+    sure = frozenset(r["word"] for r in table(spark, d, "word_list").filter("word is not null").collect())  # a fixed list
+    return sr.repair(blocks, sr.learn(blocks, sure))
+
+
+@query
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _repaired(spark, d).filter("text <> ''")
+    part = F.struct("page", "block_id", "text")
+    return blocks.groupBy("doc_id", "paragraph_id").agg(
+        F.min("page").alias("page"), F.count(F.lit(1)).alias("blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), " ").alias("text")
+    )
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("block_id", F.explode("noise").alias("noise")).distinct()
