@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Fixed value: the word pattern that the byte-level vocabularies here were made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,7 +45,7 @@ def count(encoder, text: str | None) -> int:  # type: ignore[no-untyped-def]
 def with_tokens(df: DataFrame, text: str, out: str, ranks_file: str = DEFAULT_RANKS) -> DataFrame:
     """``df`` without its column ``text``, with the column ``out``: tokens of it, as int."""
     kept = [c for c in df.columns if c != text]
-    schema = df.select(*kept).schema.add(out, "int")
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(out, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(ranks_file)
