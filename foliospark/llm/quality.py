@@ -16,7 +16,7 @@ from foliospark.llm.rules import induce
 
 # What starts an item of a list; vowels of the languages in Latin script.
 ITEM = r"^\s*([-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s"
-VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüãõåæøœı"
+VOWELS = "aeiouyáéíóúàèìòùâêîôûäëïöüãõåæø"
 
 STATISTICS = (
     "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "vowel_ratio", "closed_line_share", "mean_line_words", "item_share",
@@ -41,34 +41,38 @@ def with_statistics(texts: DataFrame, text: str, common: list[str]) -> DataFrame
         "_lines": F.filter(F.split(t, r"[\r\n]+"), lambda x: F.trim(x) != ""),
         "_tokens": F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""),
     })
+    rest = lambda pattern, of="_t": F.length(F.regexp_replace(of, pattern, "")).cast("double")
     counted = base.withColumns({
         "_distinct": F.array_distinct("_words"),
         "_n": F.size("_tokens").cast("double"),
-        "_letters": F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)).cast("double"),
-        "_chars": F.aggregate("_tokens", F.lit(0), lambda a, w: a + F.length(w)).cast("double"),
-        "_digits": (F.length("_t") - F.length(F.translate("_t", "0123456789", ""))).cast("double"),
-        "_vowels": (F.length("_t") - F.length(F.translate(F.lower("_t"), VOWELS, ""))).cast("double"),
-        "_latin": F.regexp_count("_t", F.lit(r"[A-Za-zÀ-ɏ]")).cast("double"),
+        # characters are counted by removing the runs of all others: few matches in most texts
+        "_chars": rest(r"(?U)\s+"),
+        "_symbols": rest(r"(?U)[\p{L}\p{M}0-9\s]+"),
+        "_digits": rest("[^0-9]+"),
+        "_vowels": rest(f"[^{VOWELS}{VOWELS.upper()}]+"),
+        "_foreign": rest(r"[\P{L}A-Za-zÀ-ɏ]+"),
         "_line_chars": F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x)).cast("double"),
         "_many": F.size("_lines").cast("double"),
     })
     chars_of = lambda holds: F.aggregate("_lines", F.lit(0), lambda a, x: a + F.when(holds(x), F.length(x)).otherwise(0)).cast("double")
     count = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("double")
-    marks = lambda x: F.length(x) - F.length(F.translate(x, "|\t;", ""))
+    marks = lambda x: F.regexp_count(x, F.lit(r"[|\t;]"))
+    letters = F.col("_chars") - F.col("_symbols") - F.col("_digits")
+    latin = letters - F.col("_foreign")
     out = counted.withColumns({
         "n_words": F.col("_n"),
         "mean_word_length": _share(F.col("_chars"), F.col("_n")),
-        "symbol_ratio": _share(F.col("_chars") - F.col("_letters") - F.col("_digits"), F.col("_chars")),
+        "symbol_ratio": _share(F.col("_symbols"), F.col("_chars")),
         "digit_ratio": _share(F.col("_digits"), F.col("_chars")),
         # of letters in Latin script; texts that are mostly in others count as natural
-        "vowel_ratio": F.when(F.col("_latin") * 2 > F.col("_letters"), F.col("_vowels") / F.col("_latin")).otherwise(F.lit(0.4)),
+        "vowel_ratio": F.when(latin * 2 > letters, F.col("_vowels") / latin).otherwise(F.lit(0.4)),
         "closed_line_share": _share(F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"[.!?:;…。]$"))).cast("double"), F.col("_many")),
         "mean_line_words": _share(F.col("_n"), F.col("_many")),
         "item_share": _share(chars_of(lambda x: x.rlike(ITEM)), F.col("_line_chars")),
         "column_share": _share(chars_of(lambda x: (marks(x) >= 2) & (marks(x) * 40 >= F.length(x))), F.col("_line_chars")),
         "leader_share": _share(chars_of(lambda x: x.rlike(r"\.{4}|_{4}|-{6}|~{4}|#{6}|={4}")), F.col("_line_chars")),
         "numbered_end_share": _share(chars_of(lambda x: x.rlike(r"[\d)]\s*$")), F.col("_line_chars")),
-        "separators_per_word": _share(marks(F.col("_t")).cast("double"), F.col("_n")),
+        "separators_per_word": _share(rest(r"[^|\t;]+"), F.col("_n")),
         "markup_per_word": _share(count(r"</?[A-Za-z]|[{}\[\]=]|&[a-z]+;"), F.col("_n")),
         "long_word_share": _share(F.size(F.filter("_tokens", lambda w: F.length(w) > 24)).cast("double"), F.col("_n")),
         "distinct_share": _share(F.size("_distinct").cast("double"), F.size("_words").cast("double")),
@@ -76,7 +80,7 @@ def with_statistics(texts: DataFrame, text: str, common: list[str]) -> DataFrame
         "sentence_ends_per_word": _share(count(r"\p{L}{2}[)\"'”]?[.!?…](?=\s|$)"), F.col("_n")),
         "number_word_share": _share(F.size(F.filter("_tokens", lambda w: w.rlike(r"\d"))).cast("double"), F.col("_n")),
     })
-    return out.drop("_t", "_words", "_lines", "_tokens", "_distinct", "_n", "_letters", "_chars", "_digits", "_vowels", "_latin", "_line_chars", "_many")
+    return out.drop("_t", "_words", "_lines", "_tokens", "_distinct", "_n", "_chars", "_symbols", "_digits", "_vowels", "_foreign", "_line_chars", "_many")
 
 
 def labelled(texts: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
