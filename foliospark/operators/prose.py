@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.config import Settings
 from foliospark.functions import folds
 from foliospark.functions import text as t
+from foliospark.workspace import materialize
 
 Splitter = Callable[[DataFrame, Settings], DataFrame]
 
@@ -131,8 +132,8 @@ def chunks(docs: DataFrame, sections: DataFrame, blocks: DataFrame, tables: Data
     """All chunks of prose documents: parents, children, table children, and for documents with a
     table in a section without text a synthetic root: ``(doc_id, chunk_id, parent_id, role,
     block_type, text, section_path, page, token_count, metadata, chunk_seq)``."""
-    up = parents(sections, blocks, cfg)
-    texts = pieces(up, splitter, cfg).join(up.select(F.col("chunk_id").alias("parent_id"), "doc_id", "sec_idx", "part", "section_path", "page"), "parent_id")
+    up = materialize(parents(sections, blocks, cfg), "prose-parents")
+    texts = materialize(pieces(up, splitter, cfg), "prose-pieces").join(up.select(F.col("chunk_id").alias("parent_id"), "doc_id", "sec_idx", "part", "section_path", "page"), "parent_id")
     texts = texts.withColumn("k", F.row_number().over(Window.partitionBy("parent_id").orderBy("at"))).select(
         "doc_id", "sec_idx", F.lit(False).alias("is_table"), F.col("part").alias("a"), F.col("k").alias("b"), "parent_id", "section_path", "page", "text", F.lit(None).cast("string").alias("metadata")
     )
@@ -145,6 +146,7 @@ def chunks(docs: DataFrame, sections: DataFrame, blocks: DataFrame, tables: Data
         "doc_id", "sec_idx", F.lit(True).alias("is_table"), F.col("tbl_seq").alias("a"), F.col("part").alias("b"), F.coalesce("parent_id", "root_id").alias("parent_id"),
         path.alias("section_path"), "page", "text", F.to_json(F.struct("table_id")).alias("metadata"),
     )
+    tabs = materialize(tabs, "table-pieces")
     roots = tabs.join(root, (tabs["parent_id"] == root["root_id"]) & (tabs["doc_id"] == root["doc_id"]), "left_semi").select("doc_id").distinct().join(root, "doc_id")
     order = Window.partitionBy("doc_id").orderBy(F.col("sec_idx").asc_nulls_last(), "is_table", "a", "b")
     down = texts.unionByName(tabs).withColumn("ordinal", F.row_number().over(order) - 1)

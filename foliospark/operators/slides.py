@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.config import Settings
 from foliospark.functions import text as t
 from foliospark.operators import prose
+from foliospark.workspace import materialize
 
 Splitter = prose.Splitter
 
@@ -58,7 +59,7 @@ def chunks(sections: DataFrame, blocks: DataFrame, splitter: Splitter = prose.by
     """Parents and children of decks: ``(doc_id, chunk_id, parent_id, role, block_type, text,
     section_path, slide_number, token_count, chunk_seq)``. A slide above ``max_child_tokens`` is split
     by ``splitter`` only, so pieces may stay above it."""
-    deck = windows(slides(sections, blocks), cfg.slide_window)
+    deck = materialize(windows(slides(sections, blocks), cfg.slide_window), "slide-windows")
     texts = parent_texts(deck)
     up = parents(texts)
     link = texts.withColumn("h", F.sha2("parent_text", 256)).join(up.select("doc_id", "h", F.col("chunk_id").alias("parent_id")), ["doc_id", "h"]).select("doc_id", "i", "parent_id")

@@ -51,6 +51,7 @@ def chunk_elements(docs: DataFrame, elements: DataFrame, cfg: Settings = Setting
     else:
         rebuilt = None
         known = ladder.strategy(known, cfg)
+    known = materialize(known, "strategies")  # each table below is read several times
     of = lambda df, *names: df.join(known.filter(F.col("parent_strategy").isin(*names)).select("doc_id"), "doc_id", "left_semi")
     built = [sections.by_headings(of(elements, "HEADING")), sections.by_pages(of(elements, "PAGE"), cfg), sections.flat(of(elements, "FLAT"))]
     if rebuilt is not None:
@@ -59,11 +60,13 @@ def chunk_elements(docs: DataFrame, elements: DataFrame, cfg: Settings = Setting
     every = parts[0]
     for p in parts[1:]:
         every = sections.Parts(every.sections.unionByName(p.sections), every.blocks.unionByName(p.blocks), every.tables.unionByName(p.tables))
+    every = sections.Parts(*[materialize(x, "section-parts") for x in (every.sections, every.blocks, every.tables)])
     text = _shaped(prose.chunks(of(docs, "HEADING", "PAGE", "FLAT", "LLM_INFERRED"), every.sections, every.blocks, every.tables, splitter, cfg), docs)
     deck = sections.by_slides(of(elements, "SLIDE"), of(docs, "SLIDE"))
+    deck = sections.Parts(materialize(deck.sections, "slides"), materialize(deck.blocks, "slide-blocks"), deck.tables)
     shown = _shaped(slides.chunks(deck.sections, deck.blocks, splitter, cfg), docs)
     empty = slides.slides(deck.sections, deck.blocks).groupBy("doc_id").agg(F.count_if("empty").cast("int").alias("empty_slides"))
-    return known.join(empty, "doc_id", "left"), text.unionByName(shown)
+    return known.join(empty, "doc_id", "left"), materialize(text, "text-chunks").unionByName(materialize(shown, "slide-chunks"))
 
 
 _SECTION = ("doc_id", "sec_idx", "section_id", "heading", "level", "section_path", "page_start", "page_end")
@@ -75,13 +78,13 @@ def ingest(found: DataFrame, cfg: Settings = Settings(), registry: Registry = RE
     """``found`` from ``files.scan`` to documents, chunks and results. Every file gives a result; what
     goes wrong with one stays with it."""
     decoded = materialize(files.decode(found, registry), "decoded-files")
-    items = files.elements(decoded)
-    gated = ladder.quality_gate(items, files.documents(decoded), cfg)
+    items = materialize(files.elements(decoded), "elements")
+    gated = materialize(ladder.quality_gate(items, files.documents(decoded), cfg), "documents")
     good = gated.filter("error is null")
     splitter = semantic.splitter(embed) if embed is not None else prose.by_size
     laid = good.filter(F.col("file_type").isin("pdf", "docx", "pptx"))
     known, written = chunk_elements(laid, items.join(laid.select("doc_id"), "doc_id", "left_semi"), cfg, splitter, classify)
-    rows, heads = sheets.from_grid(files.grids(decoded), cfg)
+    rows, heads = (materialize(x, "sheets") for x in sheets.from_grid(files.grids(decoded), cfg))
     tabular = _shaped(sheets.chunks(rows, heads, cfg), good)
     chunks = materialize(written.unionByName(tabular), "ingested-chunks")
     flags = sheets.profile(rows, heads, cfg).groupBy("doc_id").agg(F.bool_or("guarded").alias("guarded"), F.bool_or("sparse_sheet").alias("sparse_sheet"))
