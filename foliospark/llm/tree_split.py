@@ -75,19 +75,19 @@ def _strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def _pack(first: int, last: int, level: int, strength: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Token range [first, last) as ranges of at most ``limit`` tokens."""
-    if last - first <= limit:
+def _pack(first: int, last: int, level: int, strength: np.ndarray, limit: int, more: int = 0) -> list[tuple[int, int]]:
+    """Token range [first, last) as ranges of at most ``limit`` tokens, the first of ``limit + more``."""
+    if last - first <= limit + more:
         return [(first, last)]
     if level == 0:
-        return [(at, min(at + limit, last)) for at in range(first, last, limit)]
+        return [(first, first + limit + more), *((at, min(at + limit, last)) for at in range(first + limit + more, last, limit))]
     cuts = (np.flatnonzero(strength[first + 1 : last] >= level) + first + 1).tolist()
     if not cuts:
-        return _pack(first, last, level - 1, strength, limit)
+        return _pack(first, last, level - 1, strength, limit, more)
     out: list[tuple[int, int]] = []
     for a, b in zip([first, *cuts], [*cuts, last]):
-        for piece in _pack(a, b, level - 1, strength, limit):
-            if out and piece[1] - out[-1][0] <= limit:
+        for piece in _pack(a, b, level - 1, strength, limit, more if a == first else 0):
+            if out and piece[1] - out[-1][0] <= limit + (more if len(out) == 1 else 0):
                 out[-1] = (out[-1][0], piece[1])
             else:
                 out.append(piece)
@@ -114,9 +114,8 @@ def split_text(text: str | None, limit: int, overlap: int, lead: str = "") -> li
         spans = [(a - start, b - start) for a, b in before] + [(a + shift, b + shift) for a, b in spans]
     skip = len(before)
     strength = _strengths(text, spans)
-    room = limit if len(spans) - skip <= limit - skip else limit - overlap
     out = []
-    for a, b in _pack(skip, len(spans), len(CUTS) - 1, strength, room):
+    for a, b in _pack(skip, len(spans), len(CUTS) - 1, strength, limit - overlap, overlap - skip):
         shared = min(overlap, a)
         out.append((text[spans[a - shared][0] : spans[b - 1][1]], b - a + shared, shared, CUTS[strength[a]] if a else "start"))
     return out
