@@ -46,7 +46,7 @@ class Settings:
     enable_embedding_cache: bool = True
     cache_dir: str = ".ingest_cache"
     offline: bool = False
-    #: not among the reference's settings, but fixed there
+    # thresholds of sheets and ways of merging
     headerless_share: float = 0.5
     sparse_share: float = 0.4
     sample_rows: int = 3

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions import tokens
+
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 LINES = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 SEPARATOR = "\u001f"
@@ -27,8 +29,8 @@ def split_lines(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words between ASCII white space: the additive counter, 0 for null or empty text."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    """Tokens by the configured counter, by default words between ASCII white space; 0 for null."""
+    return tokens.count(text)
 
 
 def sha16(*parts: Column) -> Column:

@@ -58,6 +58,33 @@ def candidates(elements: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     return kept.select("doc_id", F.concat(F.lit("L"), number.cast("string")).alias("line_id"), "seq", "line", "text", "page", "before", "after")
 
 
+#: What a language model is asked; candidates follow as a JSON array.
+PROMPT = (
+    "Below are lines of a document as a JSON array, each with the lines before and after it. Say which are headings of sections and how deep. "
+    "Answer with a JSON array of objects with line_id, is_heading and level (1 to 4), and nothing else.\n\n"
+)
+
+
+def asking(call: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A classifier of a Python function from prompt to answer, run on executors; whatever goes wrong
+    in it is no answer."""
+
+    def classify(payload: Column) -> Column:
+        @F.pandas_udf("string")
+        def run(s):  # type: ignore[no-untyped-def]
+            def ask(x: str | None) -> str | None:
+                try:
+                    return call(PROMPT + x) if x else None
+                except Exception:  # noqa: BLE001 - documents without an answer go on by pages
+                    return None
+
+            return s.map(ask)
+
+        return run(payload)
+
+    return classify
+
+
 def confirmed(lines: DataFrame, classify: Callable[[Column], Column], cfg: Settings = Settings()) -> DataFrame:
     """``(doc_id, seq, line, level)`` of candidates that ``classify`` confirms.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.config import Settings
 from foliospark.functions import folds
 from foliospark.functions import text as t
+from foliospark.functions import tokens
 from foliospark.workspace import materialize
 
 Splitter = Callable[[DataFrame, Settings], DataFrame]
@@ -28,7 +29,7 @@ def paragraph_parts(texts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``texts(doc_id, sec_idx, text)`` to ``(…, part, parts, text)``: paragraphs packed up to
     ``max_parent_tokens``; a paragraph is never split, however large."""
     split = texts.withColumn("paras", F.filter(F.split("text", "\n\n"), lambda p: ~t.is_blank(p))).filter(F.size("paras") > 0)
-    packed = split.withColumn("sizes", F.transform("paras", lambda p: t.token_count(p).cast("bigint"))).withColumn("ids", folds.pack_before("sizes", cfg.max_parent_tokens))
+    packed = split.withColumn("sizes", tokens.counts(F.col("paras"))).withColumn("ids", folds.pack_before("sizes", cfg.max_parent_tokens))
     zipped = packed.withColumn("z", F.arrays_zip("paras", "ids")).withColumn("parts", F.element_at("ids", -1) + 1)
     each = zipped.select("doc_id", "sec_idx", "parts", "z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     mine = F.filter("z", lambda x: x["ids"] == F.col("part"))
@@ -44,7 +45,7 @@ def merge_pieces(pieces: DataFrame, keys: list[str], least: int) -> DataFrame:
     """``pieces(keys…, at, text)`` to the same with small neighbours merged by line breaks, blank
     pieces left out, ``at`` renumbered."""
     kept = pieces.filter(~t.is_blank(F.col("text"))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
-    sized = kept.withColumn("sizes", F.transform("p", lambda x: t.token_count(x["text"]).cast("bigint"))).withColumn("ids", folds.merge_small("sizes", least))
+    sized = kept.withColumn("sizes", tokens.counts(F.transform("p", lambda x: x["text"]))).withColumn("ids", folds.merge_small("sizes", least))
     each = sized.select(*keys, F.explode(F.arrays_zip("p", "ids")).alias("z")).select(*keys, F.col("z.ids").alias("g"), "z.p.at", "z.p.text")
     merged = each.groupBy(*keys, F.col("g").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("l"))
     return merged.select(*keys, "at", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
@@ -54,9 +55,11 @@ def recursive_split(text: Column, limit: int) -> Column:
     """Pieces of at most ``limit`` tokens: at blank lines, lines, then blanks; neighbours are packed
     again while they fit. Text within the limit is one piece.
 
-    The counter is additive, so each level is a fold over sizes, and a piece that still is too large
-    goes on to the next separator.
+    The native counter is additive, so each level is a fold over sizes, and a piece that still is too
+    large goes on to the next separator; other counters do the same in Python.
     """
+    if not tokens.is_native():
+        return _recursive_udf(text, limit)
 
     def at(parts: Column, glue: str) -> Column:
         empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).cast("bigint").alias("n"))
@@ -77,6 +80,33 @@ def recursive_split(text: Column, limit: int) -> Column:
     return F.when(small(text), F.array(text)).otherwise(F.flatten(F.transform(at(F.split(text, "\n\n"), "\n\n"), lines)))
 
 
+def split_recursively(text: str, limit: int, of: Callable[[str], int], separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """The same in Python, for any counter; a word above the limit is cut between characters."""
+    if of(text) <= limit or not separators:
+        return [text]
+    glue, rest = separators[0], separators[1:]
+    out: list[str] = []
+    for part in text.split(glue) if glue else list(text):
+        if not part.strip():
+            continue
+        if out and of(out[-1] + glue + part) <= limit:
+            out[-1] += glue + part
+        else:
+            out.append(part)
+    return [x for piece in out for x in (split_recursively(piece, limit, of, rest) if of(piece) > limit else [piece])]
+
+
+def _recursive_udf(text: Column, limit: int) -> Column:
+    name, file = tokens.active()
+
+    @F.pandas_udf("array<string>")
+    def run(s):  # type: ignore[no-untyped-def]
+        of = tokens.counter(name, file)
+        return s.map(lambda x: None if x is None else split_recursively(x, limit, of))
+
+    return run(text)
+
+
 def by_size(parents: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """A splitter without embeddings: sentences, each a piece."""
     return parents.select("parent_id", F.posexplode(sentences(F.col("text"))).alias("at", "text"))
@@ -118,9 +148,9 @@ def table_pieces(tables: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     whole = sized.filter(fits).select("table_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.lit(False).alias("split"), F.col("_whole").alias("text"))
     head = F.slice("rows", 1, 1)
     width = t.widest(F.col("rows"))
-    line = lambda r: t.token_count(t.markdown_row(t.pad(r, width))).cast("bigint")
-    large = sized.filter(~fits).withColumns({"head": head, "body": F.slice("rows", 2, F.size("rows") - 1), "_headsize": line(F.col("rows")[0]) + width + width + 1})
-    large = large.withColumn("room", F.lit(cfg.max_child_tokens) - F.col("_headsize")).withColumn("sizes", F.transform("body", line)).withColumn("ids", folds.pack_before("sizes", "room"))
+    line = lambda r: t.markdown_row(t.pad(r, width))
+    large = sized.filter(~fits).withColumns({"head": head, "body": F.slice("rows", 2, F.size("rows") - 1), "_headsize": t.token_count(line(F.col("rows")[0])) + width + width + 1})
+    large = large.withColumn("room", F.lit(cfg.max_child_tokens) - F.col("_headsize")).withColumn("sizes", tokens.counts(F.transform("body", line))).withColumn("ids", folds.pack_before("sizes", "room"))
     parts = F.greatest(F.coalesce(F.array_max("ids"), F.lit(0)) + 1, F.lit(1))
     each = large.withColumn("parts", parts).withColumn("z", F.arrays_zip("body", "ids")).select("table_id", "caption", "head", "parts", "z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     mine = F.transform(F.filter("z", lambda x: x["ids"] == F.col("part")), lambda x: x["body"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliospark.config import Settings
 from foliospark.functions import folds
 from foliospark.functions import text as t
+from foliospark.functions import tokens
 from foliospark.workspace import materialize
 
 KEY = ["doc_id", "sheet_idx", "sheet_name"]
@@ -120,7 +121,7 @@ def batches(rows: DataFrame, heads: DataFrame, cfg: Settings = Settings()) -> Da
     packed = (
         lines.groupBy(*KEY)
         .agg(F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("items"))
-        .withColumn("sizes", F.transform("items", lambda x: t.token_count(x["line"]).cast("bigint")))
+        .withColumn("sizes", tokens.counts(F.transform("items", lambda x: x["line"])))
         .withColumn("ids", folds.pack_after("sizes", cfg.row_batch_target_tokens, cfg.max_rows_per_chunk))
     )
     each = packed.select(*KEY, F.explode(F.arrays_zip("items", "ids")).alias("z")).select(*KEY, "z.ids", "z.items.row_idx", "z.items.line")

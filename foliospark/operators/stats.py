@@ -46,6 +46,11 @@ def results(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def report(of: DataFrame) -> DataFrame:
+    """``results`` as an overview, by file type and address."""
+    return of.select("file_type", "source_uri", "status", "parent_count", "child_count", "total_tokens", "parent_strategy", F.array_join("warnings", "; ").alias("warnings")).orderBy("file_type", "source_uri")
+
+
 def orphans(chunks: DataFrame) -> DataFrame:
     """Children whose parent isn't there."""
     children = chunks.filter("role = 'child'")
