@@ -180,3 +180,34 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d).select("block_id", F.explode("noise").alias("noise")).distinct()
+
+
+@query
+def p4_chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk.text repaired with the lexicon of the blocks; chunks of a document in their order."""
+    sure = frozenset(r["word"] for r in table(spark, d, "word_list").filter("word is not null").collect())
+    lexicon = sr.learn(table(spark, d, "blocks"), sure)
+    chunks = table(spark, d, "chunks").filter("role = 'child' and block_type = 'text'")
+    rows = chunks.select("doc_id", F.floor(F.col("chunk_seq") / 8).cast("int").alias("sec_idx"), F.col("chunk_id").alias("block_id"), F.col("chunk_seq").alias("block_order"), "page", "text")
+    return sr.repair(rows, lexicon).select(F.col("block_id").alias("chunk_id"), "noise", "text")
+
+
+@query
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The plain statistics of each child chunk; common words are those of word_list."""
+    words = [r["word"] for r in table(spark, d, "word_list").filter("word is not null").orderBy("word_rank", "word").collect()]  # a fixed list
+    texts = table(spark, d, "chunks").filter("role = 'child'").select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    of = ql.with_statistics(texts, "text", words)
+    return of.select("chunk_id", F.col("n_words").cast("bigint").alias("n_words"), *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "closed_line_share", "common_share")])
+
+
+_WHITE = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ORACLES["p3_statistics"] = rf"""
+with c as (select distinct on (chunk_id) chunk_id, coalesce(text, '') as t from chunks where role = 'child'),
+s as (select *, len(regexp_extract_all(t, '[^{_WHITE}]+')) as n, length(regexp_replace(t, '[{_WHITE}]+', '', 'g')) as ch, length(regexp_replace(t, '[\p{{L}}\p{{M}}0-9{_WHITE}]+', '', 'g')) as sy,
+  list_filter(string_split_regex(t, '[\r\n]+'), lambda x: trim(x, ' ') <> '') as ls, list_distinct(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{M}}]+'), lambda x: x <> '')) as ws from c),
+w as (select list(distinct word) as known from word_list)
+select chunk_id, n as n_words, round(case when n > 0 then ch / n else 0 end, 6) as mean_word_length, round(case when ch > 0 then sy / ch else 0 end, 6) as symbol_ratio,
+  round(case when len(ls) > 0 then len(list_filter(ls, lambda x: regexp_matches(rtrim(x, ' '), '[.!?:;…。]$'))) / len(ls) else 0 end, 6) as closed_line_share,
+  round(case when len(ws) > 0 then len(list_intersect(ws, known)) / len(ws) else 0 end, 6) as common_share from s, w
+"""
