@@ -223,6 +223,63 @@ def strategy_ladder(spark: SparkSession, d: str) -> DataFrame:
     return ladder.strategy(ladder.evidence(elements, docs)).select("doc_id", "headings", "heading_coverage", "parent_strategy")
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as elements; markdown headings are headings."""
+    none = F.lit(None)
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(t.split_lines(F.col("text"))).alias("seq", "raw")).filter("raw is not null")
+    head = F.col("raw").rlike(r"^#{1,6}[ \t]+\S")
+    return lines.select(
+        "doc_id", "seq", F.when(head, "heading").otherwise("text").alias("kind"), F.when(head, F.regexp_replace("raw", r"^#{1,6}[ \t]+", "")).otherwise(F.col("raw")).alias("text"),
+        none.cast("int").alias("page"), none.cast("int").alias("end_page"), F.when(head, F.length(F.regexp_extract("raw", "^(#+)", 1))).alias("level"), F.lit(False).alias("is_page_start"),
+        none.cast("array<array<string>>").alias("table_rows"), none.cast("string").alias("table_markdown"), none.cast("string").alias("caption"),
+    )
+
+
+_LINES = rf"""
+l0 as (select doc_id, string_split_regex(text, '\r\n|[\n\x{{0b}}\x{{0c}}\r\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]') as x from documents where text is not null),
+l1 as (select doc_id, unnest(case when x[-1] = '' then x[:-2] else x end) as raw, generate_subscripts(case when x[-1] = '' then x[:-2] else x end, 1) - 1 as seq from l0),
+l2 as (select *, regexp_matches(raw, '^#{{1,6}}[ \t]+\S') as head from l1),
+l as (select *, length(regexp_extract(raw, '^(#+)', 1)) as level, {_strip("regexp_replace(raw, '^#{1,6}[ \\t]+', '')")} as x, cast(sum(cast(head as integer)) over (partition by doc_id order by seq) as integer) as sec_idx from l2)
+"""
+
+
+@query(
+    f"""with {_LINES}, hs as (select doc_id, sec_idx, level, x from l where head),
+    ends as (select a.doc_id, a.sec_idx, a.level, any_value(a.x) as x, min(b.sec_idx) as e from hs a left join hs b on a.doc_id = b.doc_id and b.sec_idx > a.sec_idx and b.level <= a.level group by all),
+    path as (select i.doc_id, i.sec_idx, any_value(i.x) as heading, any_value(i.level) as level, string_agg(j.x, ' > ' order by j.sec_idx) as path from hs i join ends j on i.doc_id = j.doc_id and j.sec_idx <= i.sec_idx and (j.e is null or j.e > i.sec_idx) group by i.doc_id, i.sec_idx),
+    b as (select doc_id, sec_idx, count(*) as blocks from l where not head and {_strip("raw")} <> '' group by all),
+    root as (select doc_id, 0 as sec_idx, null as heading, 0 as level, '' as path from l group by doc_id having not bool_or(head) or bool_or(sec_idx = 0 and {_strip("raw")} <> ''))
+    select s.*, coalesce(blocks, 0) as blocks from (select doc_id, sec_idx, heading, cast(level as integer) as level, path from path union all select * from root) s left join b using (doc_id, sec_idx)"""
+)
+def line_sections(spark: SparkSession, d: str) -> DataFrame:
+    from foliospark.operators import sections
+
+    parts = sections.by_headings(_lines(spark, d))
+    blocks = parts.blocks.groupBy("doc_id", "sec_idx").agg(F.count(F.lit(1)).alias("blocks"))
+    return parts.sections.join(blocks, ["doc_id", "sec_idx"], "left").select("doc_id", "sec_idx", "heading", "level", F.array_join("section_path", t.PATH).alias("path"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+@query(
+    f"""with {_HEADS}, f as (select doc_id, count(distinct page_start) as p from heads group by doc_id)
+    select doc_id, case when coalesce(page_count, 0) > 0 then coalesce(p, 0) / page_count else 1.0 end as coverage from (select distinct doc_id, page_count from docs) d left join f using (doc_id)"""
+)
+def section_coverage(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "docs").select("doc_id", "page_count").distinct()
+    return ladder.section_coverage(_headings(spark, d), docs)
+
+
+@query(
+    """with b as (select distinct on (block_id) block_id, doc_id, page, sec_idx, block_order from blocks)
+    select block_id, page is not null and row_number() over (partition by doc_id, page order by sec_idx, block_order, block_id) = 1 as is_page_start from b"""
+)
+def page_starts(spark: SparkSession, d: str) -> DataFrame:
+    from foliospark.sources import files
+
+    blocks = table(spark, d, "blocks").dropDuplicates(["block_id"])
+    items = blocks.select("block_id", "doc_id", "page", F.lit("text").alias("kind"), F.lit(False).alias("is_page_start"), F.struct("sec_idx", "block_order", "block_id").alias("seq"))
+    return files.with_page_starts(items).select("block_id", "is_page_start")
+
+
 _PAGES = f"""
 b as (select distinct block_id, doc_id, coalesce(page, 1) as page, text from blocks),
 bp as (select doc_id, page, sum({_tokens("text")}) as n from b where {_strip("text")} <> '' group by all),
@@ -297,6 +354,25 @@ def paragraph_parents(spark: SparkSession, d: str) -> DataFrame:
     return prose.paragraph_parts(prose.section_texts(_blocks(spark, d))).select("doc_id", "sec_idx", "part", "parts", F.sha2("text", 256).alias("text_hash"))
 
 
+@query(
+    f"""with recursive b as (select distinct block_id, doc_id, sec_idx, block_order, seq, text from blocks where {_strip("text")} <> ''),
+    j as (select doc_id, sec_idx, string_agg(text, chr(10) || chr(10) order by block_order, seq, text) as text from b group by all),
+    p as (select doc_id, sec_idx, list_filter(string_split(text, chr(10) || chr(10)), lambda x: {_strip("x")} <> '') as ps from j),
+    u as (select doc_id, sec_idx, unnest(ps) as para, generate_subscripts(ps, 1) as i from p), s as (select *, {_tokens("para")} as n from u),
+    walk as (select doc_id, sec_idx, i, para, 0 as g, cast(n as bigint) as tk from s where i = 1
+      union all select s.doc_id, s.sec_idx, s.i, s.para, case when w.tk + s.n <= 3000 then w.g else w.g + 1 end, case when w.tk + s.n <= 3000 then w.tk + s.n else s.n end
+      from walk w join s on s.doc_id = w.doc_id and s.sec_idx = w.sec_idx and s.i = w.i + 1),
+    parts as (select doc_id, sec_idx, g, string_agg(para, chr(10) || chr(10) order by i) as text from walk group by all),
+    k as (select *, max(g) over (partition by doc_id, sec_idx) + 1 as m, row_number() over (partition by doc_id order by sec_idx, g) - 1 as ordinal from parts),
+    q as (select k.*, s.section_path as sp, ' (part ' || (g + 1) || '/' || m || ')' as mark from k join (select distinct on (section_id) doc_id, sec_idx, section_path from sections) s using (doc_id, sec_idx)),
+    f as (select *, case when m = 1 then array_to_string(sp, ' > ') when len(sp) > 0 then array_to_string(sp, ' > ') || mark else trim(mark) end as path from q)
+    select doc_id, cast(ordinal as integer) as ordinal, path, substr(sha256(concat_ws(chr(31), doc_id, path, 'parent', cast(ordinal as varchar), text)), 1, 16) as chunk_id, {_tokens("text")} as token_count from f"""
+)
+def prose_parents(spark: SparkSession, d: str) -> DataFrame:
+    sections = table(spark, d, "sections").dropDuplicates(["section_id"])
+    return prose.parents(sections, _blocks(spark, d)).select("doc_id", "ordinal", F.array_join("section_path", t.PATH).alias("path"), "chunk_id", "token_count")
+
+
 @query(
     rf"""with recursive s0 as (select doc_id, string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(30), 'g'), chr(30)) as x from documents where text is not null),
     s1 as (select doc_id, list_filter(x, lambda y: {_strip("y")} <> '') as x from s0), s2 as (select doc_id, unnest(x) as p, generate_subscripts(x, 1) as i from s1), s as (select *, {_tokens("p")} as n from s2),
@@ -381,6 +457,20 @@ def slide_parents(spark: SparkSession, d: str) -> DataFrame:
     return slides.parents(slides.parent_texts(_deck(spark, d))).select("doc_id", "ordinal", "chunk_id")
 
 
+@query(
+    f"""with {_DECK}, f as (select doc_id, parent_text, min(i) as i from p group by all),
+    up as (select doc_id, parent_text, substr(sha256(concat_ws(chr(31), doc_id, 'slide-window', 'parent', cast(row_number() over (partition by doc_id order by i) - 1 as varchar), parent_text)), 1, 16) as parent_id from f)
+    select w.doc_id, cast(w.i as integer) as ordinal, parent_id, substr(sha256(concat_ws(chr(31), w.doc_id, array_to_string(sp, ' > '), 'child', cast(w.i as varchar), text)), 1, 16) as chunk_id
+    from w join p using (doc_id, i) join up using (doc_id, parent_text) join (select distinct on (section_id) doc_id, sec_idx, section_path as sp from sections) s using (doc_id, sec_idx)"""
+)
+def slide_children(spark: SparkSession, d: str) -> DataFrame:
+    decks = table(spark, d, "docs").filter("file_type = 'pptx'").select("doc_id").distinct()
+    own = lambda df: df.join(decks, "doc_id", "left_semi")
+    got = slides.chunks(own(table(spark, d, "sections").dropDuplicates(["section_id"])), own(_blocks(spark, d)))
+    first = Window.partitionBy("doc_id").orderBy("chunk_seq")
+    return got.filter("role = 'child'").select("doc_id", (F.row_number().over(first) - 1).alias("ordinal"), "parent_id", "chunk_id")
+
+
 # --- meaning -----------------------------------------------------------------------------------------
 
 
