@@ -1,25 +1,29 @@
-"""Shared-folder checkpoints: intermediate tables that survive the loss of an executor."""
+"""Shared-folder tables: intermediate results that survive the loss of an executor."""
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     On a cluster it is what ``spark.checkpoint.dir`` names. Only where that is unset (tests, a
-    single machine) is a temporary folder of our own put there.
+    single machine) is a temporary folder of our own put there, and removed when Python ends.
     """
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="folio-")
+        own = tempfile.mkdtemp(prefix="folio-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set(_KEY, named)
     return named.rstrip("/")
 
@@ -27,19 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back, cutting its lineage.
 
-    The table is removed when the driver's Python ends.
+    The table stays until ``clear``, as plans built on it may run at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def clear(spark: SparkSession) -> None:
+    """Remove the tables written so far; results not yet run or written are lost with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        where = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        where.getFileSystem(conf).delete(where, True)
+
+
+def _clear_at_exit() -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            clear(spark)
     except Exception:  # noqa: BLE001 - the session may be gone; the folder then belongs to its owner
         pass
+
+
+atexit.register(_clear_at_exit)
