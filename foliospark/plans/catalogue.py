@@ -11,7 +11,7 @@ from foliospark.config import Settings
 from foliospark.functions import folds
 from foliospark.functions import text as t
 from foliospark.operators import jobs, ladder, prose, semantic, sheets, slides, stats
-from foliospark.tables import table
+from foliospark.tables import deployed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +30,7 @@ def _tokens(x: str) -> str:
 
 def query(sql: str | None = None):  # type: ignore[no-untyped-def]
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = deployed(f)
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -322,7 +322,7 @@ def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with c as (select doc_id, sum(length(text)) as n from (select distinct block_id, doc_id, text from blocks) group by doc_id)
-    select d.doc_id, coalesce(n, 0) as chars, file_type = 'pdf' and coalesce(n, 0) / greatest(coalesce(page_count, 0), 1) < 50 as low from (select distinct doc_id, file_type, page_count from docs) d left join c using (doc_id)"""
+    select d.doc_id, cast(coalesce(n, 0) as bigint) as chars, file_type = 'pdf' and coalesce(n, 0) / greatest(coalesce(page_count, 0), 1) < 50 as low from (select distinct doc_id, file_type, page_count from docs) d left join c using (doc_id)"""
 )
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     elements = table(spark, d, "blocks").select("block_id", "doc_id", F.lit("text").alias("kind"), "text").dropDuplicates(["block_id"])
@@ -511,7 +511,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 _STATS = """
 c as (select distinct on (chunk_id) * from chunks),
 k as (select doc_id, block_type, count(*) as n, count(*) filter (role = 'parent') as p, count(*) filter (role = 'child') as ch, sum(token_count) as tk from c group by all),
-st as (select doc_id, sum(n) as chunk_count, sum(p) as parent_count, sum(ch) as child_count, coalesce(sum(tk), 0) as total_tokens, '{' || string_agg('"' || block_type || '":' || n, ',' order by block_type) || '}' as counts_by_block_type from k group by doc_id)
+st as (select doc_id, cast(sum(n) as bigint) as chunk_count, cast(sum(p) as bigint) as parent_count, cast(sum(ch) as bigint) as child_count, cast(coalesce(sum(tk), 0) as bigint) as total_tokens, '{' || string_agg('"' || block_type || '":' || n, ',' order by block_type) || '}' as counts_by_block_type from k group by doc_id)
 """
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings
+from foliospark.deploy import ship
 from foliospark.operators import ladder, prose, sections, semantic, sheets, slides, stats
 from foliospark.sources import files
 from foliospark.sources.decoders import REGISTRY, Registry
@@ -77,6 +78,7 @@ _TABLE = ("doc_id", "sec_idx", "seq", "tbl_seq", "table_id", "markdown", "rows",
 def ingest(found: DataFrame, cfg: Settings = Settings(), registry: Registry = REGISTRY, embed: semantic.Embedder | None = None, classify=None) -> Ingested:  # type: ignore[no-untyped-def]
     """``found`` from ``files.scan`` to documents, chunks and results. Every file gives a result; what
     goes wrong with one stays with it."""
+    ship(found.sparkSession)
     decoded = materialize(files.decode(found, registry), "decoded-files")
     items = materialize(files.elements(decoded), "elements")
     gated = materialize(ladder.quality_gate(items, files.documents(decoded), cfg), "documents")

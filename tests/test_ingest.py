@@ -61,6 +61,17 @@ def test_registered_decoder_and_gate(spark, tmp_path):
     assert got["y.pdf"]["status"] == "failed" and "quality" in got["y.pdf"]["error"]
 
 
+def test_same_ids_for_any_partitioning(spark, tmp_path):
+    land(tmp_path)
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = ingest.ingest_folder(spark, str(tmp_path), embed=semantic.hashed).chunks
+        seen.append(sorted((r["chunk_id"], r["parent_id"] or "", r["chunk_seq"]) for r in got.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
