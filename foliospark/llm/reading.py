@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 LEVELS = 5
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-_TOKEN = re.compile(r"\S+")
 _ITEM = re.compile(r"\s*(?:[-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s")
-_LEADER = re.compile(r"\.{4}|_{4}|-{6}|~{4}|#{6}|={4}")
-_COLUMNS = re.compile(r"[|\t;]|(?<=\S)(?: {3,}|\u3000)(?=\S)")
+_LEADERS = ("....", "____", "------", "~~~~", "######", "====")
+_GAP = re.compile(r"(?<=\S)(?: {3,}|\u3000)(?=\S)")
+_DIGIT = re.compile(r"\d")
 _QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 
 
@@ -48,25 +48,31 @@ def prose_of(text: str | None, known: dict[str, float], function_words: frozense
     words: list[str] = []
     inside = total = functions = 0
     running = False
+    is_known, is_plain = known.__contains__, function_words.__contains__
     for line in (text or "").splitlines():
-        tokens = _TOKEN.findall(line)
+        tokens = line.split()
         if not tokens:
             continue
         size = sum(map(len, tokens))
         total += size
         here = _WORD.findall(line.lower())
-        numbers = sum(any(c.isdigit() for c in t) for t in tokens)
-        columns = len(_COLUMNS.findall(line))
-        if _LEADER.search(line) or (columns >= 2 and columns > 0.12 * len(tokens)) or _ITEM.match(line) or numbers > 0.4 * len(tokens):
+        columns = line.count("|") + line.count("\t") + line.count(";")
+        if "   " in line or "\u3000" in line:
+            columns += len(_GAP.findall(line))
+        many = len(tokens)
+        numbers = sum(1 for t in tokens if _DIGIT.search(t)) if _DIGIT.search(line) else 0
+        if numbers > 0.4 * many or (columns >= 2 and columns > 0.12 * many) or any(x in line for x in _LEADERS) or _ITEM.match(line):
             running = False
         elif len(here) >= 4:
-            strange = sum(w not in known and w not in function_words for w in here)
-            plain = sum(w in function_words for w in here)
-            running = strange <= 0.5 * len(here) and numbers <= 0.3 * len(tokens) and (plain > 0 or len(here) < 12)
+            plain = sum(map(is_plain, here))
+            strange = len(here) - sum(map(is_known, here))
+            if strange:
+                strange -= sum(1 for w in here if is_plain(w) and not is_known(w))
+            running = strange <= 0.5 * len(here) and numbers <= 0.3 * many and (plain > 0 or len(here) < 12)
         if running:
             inside += size
             words += here
-            functions += sum(w in function_words for w in here)
+            functions += sum(map(is_plain, here))
     return Prose(words, inside / total if total else 0.0, functions / len(words) if words else 0.0)
 
 
@@ -77,7 +83,13 @@ class Model:
 
     def quantiles(self, words: list[str]) -> np.ndarray | None:
         known = [g for g in map(self.grades.get, words) if g is not None]
-        return np.r_[1.0, np.quantile(known, _QUANTILES), np.mean(known)] if len(known) >= 5 else None
+        if len(known) < 5:
+            return None
+        ordered = np.sort(np.array(known))
+        at = np.array(_QUANTILES) * (len(known) - 1)
+        low = at.astype(int)
+        part = ordered[low] + (ordered[np.minimum(low + 1, len(known) - 1)] - ordered[low]) * (at - low)
+        return np.r_[1.0, part, ordered.mean()]
 
     def level(self, words: list[str]) -> float | None:
         """From 1 to ``LEVELS``; None where fewer than five words are known, or there is no model."""
