@@ -115,7 +115,7 @@ def _one(columns: dict[str, np.ndarray], yes: np.ndarray, label: str, rng: np.ra
     return best if score > 0 else None
 
 
-def induce(columns: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 3, splits: int = 8, price: float = 3.0) -> RuleList:
+def induce(columns: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 3, splits: int = 24, price: float = 3.0) -> RuleList:
     """A rule list for the classes of ``labels``; what no rule covers is ``default``.
 
     Labels may be wrong, and classes so rare that one split into growing and pruning cases says
