@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.functions import text as t
+from foliospark.operators.order import numbered
 
 NUMBERED = r"(?U)^\d+(\.\d+)*\s"
 CLOSING = r"[.!?:;,]$"
@@ -54,8 +55,8 @@ def candidates(elements: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     lines = lines.withColumns({"before": F.coalesce(F.lag("text").over(near), F.lit("")), "after": F.coalesce(F.lead("text").over(near), F.lit(""))})
     start = F.coalesce("is_page_start", F.lit(False)) & (F.col("line") == 0)
     kept = lines.filter(is_candidate(F.col("text"), start, cfg.max_heading_chars))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "line")) - 1
-    return kept.select("doc_id", F.concat(F.lit("L"), number.cast("string")).alias("line_id"), "seq", "line", "text", "page", "before", "after")
+    kept = numbered(kept, ["doc_id"], "seq", ["seq", "line"], "_no")
+    return kept.select("doc_id", F.concat(F.lit("L"), F.col("_no").cast("string")).alias("line_id"), "seq", "line", "text", "page", "before", "after")
 
 
 #: What a language model is asked; candidates follow as a JSON array.
@@ -93,10 +94,11 @@ def confirmed(lines: DataFrame, classify: Callable[[Column], Column], cfg: Setti
     ``max_heading_candidates``, aren't asked; unknown lines are dropped; levels are held to 1..4.
     """
     item = F.struct("seq", "line", F.struct("line_id", "text", "page", "before", "after").alias("j"))
+    few = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= cfg.max_heading_candidates).select("doc_id")
     asked = (
-        lines.groupBy("doc_id")
+        lines.join(few, "doc_id", "left_semi")
+        .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(item)).alias("c"))
-        .filter(F.size("c") <= cfg.max_heading_candidates)
         .select("doc_id", F.to_json(F.transform("c", lambda c: c["j"]), {"ignoreNullFields": "false"}).alias("payload"))
     )
     shape = "array<struct<line_id:string,is_heading:boolean,level:string>>"

@@ -12,6 +12,7 @@ from foliospark.config import Settings
 from foliospark.functions import folds
 from foliospark.functions import text as t
 from foliospark.functions import tokens
+from foliospark.operators.order import numbered
 from foliospark.workspace import materialize
 
 Splitter = Callable[[DataFrame, Settings], DataFrame]
@@ -115,9 +116,8 @@ def by_size(parents: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 def parents(sections: DataFrame, blocks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``(doc_id, sec_idx, part, parts, ordinal, chunk_id, section_path, page, text, token_count)``."""
     parts = paragraph_parts(section_texts(blocks), cfg).join(sections.select("doc_id", "sec_idx", "section_path", F.col("page_start").alias("page")), ["doc_id", "sec_idx"])
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_idx", "part")) - 1
     path = t.with_part(F.col("section_path"), F.col("part") + 1, F.col("parts"))
-    out = parts.withColumns({"ordinal": ordinal, "section_path": path})
+    out = numbered(parts.withColumn("section_path", path), ["doc_id"], "sec_idx", ["sec_idx", "part"], "ordinal")
     return out.withColumns({
         "chunk_id": t.chunk_id(F.col("doc_id"), F.col("section_path"), F.lit("parent"), F.col("ordinal"), F.col("text")), "token_count": t.token_count(F.col("text")),
     })
@@ -178,8 +178,7 @@ def chunks(docs: DataFrame, sections: DataFrame, blocks: DataFrame, tables: Data
     )
     tabs = materialize(tabs, "table-pieces")
     roots = tabs.join(root, (tabs["parent_id"] == root["root_id"]) & (tabs["doc_id"] == root["doc_id"]), "left_semi").select("doc_id").distinct().join(root, "doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.col("sec_idx").asc_nulls_last(), "is_table", "a", "b")
-    down = texts.unionByName(tabs).withColumn("ordinal", F.row_number().over(order) - 1)
+    down = numbered(texts.unionByName(tabs), ["doc_id"], "sec_idx", [F.col("sec_idx").asc_nulls_last(), "is_table", "a", "b"], "ordinal")
     kind = F.when(F.col("is_table"), "table").otherwise("text")
     children = down.select(
         "doc_id", t.chunk_id(F.col("doc_id"), F.col("section_path"), F.lit("child"), F.col("ordinal"), F.col("text")).alias("chunk_id"), "parent_id", F.lit("child").alias("role"), kind.alias("block_type"),
@@ -189,8 +188,11 @@ def chunks(docs: DataFrame, sections: DataFrame, blocks: DataFrame, tables: Data
     ups = up.select("doc_id", "chunk_id", null.alias("parent_id"), F.lit("parent").alias("role"), F.lit("text").alias("block_type"), "text", "section_path", "page", null.alias("metadata"), F.struct(F.lit(1).alias("r"), F.col("ordinal").alias("o")).alias("_o"))
     tops = roots.select("doc_id", F.col("root_id").alias("chunk_id"), null.alias("parent_id"), F.lit("parent").alias("role"), F.lit("text").alias("block_type"), "text", F.array().cast("array<string>").alias("section_path"), F.lit(None).cast("int").alias("page"), F.lit('{"synthetic_root":true}').alias("metadata"), F.struct(F.lit(0).alias("r"), F.lit(0).alias("o")).alias("_o"))
     every = tops.unionByName(ups).unionByName(children)
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("_o")) - 1
-    return every.withColumns({"token_count": t.token_count(F.col("text")), "chunk_seq": seq}).drop("_o")
+    # roots come first, then parents, then children, each by its own number
+    sizes = roots.select("doc_id", F.lit(1).alias("_roots")).join(up.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_parents")), "doc_id", "full")
+    first = F.when(F.col("_o.r") > 0, F.coalesce("_roots", F.lit(0))).otherwise(0) + F.when(F.col("_o.r") > 1, F.coalesce("_parents", F.lit(0))).otherwise(0)
+    placed = every.join(sizes, "doc_id", "left").withColumn("chunk_seq", (first + F.col("_o.o")).cast("int"))
+    return placed.withColumn("token_count", t.token_count(F.col("text"))).drop("_o", "_roots", "_parents")
 
 
 def tables_only(docs: DataFrame, tables: DataFrame, cfg: Settings = Settings()) -> DataFrame:

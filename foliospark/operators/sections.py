@@ -2,7 +2,9 @@
 
 ``elements(doc_id, seq, kind, text, page, end_page, level, is_page_start, table_rows,
 table_markdown, caption)`` in order of ``seq``. Builders give ``sections`` and the ``blocks`` and
-``tables`` in them, keyed by ``(doc_id, sec_idx)``. Windows run within a document.
+``tables`` in them, keyed by ``(doc_id, sec_idx)``. Documents of any size are cut into stretches (see ``order``), and folds into
+what can't depend on anything before: the headings under one of the highest level, the pages up to
+one that isn't short.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from foliospark.config import Settings
 from foliospark.functions import folds
 from foliospark.functions import text as t
+from foliospark.operators.order import numbered as number_in_order
+from foliospark.operators.order import running_sum
 
 
 @dataclass(frozen=True)
@@ -34,11 +38,11 @@ def _ids(sections: DataFrame, blocks: DataFrame, tables: DataFrame, table_no: Co
     """Give sections, blocks and tables their identifiers."""
     sec = F.concat_ws("-sec-", "doc_id", "sec_idx")
     order = F.row_number().over(Window.partitionBy("doc_id", "sec_idx").orderBy("seq")) - 1
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_idx", "seq")) - 1 if table_no is None else table_no
+    numbered = tables.withColumn("tbl_seq", table_no) if table_no is not None else number_in_order(tables, ["doc_id"], "sec_idx", ["sec_idx", "seq"], "tbl_seq")
     return Parts(
         sections.withColumn("section_id", sec),
         blocks.withColumn("block_order", order).withColumn("block_id", F.concat(sec, F.lit("-b"), F.col("block_order").cast("string"))),
-        tables.withColumn("tbl_seq", number).withColumn("table_id", F.concat(F.col("doc_id"), F.lit("-tbl-"), F.col("tbl_seq").cast("string"))),
+        numbered.withColumn("table_id", F.concat(F.col("doc_id"), F.lit("-tbl-"), F.col("tbl_seq").cast("string"))),
     )
 
 
@@ -53,22 +57,30 @@ def _pages(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "sec_idx").agg(F.min_by("page", "seq").alias("page_start"), F.max_by("page", F.when(F.col("page").isNotNull(), F.col("seq"))).alias("page_end"))
 
 
-def by_headings(elements: DataFrame) -> Parts:
-    """A section for each heading, its path the headings above it; text before the first heading is a
-    root section of level 0, left out if empty while others exist. A heading's text is no block."""
-    doc = Window.partitionBy("doc_id").orderBy("seq")
-    is_head = F.col("kind") == "heading"
-    placed = elements.withColumn("sec_idx", F.sum(is_head.cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    level = F.coalesce("level", F.lit(1))
-    heads = (
-        placed.filter(is_head)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("sec_idx", level.alias("l"), t.strip(F.coalesce("text", F.lit(""))).alias("x")))).alias("h"))
+def heading_paths(given: DataFrame) -> DataFrame:
+    """``given(doc_id, sec_idx, l, x)``, headings in order, to ``(doc_id, sec_idx, heading, level,
+    section_path)``. A heading of a document's highest level ends all others, so the fold starts anew
+    there and takes in what is under one such heading."""
+    top = given.groupBy("doc_id").agg(F.min("l").alias("_top"))
+    named = given.select("doc_id", "sec_idx", "l", t.strip(F.col("x")).alias("x")).join(top, "doc_id")
+    under = running_sum(named, ["doc_id"], "sec_idx", ["sec_idx"], (F.col("l") == F.col("_top")).cast("int"), "_under")
+    return (
+        under.groupBy("doc_id", "_under")
+        .agg(F.array_sort(F.collect_list(F.struct("sec_idx", "l", "x"))).alias("h"))
         .withColumn("lx", F.transform("h", lambda h: F.struct(h["l"].alias("l"), h["x"].alias("x"))))
         .withColumn("paths", folds.heading_paths("lx"))
         .select("doc_id", F.explode(F.arrays_zip("h", "paths")).alias("z"))
         .select("doc_id", "z.h.sec_idx", F.col("z.h.x").alias("heading"), F.col("z.h.l").alias("level"), F.col("z.paths").alias("section_path"))
     )
+
+
+def by_headings(elements: DataFrame) -> Parts:
+    """A section for each heading, its path the headings above it; text before the first heading is a
+    root section of level 0, left out if empty while others exist. A heading's text is no block."""
+    is_head = F.col("kind") == "heading"
+    placed = running_sum(elements, ["doc_id"], "seq", ["seq"], is_head.cast("int"), "sec_idx")
+    level = F.coalesce("level", F.lit(1))
+    heads = heading_paths(placed.filter(is_head).select("doc_id", "sec_idx", level.alias("l"), F.coalesce("text", F.lit("")).alias("x")))
     blocks, tables = _split(placed.filter(~is_head))
     used = blocks.select("doc_id", "sec_idx").unionByName(tables.select("doc_id", "sec_idx")).filter("sec_idx = 0").distinct()
     bare = elements.groupBy("doc_id").agg(F.bool_or(is_head).alias("any")).filter("not any").select("doc_id", F.lit(0).alias("sec_idx"))
@@ -90,26 +102,31 @@ def by_pages(elements: DataFrame, cfg: Settings = Settings()) -> Parts:
         tables.groupBy("doc_id", "page").agg(F.lit(True).alias("tb")), ["doc_id", "page"], "full"
     )
     per = per.select("doc_id", "page", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), F.coalesce("tb", F.lit(False)).alias("tb"))
-    merged = (
-        per.groupBy("doc_id")
+    # a page that isn't short ends its section whatever came before: the carry starts anew behind it
+    closing = ((F.col("n") >= cfg.min_child_tokens) | F.col("tb")).cast("int")
+    runs = running_sum(per, ["doc_id"], "page", ["page"], closing, "_run").withColumn("_run", F.col("_run") - closing)
+    folded = (
+        runs.groupBy("doc_id", "_run")
         .agg(F.array_sort(F.collect_list(F.struct("page", "n", "tb"))).alias("p"))
         .withColumn("items", F.transform("p", lambda p: F.struct(p["n"].alias("n"), p["tb"].alias("tb"))))
         .withColumn("ids", folds.carry_short("items", cfg.min_child_tokens))
-        .select("doc_id", F.explode(F.arrays_zip("p", "ids")).alias("z"))
-        .select("doc_id", "z.p.page", F.col("z.ids").alias("sec_idx"))
+        .select("doc_id", F.explode(F.arrays_zip("p", "ids")).alias("z"), "_run")
+        .select("doc_id", "z.p.page", "_run", F.col("z.ids").alias("_g"))
     )
+    starts = folded.groupBy("doc_id", "_run", "_g").agg(F.min("page").alias("_page"))
+    starts = number_in_order(starts, ["doc_id"], "_page", ["_page"], "sec_idx").drop("_page")
+    merged = folded.join(starts, ["doc_id", "_run", "_g"]).select("doc_id", "page", "sec_idx")
     sections = merged.groupBy("doc_id", "sec_idx").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
     sections = sections.select(
         "doc_id", "sec_idx", F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"),
         F.array(F.concat(F.lit("Page "), F.col("page_end").cast("string"))).alias("section_path"), "page_start", "page_end",
     )
-    reading = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "seq"))
+    reading = F.row_number().over(Window.partitionBy("doc_id", "sec_idx").orderBy("page", "seq"))
     here = lambda df: df.drop("sec_idx").join(merged, ["doc_id", "page"]).withColumn("seq", reading)
     count = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_s"))
-    placed = here(tables).join(count, "doc_id")
-    number = (F.col("_s") * 1000 + F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1).cast("int")
-    parts = _ids(sections, here(texts), placed, number)
-    return Parts(parts.sections, parts.blocks, parts.tables.drop("_s"))
+    placed = number_in_order(here(tables), ["doc_id"], "sec_idx", ["sec_idx", "seq"], "_t").join(count, "doc_id")
+    parts = _ids(sections, here(texts), placed, (F.col("_s") * 1000 + F.col("_t")).cast("int"))
+    return Parts(parts.sections, parts.blocks, parts.tables.drop("_s", "_t"))
 
 
 def flat(elements: DataFrame) -> Parts:

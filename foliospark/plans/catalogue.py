@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings
-from foliospark.functions import folds
 from foliospark.functions import text as t
 from foliospark.operators import jobs, ladder, prose, semantic, sheets, slides, stats
 from foliospark.tables import deployed, table
@@ -206,10 +205,9 @@ _HEADS = "heads as (select distinct doc_id, sec_idx, heading, coalesce(level, 1)
     select i.doc_id, i.sec_idx, string_agg({_strip("j.heading")}, ' > ' order by j.sec_idx) as path from heads i join ends j on i.doc_id = j.doc_id and j.sec_idx <= i.sec_idx and (j.e is null or j.e > i.sec_idx) group by all"""
 )
 def heading_paths(spark: SparkSession, d: str) -> DataFrame:
-    item = F.struct("sec_idx", F.col("level").alias("l"), t.strip(F.col("heading")).alias("x"))
-    heads = _headings(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("h"))
-    built = heads.withColumn("lx", F.expr("transform(h, h -> named_struct('l', h.l, 'x', h.x))")).withColumn("paths", folds.heading_paths("lx"))
-    return built.select("doc_id", F.explode(F.arrays_zip("h", "paths")).alias("z")).select("doc_id", "z.h.sec_idx", F.array_join("z.paths", t.PATH).alias("path"))
+    from foliospark.operators import sections
+
+    return sections.heading_paths(_headings(spark, d).withColumnRenamed("heading", "x").withColumnRenamed("level", "l")).select("doc_id", "sec_idx", F.array_join("section_path", t.PATH).alias("path"))
 
 
 @query(
