@@ -45,6 +45,8 @@ def states(results: DataFrame, number: int) -> DataFrame:
     )
 
 
-def live_rollup(log: DataFrame) -> DataFrame:
-    """Running counts of file states from a streamed log, one row per job and status."""
-    return log.groupBy("job_id", "status").agg(F.count(F.lit(1)).alias("files"), F.sum("chunk_count").alias("chunks"))
+def live_states(log: DataFrame) -> DataFrame:
+    """The last state of each file of a streamed log, kept up to date: for ``complete`` or ``update``
+    output. The state holds one row a file; late rows of earlier states change nothing, so no
+    watermark is needed to be right. Roll-ups are read from the result by ``jobs.rollup``."""
+    return jobs.latest(log)

@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from foliospark.functions import folds
 
 
@@ -74,4 +72,3 @@ def test_carry_and_headings(spark):
     df = spark.createDataFrame([(c,) for c in cases], "h array<struct<l:int,x:string>>")
     for r in df.select("h", folds.heading_paths("h").alias("p")).collect():
         assert [list(p) for p in r["p"]] == paths([(h["l"], h["x"]) for h in r["h"]])
-    assert F is not None

@@ -1,7 +1,10 @@
 import zipfile
+from pathlib import Path
+
+import pytest
 
 from foliospark import sinks
-from foliospark.operators import semantic
+from foliospark.operators import jobs, semantic
 from foliospark.plans import ingest
 from foliospark.sources import files
 from foliospark.sources.decoders import Decoded, Registry
@@ -84,6 +87,19 @@ def test_stream(spark, tmp_path):
     assert log.count() == 5 and log.filter("status = 'failed'").count() == 2
 
 
+def test_live_states(spark, tmp_path):
+    source = Path("/root/testdata/sf0.001/job_files.parquet")
+    if not source.exists():
+        pytest.skip("no test tables")
+    log = spark.read.parquet(str(source))
+    log.repartition(3).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    q = intake.live_states(stream).select("job_id", "file_id", "status", "progress").writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = jobs.latest(log).select("job_id", "file_id", "status", "progress")
+    assert sorted(map(tuple, spark.table("states").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_normalize(spark):
     rows = [("d", 0, "text", "page_header", "Head", 1, None), ("d", 1, "text", "paragraph", "Body", 1, None), ("d", 2, "text", "picture", "p", 1, None), ("d", 3, "section_header", "x", "S", 2, 3), ("d", 4, "text", "paragraph", "T", 2, None)]
     items = spark.createDataFrame(rows, "doc_id string, seq int, item string, label string, text string, page int, level int")

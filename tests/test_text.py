@@ -7,9 +7,7 @@ from foliospark.functions import text as t
 
 
 def one(spark, column, **values):
-    names = ", ".join(values)
     df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {v}" for k, v in TYPES.items() if k in values)) if values else spark.range(1)
-    assert names is not None
     return df.select(column.alias("x")).first()["x"]
 
 
