@@ -49,23 +49,23 @@ def with_statistics(texts: DataFrame, text: str, common: list[str]) -> DataFrame
         "_chars": rest(r"(?U)\s+"),
         "_symbols": rest(r"(?U)[\p{L}\p{M}0-9\s]+"),
         "_digits": rest("[^0-9]+"),
-        "_vowels": rest(f"[^{VOWELS}{VOWELS.upper()}]+"),
-        "_foreign": rest(r"[\P{L}A-Za-zÀ-ɏ]+"),
         "_line_chars": F.aggregate("_lines", F.lit(0), lambda a, x: a + F.length(x)).cast("double"),
         "_many": F.size("_lines").cast("double"),
     })
     chars_of = lambda holds: F.aggregate("_lines", F.lit(0), lambda a, x: a + F.when(holds(x), F.length(x)).otherwise(0)).cast("double")
     count = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("double")
     marks = lambda x: F.regexp_count(x, F.lit(r"[|\t;]"))
-    letters = F.col("_chars") - F.col("_symbols") - F.col("_digits")
-    latin = letters - F.col("_foreign")
+    # vowels are counted over the different words
+    counted = counted.withColumn("_all", F.array_join("_distinct", "")).withColumns({
+        "_vowels": rest(f"[^{VOWELS}]+", "_all"), "_latin": F.length("_all") - rest("[a-zà-ɏ]+", "_all"),
+    })
     out = counted.withColumns({
         "n_words": F.col("_n"),
         "mean_word_length": _share(F.col("_chars"), F.col("_n")),
         "symbol_ratio": _share(F.col("_symbols"), F.col("_chars")),
         "digit_ratio": _share(F.col("_digits"), F.col("_chars")),
-        # of letters in Latin script; texts that are mostly in others count as natural
-        "vowel_ratio": F.when(latin * 2 > letters, F.col("_vowels") / latin).otherwise(F.lit(0.4)),
+        # of letters in Latin script; words that are mostly in others count as natural
+        "vowel_ratio": F.when(F.col("_latin") * 2 > F.length("_all"), F.col("_vowels") / F.col("_latin")).otherwise(F.lit(0.4)),
         "closed_line_share": _share(F.size(F.filter("_lines", lambda x: F.rtrim(x).rlike(r"[.!?:;…。]$"))).cast("double"), F.col("_many")),
         "mean_line_words": _share(F.col("_n"), F.col("_many")),
         "item_share": _share(chars_of(lambda x: x.rlike(ITEM)), F.col("_line_chars")),
@@ -80,7 +80,7 @@ def with_statistics(texts: DataFrame, text: str, common: list[str]) -> DataFrame
         "sentence_ends_per_word": _share(count(r"\p{L}{2}[)\"'”]?[.!?…](?=\s|$)"), F.col("_n")),
         "number_word_share": _share(F.size(F.filter("_tokens", lambda w: w.rlike(r"\d"))).cast("double"), F.col("_n")),
     })
-    return out.drop("_t", "_words", "_lines", "_tokens", "_distinct", "_n", "_chars", "_symbols", "_digits", "_vowels", "_foreign", "_line_chars", "_many")
+    return out.drop("_t", "_words", "_lines", "_tokens", "_distinct", "_n", "_chars", "_symbols", "_digits", "_all", "_vowels", "_latin", "_line_chars", "_many")
 
 
 def labelled(texts: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
