@@ -182,14 +182,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d).select("block_id", F.explode("noise").alias("noise")).distinct()
 
 
+def _repaired_chunks(chunks: DataFrame, lexicon: sr.Lexicon) -> DataFrame:
+    """``(chunk_id, noise, text)`` of the chunks of every page-like file, whatever their ``block_type``.
+
+    Parents and children repeat one another, so each role is a reading order of its own. Grids stay
+    as they are, and outside of that order. Sheets and slides aren't scanned.
+    """
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    grid = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*\|.*\|\s*$"))) * 2 > F.size(lines)
+    pages = chunks.filter("coalesce(lower(file_type), '') not in ('csv', 'xlsx', 'pptx')").withColumn("grid", grid)
+    order = F.concat_ws("\u001f", "role", "doc_id")
+    read = pages.filter("not grid").select(
+        order.alias("doc_id"), F.floor(F.col("chunk_seq") / 8).cast("int").alias("sec_idx"), F.col("chunk_id").alias("block_id"), F.col("chunk_seq").alias("block_order"), "page", "text"
+    )
+    kept = pages.filter("grid").dropDuplicates(["chunk_id"]).select("chunk_id", F.array().cast("array<string>").alias("noise"), "text")
+    return sr.repair(read, lexicon).select(F.col("block_id").alias("chunk_id"), "noise", "text").unionByName(kept)
+
+
 @query
 def p4_chunk_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Chunk.text repaired with the lexicon of the blocks; chunks of a document in their order."""
+    """Chunk.text repaired with the lexicon of the blocks; parents and children each in their order."""
     sure = frozenset(r["word"] for r in table(spark, d, "word_list").filter("word is not null").collect())
-    lexicon = sr.learn(table(spark, d, "blocks"), sure)
-    chunks = table(spark, d, "chunks").filter("role = 'child' and block_type = 'text'")
-    rows = chunks.select("doc_id", F.floor(F.col("chunk_seq") / 8).cast("int").alias("sec_idx"), F.col("chunk_id").alias("block_id"), F.col("chunk_seq").alias("block_order"), "page", "text")
-    return sr.repair(rows, lexicon).select(F.col("block_id").alias("chunk_id"), "noise", "text")
+    return _repaired_chunks(table(spark, d, "chunks"), sr.learn(table(spark, d, "blocks"), sure))
 
 
 @query

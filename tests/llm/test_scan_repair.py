@@ -60,3 +60,13 @@ def test_context_chooses():
     lex.vectors = np.array([[1.0, 0], [0, 1], [1, 1]], np.float32)
     lex.contexts = np.array([[0, 0], [0, 0], [5, 0]], np.float32)
     assert lex.best(["modem", "modern"], ["town"]) == "modern" and lex.best(["modem", "modern"], []) == "modem"
+
+
+def test_chunks_of_both_roles_and_any_type(frame):
+    from foliospark.llm import queries
+
+    grid = "| folder | reader |\n| --- | --- |\n| common | para- |"
+    rows = [("p", "d", "parent", "text", "pdf", 0, 1, "the folder of the para-\ngraph is kept."), ("c", "d", "child", "table", "pdf", 1, 1, "the folder of the para-"), ("t", "d", "child", "table", "pdf", 2, 1, grid), ("c2", "d", "child", "text", "pdf", 3, 1, "graph is kept."), ("s", "e", "child", "row", "csv", 0, None, "a | b")]
+    chunks = frame(rows, "chunk_id string, doc_id string, role string, block_type string, file_type string, chunk_seq int, page int, text string")
+    got = {r["chunk_id"]: (r["noise"], r["text"]) for r in queries._repaired_chunks(chunks, lexicon()).collect()}
+    assert got == {"p": (["hyphen"], "the folder of the paragraph is kept."), "c": (["hyphen"], "the folder of the paragraph"), "t": ([], grid), "c2": ([], "is kept.")}
