@@ -162,16 +162,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).filter("is_prose and level >= 4").select(F.col("id").alias("doc_id")).distinct()
 
 
-def _repaired(spark: SparkSession, d: str) -> DataFrame:
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, sr.Lexicon]:
     blocks = table(spark, d, "blocks")
     sure = frozenset(r["word"] for r in table(spark, d, "word_list").filter("word is not null").collect())  # a fixed list
-    return sr.repair(blocks, sr.learn(blocks, sure))
+    return blocks, sr.learn(blocks, sure)
 
 
 @query
 def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    blocks = _repaired(spark, d).filter("text <> ''")
-    part = F.struct("page", "block_id", "text")
+    blocks = sr.repair(*_scanned(spark, d)).filter("text <> ''")
+    part = F.struct("sec_idx", "block_order", "block_id", "text")
     return blocks.groupBy("doc_id", "paragraph_id").agg(
         F.min("page").alias("page"), F.count(F.lit(1)).alias("blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), " ").alias("text")
     )
@@ -179,7 +179,7 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repaired(spark, d).select("block_id", F.explode("noise").alias("noise")).distinct()
+    return sr.texts(*_scanned(spark, d)).select("block_id", F.explode("noise").alias("noise")).distinct()
 
 
 def _repaired_chunks(chunks: DataFrame, lexicon: sr.Lexicon) -> DataFrame:
@@ -196,7 +196,7 @@ def _repaired_chunks(chunks: DataFrame, lexicon: sr.Lexicon) -> DataFrame:
         order.alias("doc_id"), F.floor(F.col("chunk_seq") / 8).cast("int").alias("sec_idx"), F.col("chunk_id").alias("block_id"), F.col("chunk_seq").alias("block_order"), "page", "text"
     )
     kept = pages.filter("grid").dropDuplicates(["chunk_id"]).select("chunk_id", F.array().cast("array<string>").alias("noise"), "text")
-    return sr.repair(read, lexicon).select(F.col("block_id").alias("chunk_id"), "noise", "text").unionByName(kept)
+    return sr.texts(read, lexicon).select(F.col("block_id").alias("chunk_id"), "noise", "text").unionByName(kept)
 
 
 @query

@@ -20,9 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.workspace import materialize
+
 # What scanners read for what was printed.
 LOOKALIKES = (
     ("c", "e"), ("@", "a"), ("+", "t"), ("!", "i"), ("5", "s"), ("0", "o"), ("ri", "n"), ("I", "l"), ("cl", "d"), ("1", "l"), ("1", "i"), ("ii", "u"),
@@ -221,14 +223,24 @@ def _wraps(line: str, following: str, width: int) -> bool:
     return len(line.rstrip()) + 1 + len(word) > width
 
 
-def _furniture(blocks: list[Block], sure_recurring: int = 2) -> None:
-    """Move header, footer and number lines out of the blocks, which are in reading order."""
-    beside: dict[str, set[str]] = defaultdict(set)  # what stands inside of a line where it recurs
-    for b in blocks:
-        for x, inner in [*zip(b.lines[:2], b.lines[1:3]), *zip(b.lines[-2:], b.lines[-3:-1])]:
-            if len(x) <= 90 and len(p := _plain(x)) >= 5:
+def _edges(lines: list[str]) -> Iterator[tuple[str, str]]:
+    """Lines at a block's edges as their recurrences share them, each with the line inside of it."""
+    for x, inner in [*zip(lines[:2], lines[1:3]), *zip(lines[-2:], lines[-3:-1])]:
+        if len(x) <= 90 and len(p := _plain(x)) >= 5:
+            yield p, inner
+
+
+def _furniture(blocks: list[Block], recurring: set[str] | None = None) -> None:
+    """Move header, footer and number lines out of the blocks, which are in reading order.
+
+    ``recurring`` are the edge lines of the whole document that recur; without it ``blocks`` are all.
+    """
+    if recurring is None:
+        beside: dict[str, set[str]] = defaultdict(set)  # what stands inside of a line where it recurs
+        for b in blocks:
+            for p, inner in _edges(b.lines):
                 beside[p].add(inner)
-    edge = {p: len(inner) for p, inner in beside.items()}
+        recurring = {p for p, inner in beside.items() if len(inner) > 1}
     widths = sorted(len(x.rstrip()) for b in blocks for x in b.lines[1:-1])
     filled = [_wraps(x, y, max(map(len, b.lines[1:-1]))) for b in blocks if len(b.lines) > 4 for x, y in zip(b.lines[1:-2], b.lines[2:-1])]
     even = sum(filled) >= 0.9 * len(filled)
@@ -246,7 +258,7 @@ def _furniture(blocks: list[Block], sure_recurring: int = 2) -> None:
                 break
             x = b.lines[0]
             number = _page(x, b.page)
-            recurs = edge.get(_plain(x), 0) >= sure_recurring and odd(x)
+            recurs = _plain(x) in recurring and odd(x)
             titled = bool(_LEADING.search(x) or _TRAILING.search(x))
             short = even and width >= 30 and odd(x) and not _wraps(x, b.lines[1], width) and x[:1].isalnum() and len(b.lines) > 2 and not b.head
             starts = b.lines[1].lstrip()[:1]
@@ -259,7 +271,7 @@ def _furniture(blocks: list[Block], sure_recurring: int = 2) -> None:
                 break
             x, before = b.lines[-1], b.lines[-2]
             number = _page(x, b.page)
-            recurs = edge.get(_plain(x), 0) >= sure_recurring and odd(x)
+            recurs = _plain(x) in recurring and odd(x)
             code = bool(re.match(r"^\s*[A-Z]{2}-\w{2,4}/\w{1,4}\s*$", x))
             after_end = even and odd(x) and len(x) < 60 and x[:1].isupper() and _sentence_end(before) and len(x.split()) <= 7 and width >= 30 and len(x) < width * 0.75 and (not _wraps(before, x, width))
             if number or recurs or code or after_end:
@@ -289,8 +301,11 @@ def _joined(first: str, mark: str, second: str, lexicon: Lexicon) -> tuple[str,
     return (f"{first}-{second}", False) if real and lead and len(first) > 1 else (first + second, True)
 
 
-def _read(blocks: list[Block], lexicon: Lexicon) -> None:
-    """Noise and repaired words of each block; a word broken over blocks goes to the first."""
+def _read(blocks: list[Block], lexicon: Lexicon, ahead: str = "") -> None:
+    """Noise and repaired words of each block; a word broken over blocks goes to the first.
+
+    ``ahead`` is what the text goes on with behind the last block.
+    """
     for k, b in enumerate(blocks):
         if any(_numbered(x) for x in (*b.head, *b.foot)):
             b.noise.add("pageno")
@@ -303,9 +318,9 @@ def _read(blocks: list[Block], lexicon: Lexicon) -> None:
                 b.words += line.split()
                 continue
             after, where = (lines[i + 1], None) if i + 1 < len(lines) else ("", None)
-            if not after and k + 1 < len(blocks) and blocks[k + 1].lines:
-                where = blocks[k + 1]
-                after = where.lines[0]
+            if not after:
+                where = next((x for x in blocks[k + 1 :] if x.lines), None)
+                after = where.lines[0] if where else ahead
             second = _SECOND.match(after)
             if not second:
                 if broken[2] != "-" or (not after and not lexicon.known(broken[1].lower())):
@@ -320,7 +335,7 @@ def _read(blocks: list[Block], lexicon: Lexicon) -> None:
             rest = after[second.end() + len(tail) :]
             if where:
                 where.lines[0] = rest
-            else:
+            elif i + 1 < len(lines):
                 lines[i + 1] = rest
 
 
@@ -409,72 +424,226 @@ def _correct(b: Block, lexicon: Lexicon) -> None:
     b.words = [fixed.get(k, w) for k, w in enumerate(words) if k not in gone]
 
 
-def repair_blocks(blocks: list[Block], lexicon: Lexicon) -> None:
-    """Blocks of one stretch of a document in reading order: find their noise, repair their words."""
-    _furniture(blocks)
-    _read(blocks, lexicon)
+def repair_blocks(blocks: list[Block], lexicon: Lexicon, recurring: set[str] | None = None, taken: int = 0, ahead: str = "") -> None:
+    """Blocks of one stretch of a document in reading order: find their noise, repair their words.
+
+    ``taken`` characters of the first line belong to a word begun in the stretch before.
+    """
+    _furniture(blocks, recurring)
+    if taken:
+        first = next(b for b in blocks if b.lines)
+        first.lines[0] = first.lines[0][taken:]
+    _read(blocks, lexicon, ahead)
     for b in blocks:
         _correct(b, lexicon)
 
 
 _STRETCH = 16
 _LONG = 2048
+_WINDOW = ["doc_id", "stretch", "part"]
+_AT = "doc_id string, stretch bigint, part bigint"
+
+
+def _lines(text: str | None) -> list[str]:
+    return [x for x in (text or "").splitlines() if x.strip()]
+
+
+def _by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each window; they follow one another."""
+    key, held = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            now = (r["doc_id"], r["stretch"], r["part"])
+            if now != key and held:
+                yield held
+                held = []
+            key = now
+            held.append(r)
+    if held:
+        yield held
+
+
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    done = []
+    for r in rows:
+        done.append(r)
+        if len(done) >= 2000:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+            done = []
+    yield pa.RecordBatch.from_pylist(done, schema=schema)
+
+
+def _opened(rows: list[dict]) -> tuple[list[Block], list[dict], set[str] | None]:
+    """The blocks of a window, each once, their rows, and what recurs in a document of several windows."""
+    seen, blocks, own = set(), [], []
+    for r in rows:
+        if r["kind"] == "block" and r["block_id"] not in seen:
+            seen.add(r["block_id"])
+            blocks.append(Block(r["block_id"], r["page"], _lines(r["text"])))
+            own.append(r)
+    return blocks, own, {r["text"] for r in rows if r["kind"] == "a head"} if rows[-1]["several"] else None
+
+
+def _in_windows(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the window each is in, ``(doc_id, stretch, part)`` in reading order, and whether
+    its document has ``several``: 16 sections a window, or 2048 blocks of one section in a document
+    with a longer one."""
+    start = F.coalesce(F.floor(F.col("sec_idx") / _STRETCH), F.lit(0))
+    part = F.coalesce(F.floor(F.col("block_order") / _LONG), F.lit(0))
+    rows = blocks.select("doc_id", "sec_idx", "block_id", "block_order", "page", "text")
+    several = materialize(rows.filter((start > 0) | (part > 0)).groupBy("doc_id").agg(F.max(part > 0).alias("long")), "scan-documents")
+    long = F.coalesce("long", F.lit(False))
+    return rows.join(several, "doc_id", "left").select(
+        *rows.columns, F.when(long, F.coalesce("sec_idx", F.lit(0))).otherwise(start).cast("bigint").alias("stretch"),
+        F.when(long, part).otherwise(F.lit(0)).cast("bigint").alias("part"), F.col("long").isNotNull().alias("several"), F.lit("block").alias("kind"),
+    )
 
 
-def repair(blocks: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``blocks(doc_id, sec_idx, block_id, block_order, page, text)`` to one row per block:
-    ``(doc_id, block_id, paragraph_id, page, noise array<string>, text)``.
+def _sorted_windows(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_WINDOW).sortWithinPartitions(*_WINDOW, "kind", "sec_idx", "block_order", "block_id")
+
+
+def _told(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """``rows(doc_id, stretch, part, kind, text)`` as rows that stand before a window's blocks."""
+    given = {"sec_idx": "int", "block_id": "string", "block_order": "int", "page": "int"}
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in given.items()} | {"several": F.lit(True)}).select(*like.columns)
 
-    ``text`` is repaired, on one line, without furniture; ``paragraph_id`` is the block its paragraph
-    begins with: a block that ends within a sentence goes on in the next. Repeated blocks count once;
-    null texts are empty. Work goes by stretches of 16 sections of a document, with the first section
-    of the next stretch read ahead, so no document is gathered in one task.
-    """
-    start = F.coalesce(F.floor(F.col("sec_idx") / _STRETCH), F.lit(0))
-    part = F.coalesce(F.floor(F.col("block_order") / _LONG), F.lit(0))
-    ahead = (F.pmod(F.col("sec_idx"), F.lit(_STRETCH)) == 0) & (F.col("sec_idx") > 0)
-    homes = F.when(ahead, F.array(start, start - 1)).otherwise(F.array(start))
-    placed = (
-        blocks.select("doc_id", "sec_idx", "block_id", "block_order", "page", "text", F.explode(homes).alias("stretch"), part.alias("part"), start.alias("own"))
-        .repartition("doc_id", "stretch", "part")
-        .sortWithinPartitions("doc_id", "stretch", "part", "sec_idx", "block_order", "block_id")
-    )
-    schema = pa.schema([("doc_id", pa.string()), ("block_id", pa.string()), ("paragraph_id", pa.string()), ("page", pa.int32()), ("noise", pa.list_(pa.string())), ("text", pa.string())])
+
+def _heads(placed: DataFrame) -> DataFrame:
+    """``(doc_id, stretch, part, kind, text)``: the edge lines of a window that recur in its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = [(r["doc_id"], r["stretch"], r["part"], p, inner) for r in rows for p, inner in _edges(_lines(r["text"]))]
+            cols = list(zip(*found)) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=[*_WINDOW, "text", "inner"])
+
+    lines = placed.select(*_WINDOW, "text").mapInArrow(run, f"{_AT}, text string, inner string").withColumn("inner", F.xxhash64("inner"))
+    each = lines.groupBy(*_WINDOW, "text").agg(F.min("inner").alias("low"), F.max("inner").alias("high"))
+    whole = Window.partitionBy("doc_id", "text")
+    recurs = each.withColumns({"low": F.min("low").over(whole), "high": F.max("high").over(whole)}).filter("low < high")
+    return recurs.select(*_WINDOW, F.lit("a head").alias("kind"), "text")
+
+
+def _boundaries(rows: DataFrame) -> DataFrame:
+    """``(doc_id, stretch, part, kind, text)``: how many characters of a window's first line a word
+    begun before it takes (``a taken``), and the word that follows the window (``a next``)."""
+    ends = pa.schema([("doc_id", pa.string()), ("stretch", pa.int64()), ("part", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("alone", pa.bool_())])
+    told = pa.schema([("doc_id", pa.string()), ("stretch", pa.int64()), ("part", pa.int64()), ("kind", pa.string()), ("text", pa.string())])
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[dict]:
+            for rows in _by_window(batches):
+                blocks, _, recurring = _opened(rows)
+                _furniture(blocks, recurring)
+                lines = [x for b in blocks for x in b.lines]
+                if lines:
+                    last = lines[-1].split()[-1] if lines[-1].rstrip(" \t")[-1:] in _BREAKS else ""
+                    first = re.match(r"\s*\S*", lines[0])[0]
+                    yield {c: rows[0][c] for c in _WINDOW} | {"first": first, "last": last, "alone": len(lines) == 1 and len(lines[0].split()) == 1}
+
+        return _batched(each(), ends)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[dict]:
+            before, last = None, ""
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if before is None or before["doc_id"] != r["doc_id"]:
+                        last = ""
+                    second = _SECOND.match(r["first"]) if last and _BROKEN.search(last) else None
+                    if second:
+                        yield {c: before[c] for c in _WINDOW} | {"kind": "a next", "text": r["first"]}
+                        yield {c: r[c] for c in _WINDOW} | {"kind": "a taken", "text": str(_TAIL.match(r["first"], second.end()).end())}
+                    before, last = r, "" if second and r["alone"] else r["last"]
+
+        return _batched(each(), told)
+
+    found = _sorted_windows(rows).mapInArrow(outer, f"{_AT}, first string, last string, alone boolean")
+    return found.repartition("doc_id").sortWithinPartitions(*_WINDOW).mapInArrow(meet, f"{_AT}, kind string, text string")
+
+
+def _repaired(blocks: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """One row a block, with paragraphs as far as the window tells: ``lead`` rows belong to the paragraph
+    that is open before it, if one is; the window's first row says how it ``ends``."""
+    placed = _in_windows(blocks)
+    several = placed.filter("several")
+    heads = materialize(_heads(several), "scan-heads")
+    met = materialize(_boundaries(several.unionByName(_told(heads, placed))), "scan-boundaries")
+    rows = placed.unionByName(_told(heads, placed)).unionByName(_told(met, placed))
+    end = pa.struct([("through", pa.bool_()), ("open", pa.bool_()), ("paragraph", pa.string())])
+    schema = pa.schema([
+        ("doc_id", pa.string()), ("stretch", pa.int64()), ("part", pa.int64()), ("several", pa.bool_()), ("sec_idx", pa.int32()), ("block_order", pa.int32()), ("block_id", pa.string()),
+        ("paragraph_id", pa.string()), ("page", pa.int32()), ("noise", pa.list_(pa.string())), ("text", pa.string()), ("lead", pa.bool_()), ("ends", end),
+    ])
 
     def finish(rows: list[dict]) -> list[dict]:
-        seen, found, own = set(), [], []
-        for r in rows:
-            if r["block_id"] not in seen:
-                seen.add(r["block_id"])
-                found.append(Block(r["block_id"], r["page"], [x for x in (r["text"] or "").splitlines() if x.strip()]))
-                own.append(r["own"] == r["stretch"])
-        repair_blocks(found, lexicon)
-        out, paragraph, open_ = [], None, False
-        for b, mine in zip(found, own):
+        found, own, recurring = _opened(rows)
+        told = {r["kind"]: r["text"] for r in rows if r["kind"] in ("a next", "a taken")}
+        repair_blocks(found, lexicon, recurring, int(told.get("a taken", 0)), told.get("a next", ""))
+        out, paragraph, open_, lead = [], None, None, True
+        for b, r in zip(found, own):
             if not open_ or paragraph is None:
                 paragraph = b.block_id
             text = " ".join(b.words)
-            if mine:
-                out.append({"doc_id": rows[0]["doc_id"], "block_id": b.block_id, "paragraph_id": paragraph, "page": b.page, "noise": sorted(b.noise), "text": text})
+            out.append({c: r[c] for c in (*_WINDOW, "several", "sec_idx", "block_order")} | {"block_id": b.block_id, "paragraph_id": paragraph, "page": b.page, "noise": sorted(b.noise), "text": text, "lead": lead})
             if text:
                 open_ = text[-1:].isalnum() or text[-1:] in ",-"
+                lead = lead and open_
+        out[0]["ends"] = {"through": lead, "open": open_, "paragraph": paragraph}
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, done = None, [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                now = (r["doc_id"], r["stretch"], r["part"])
-                if now != key and held:
-                    done += finish(held)
-                    held = []
-                    if len(done) >= 2000:
-                        yield pa.RecordBatch.from_pylist(done, schema=schema)
-                        done = []
-                key = now
-                held.append(r)
-        if held:
-            done += finish(held)
-        yield pa.RecordBatch.from_pylist(done, schema=schema)
-
-    return placed.mapInArrow(run, "doc_id string, block_id string, paragraph_id string, page int, noise array<string>, text string")
+        return _batched((r for rows in _by_window(batches) for r in finish(rows)), schema)
+
+    return _sorted_windows(rows).mapInArrow(
+        run,
+        f"{_AT}, several boolean, sec_idx int, block_order int, block_id string, paragraph_id string, page int, noise array<string>, text string, lead boolean, "
+        "ends struct<through: boolean, open: boolean, paragraph: string>",
+    )
+
+
+def _open_before(ends: DataFrame) -> DataFrame:
+    """``(doc_id, stretch, part, before)``: the paragraph that is open where a window starts."""
+    schema = pa.schema([("doc_id", pa.string()), ("stretch", pa.int64()), ("part", pa.int64()), ("before", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[dict]:
+            doc, paragraph, open_ = None, None, False
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["doc_id"] != doc:
+                        doc, paragraph, open_ = r["doc_id"], None, False
+                    if open_:
+                        yield {c: r[c] for c in _WINDOW} | {"before": paragraph}
+                    end = r["ends"]
+                    if not (open_ and end["through"]):
+                        paragraph = end["paragraph"]
+                    open_ = open_ if end["open"] is None else end["open"]
+
+        return _batched(each(), schema)
+
+    return ends.select(*_WINDOW, "ends").repartition("doc_id").sortWithinPartitions(*_WINDOW).mapInArrow(run, f"{_AT}, before string")
+
+
+def texts(blocks: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``repair`` without paragraphs: ``(block_id, noise, text)``."""
+    return _repaired(blocks, lexicon).select("block_id", "noise", "text")
+
+
+def repair(blocks: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``blocks(doc_id, sec_idx, block_id, block_order, page, text)`` to one row per block:
+    ``(doc_id, sec_idx, block_order, block_id, paragraph_id, page, noise array<string>, text)``.
+
+    ``text`` is repaired, on one line, without furniture; ``paragraph_id`` is the block its paragraph
+    begins with: a block that ends within a sentence goes on in the next. Repeated blocks count once;
+    null texts are empty. Work goes by windows of 16 sections of a document, so no document is gathered
+    in one task. What crosses a window's start comes from small tables: the lines that recur in the
+    document, the word broken there, and the paragraph open there.
+    """
+    rows = materialize(_repaired(blocks, lexicon), "repaired-blocks")
+    before = _open_before(rows.filter("several and ends is not null"))
+    columns = ("doc_id", "sec_idx", "block_order", "block_id", "paragraph_id", "page", "noise", "text")
+    led = rows.filter("several and lead").join(before, _WINDOW, "left").withColumn("paragraph_id", F.coalesce("before", "paragraph_id"))
+    return rows.filter("not (several and lead)").select(*columns).unionByName(led.select(*columns))

@@ -70,3 +70,24 @@ def test_chunks_of_both_roles_and_any_type(frame):
     chunks = frame(rows, "chunk_id string, doc_id string, role string, block_type string, file_type string, chunk_seq int, page int, text string")
     got = {r["chunk_id"]: (r["noise"], r["text"]) for r in queries._repaired_chunks(chunks, lexicon()).collect()}
     assert got == {"p": (["hyphen"], "the folder of the paragraph is kept."), "c": (["hyphen"], "the folder of the paragraph"), "t": ([], grid), "c2": ([], "is kept.")}
+
+
+def test_over_window_starts(frame):
+    rows = [("d", 15, "a", 0, 1, "the folder of the para-"), ("d", 16, "x", 0, 2, " "), ("d", 33, "b", 0, 3, "graph and the section"), ("d", 49, "c", 0, 4, "of this manual."), ("d", 50, "e", 0, 5, "the reader")]
+    got = {r["block_id"]: (r["paragraph_id"], r["noise"], r["text"]) for r in sr.repair(frame(rows, BLOCK), lexicon()).collect()}
+    assert got == {
+        "a": ("a", ["hyphen"], "the folder of the paragraph"), "x": ("a", [], ""), "b": ("a", [], "and the section"), "c": ("a", [], "of this manual."), "e": ("e", [], "the reader"),
+    }
+
+
+def test_header_recurs_in_another_window(frame):
+    body = ["The manual describes how every section and folder,", "are kept in a common library for every careful,", "reader and the paragraph of this manual."]
+    rows = [("d", k, f"d-{k}", 0, 1, "\n".join(["library of the careful reader", f"{w}, the", *body])) for k, w in ((3, "Folder"), (40, "Section"))]
+    got = {r["block_id"]: r["noise"] for r in sr.repair(frame(rows, BLOCK), lexicon()).collect()}
+    assert got == {"d-3": ["header"], "d-40": ["header"]}
+
+
+def test_long_sections_stay_in_order(frame):
+    rows = [("d", 0, "a", 2047, 1, "the folder of the para-"), ("d", 0, "b", 2048, 1, "graph of the sec-"), ("d", 1, "c", 0, 1, "tion.")]
+    got = {r["block_id"]: (r["paragraph_id"], r["text"]) for r in sr.repair(frame(rows, BLOCK), lexicon()).collect()}
+    assert got == {"a": ("a", "the folder of the paragraph"), "b": ("a", "of the section."), "c": ("c", "")}
