@@ -93,7 +93,8 @@ def by_pages(elements: DataFrame, cfg: Settings = Settings()) -> Parts:
     """A section for each page, headings kept as text; text over several pages is in each of them.
 
     A page of fewer than ``min_child_tokens`` and no table is carried into the next; the section
-    keeps the last page's path. Blocks stay in reading order over merged pages.
+    keeps the last page's path. Blocks stay in reading order over merged pages, or with
+    ``interleave_merged_pages`` take turns: the first of each page, the second of each page, ….
     """
     first = F.coalesce("page", F.lit(1))
     spread = elements.withColumn("page", F.explode(F.sequence(first, F.greatest(first, F.coalesce("end_page", first)))))
@@ -122,10 +123,16 @@ def by_pages(elements: DataFrame, cfg: Settings = Settings()) -> Parts:
         F.array(F.concat(F.lit("Page "), F.col("page_end").cast("string"))).alias("section_path"), "page_start", "page_end",
     )
     reading = F.row_number().over(Window.partitionBy("doc_id", "sec_idx").orderBy("page", "seq"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "sec_idx").orderBy("_turn", "page", "seq"))
     here = lambda df: df.drop("sec_idx").join(merged, ["doc_id", "page"]).withColumn("seq", reading)
+    if cfg.interleave_merged_pages:
+        turns = texts.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("seq")))
+        blocks = turns.drop("sec_idx").join(merged, ["doc_id", "page"]).withColumn("seq", turn).drop("_turn")
+    else:
+        blocks = here(texts)
     count = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_s"))
     placed = number_in_order(here(tables), ["doc_id"], "sec_idx", ["sec_idx", "seq"], "_t").join(count, "doc_id")
-    parts = _ids(sections, here(texts), placed, (F.col("_s") * 1000 + F.col("_t")).cast("int"))
+    parts = _ids(sections, blocks, placed, (F.col("_s") * 1000 + F.col("_t")).cast("int"))
     return Parts(parts.sections, parts.blocks, parts.tables.drop("_s", "_t"))
 
 

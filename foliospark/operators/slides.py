@@ -13,6 +13,15 @@ from foliospark.workspace import materialize
 Splitter = prose.Splitter
 
 
+def with_tables(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """The blocks of slides with the slides' tables, captions and grids, where they stand among them."""
+    grid = F.coalesce(F.nullif(F.col("markdown"), F.lit("")), t.grid_to_markdown(F.col("rows")))
+    order = F.row_number().over(Window.partitionBy("doc_id", "sec_idx").orderBy("seq")) - 1
+    columns = ("doc_id", "sec_idx", "seq", "block_id", "text", "page")
+    shown = tables.select("doc_id", "sec_idx", "seq", F.col("table_id").alias("block_id"), t.table_text(F.col("caption"), grid).alias("text"), "page")
+    return blocks.select(*columns).unionByName(shown).withColumn("block_order", order)
+
+
 def slides(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     """``(doc_id, sec_idx, heading, section_path, slide_number, text, divider, empty)``."""
     kept = blocks.filter(~t.is_blank(F.col("text"))).groupBy("doc_id", "sec_idx").agg(F.array_sort(F.collect_list(F.struct("block_order", "seq", "text"))).alias("b"))

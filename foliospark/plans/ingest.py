@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.deploy import ship
+from foliospark.functions import tokens
 from foliospark.operators import ladder, prose, sections, semantic, sheets, slides, stats
 from foliospark.sources import files
 from foliospark.sources.decoders import REGISTRY, Registry
@@ -64,7 +66,8 @@ def chunk_elements(docs: DataFrame, elements: DataFrame, cfg: Settings = Setting
     every = sections.Parts(*[materialize(x, "section-parts") for x in (every.sections, every.blocks, every.tables)])
     text = _shaped(prose.chunks(of(docs, "HEADING", "PAGE", "FLAT", "LLM_INFERRED"), every.sections, every.blocks, every.tables, splitter, cfg), docs)
     deck = sections.by_slides(of(elements, "SLIDE"), of(docs, "SLIDE"))
-    deck = sections.Parts(materialize(deck.sections, "slides"), materialize(deck.blocks, "slide-blocks"), deck.tables)
+    shown_blocks = slides.with_tables(deck.blocks, deck.tables) if cfg.emit_slide_tables else deck.blocks
+    deck = sections.Parts(materialize(deck.sections, "slides"), materialize(shown_blocks, "slide-blocks"), deck.tables)
     shown = _shaped(slides.chunks(deck.sections, deck.blocks, splitter, cfg), docs)
     empty = slides.slides(deck.sections, deck.blocks).groupBy("doc_id").agg(F.count_if("empty").cast("int").alias("empty_slides"))
     return known.join(empty, "doc_id", "left"), materialize(text, "text-chunks").unionByName(materialize(shown, "slide-chunks"))
@@ -77,13 +80,29 @@ _TABLE = ("doc_id", "sec_idx", "seq", "tbl_seq", "table_id", "markdown", "rows",
 
 def ingest(found: DataFrame, cfg: Settings = Settings(), registry: Registry = REGISTRY, embed: semantic.Embedder | None = None, classify=None) -> Ingested:  # type: ignore[no-untyped-def]
     """``found`` from ``files.scan`` to documents, chunks and results. Every file gives a result; what
-    goes wrong with one stays with it."""
+    goes wrong with one stays with it.
+
+    Prose is split by meaning with ``embed``, or the embedder registered for ``cfg.embedding_provider``;
+    only the provider of the default settings may be unregistered, and sentences are then joined by size.
+    Sizes are those of ``cfg.token_counter``.
+    """
+    with tokens.using(cfg):
+        return _ingest(found, cfg, registry, _splitter(cfg, embed), classify)
+
+
+def _splitter(cfg: Settings, embed: semantic.Embedder | None) -> prose.Splitter:
+    if embed is None and cfg.embedding_provider == Settings.embedding_provider and cfg.embedding_provider not in semantic.EMBEDDERS:
+        warnings.warn(f"no embedder registered for {cfg.embedding_provider!r}: prose is split by size, not by meaning", stacklevel=3)
+        return prose.by_size
+    return semantic.splitter(semantic.embedder(cfg, embed))
+
+
+def _ingest(found: DataFrame, cfg: Settings, registry: Registry, splitter: prose.Splitter, classify) -> Ingested:  # type: ignore[no-untyped-def]
     ship(found.sparkSession)
     decoded = materialize(files.decode(found, registry), "decoded-files")
     items = materialize(files.elements(decoded), "elements")
     gated = materialize(ladder.quality_gate(items, files.documents(decoded), cfg), "documents")
     good = gated.filter("error is null")
-    splitter = semantic.splitter(embed) if embed is not None else prose.by_size
     laid = good.filter(F.col("file_type").isin("pdf", "docx", "pptx"))
     known, written = chunk_elements(laid, items.join(laid.select("doc_id"), "doc_id", "left_semi"), cfg, splitter, classify)
     rows, heads = (materialize(x, "sheets") for x in sheets.from_grid(files.grids(decoded), cfg))

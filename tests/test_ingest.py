@@ -105,3 +105,44 @@ def test_normalize(spark):
     items = spark.createDataFrame(rows, "doc_id string, seq int, item string, label string, text string, page int, level int")
     got = {r["seq"]: (r["kind"], r["level"], r["is_page_start"]) for r in files.normalize(items).collect()}
     assert got == {0: ("heading", 1, False), 1: ("text", None, False), 3: ("heading", 3, False), 4: ("text", None, True)}
+
+
+def _pages(spark, folder, elements, cfg, kind="pdf"):
+    (folder / f"x.{kind}").write_bytes(b"1")
+    registry = Registry()
+    registry.register({kind}, lambda content, name: Decoded(elements=elements, page_count=1))
+    return ingest.ingest_folder(spark, str(folder), cfg, registry=registry).chunks
+
+
+def test_settings_choose_embedder_and_counter(spark, tmp_path):
+    from foliospark.config import Settings
+
+    text = " ".join(f"Sentence number {k} of the careful manual ends here." for k in range(40))
+    one = [{"kind": "text", "text": text, "page": 1}]
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    small = {"max_child_tokens": 120, "min_child_tokens": 5}
+    with pytest.raises(ValueError, match="no embedder registered"):
+        _pages(spark, tmp_path / "a", one, Settings(embedding_provider="nobody"))
+    with pytest.raises(ValueError, match="vocabulary"):
+        _pages(spark, tmp_path / "a", one, Settings(token_counter="tiktoken"))
+    calls = []
+    semantic.EMBEDDERS["mine"] = lambda cfg: calls.append(cfg) or semantic.hashed
+    try:
+        _pages(spark, tmp_path / "a", one, Settings(embedding_provider="mine", **small))
+    finally:
+        del semantic.EMBEDDERS["mine"]
+    assert len(calls) == 1
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if Path(ranks).exists():
+        sized = _pages(spark, tmp_path / "b", one, Settings(token_counter="tiktoken", token_encoder_model=ranks)).filter("role = 'parent'").first()
+        assert sized["token_count"] > len(text.split())
+
+
+def test_slide_tables(spark, tmp_path):
+    from foliospark.config import Settings
+
+    elements = [{"kind": "heading", "text": "Costs", "page": 1, "level": 1}, {"kind": "table", "table_rows": [["a", "b"], ["1", "2"]], "page": 1}, {"kind": "text", "text": "after it", "page": 1}]
+    for emit in (False, True):
+        (tmp_path / str(emit)).mkdir()
+        got = _pages(spark, tmp_path / str(emit), elements, Settings(emit_slide_tables=emit), "pptx").filter("role = 'child'").first()["text"]
+        assert got == ("Costs\n| a | b |\n| --- | --- |\n| 1 | 2 |\nafter it" if emit else "Costs\nafter it")

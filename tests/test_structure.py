@@ -113,3 +113,11 @@ def test_semantic_breaks_and_cache(spark):
     assert every.count() == 2 and new.count() == 1
     got = spark.createDataFrame([("a",)], "s string").select(semantic.hashed(F.col("s")).alias("v")).first()["v"]
     assert list(got) == semantic.hashed_vector("a")
+
+
+def test_merged_pages_take_turns(spark):
+    rows = [(0, "text", "a1", 1), (1, "text", "a2", 1), (2, "text", "b1", 2), (3, "text", "b2", 2)]
+    frame = spark.createDataFrame([("d", s, k, x, p, None, None, None, None, None, None) for s, k, x, p in rows], "doc_id string, seq int, kind string, text string, page int, end_page int, level int, is_page_start boolean, table_rows array<array<string>>, table_markdown string, caption string")
+    for turns, want in ((False, ["a1", "a2", "b1", "b2"]), (True, ["a1", "b1", "a2", "b2"])):
+        parts = sections.by_pages(frame, Settings(min_child_tokens=100, interleave_merged_pages=turns))
+        assert [r["text"] for r in parts.blocks.orderBy("block_order").collect()] == want
