@@ -59,6 +59,13 @@ def from_table(df: DataFrame, name: str, order: str, cells: dict[str, Column], d
     return rows, heads
 
 
+def cut(rows: DataFrame, heads: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The only sheet of each ``doc_id`` as sheets of at most ``most`` rows, ``<name>-1``, ``<name>-2``, …"""
+    at = F.floor(F.col("row_idx") / most).cast("int")
+    parts = rows.select("doc_id", at.alias("sheet_idx"), F.concat_ws("-", "sheet_name", (at + 1).cast("string")).alias("sheet_name"), (F.col("row_idx") % most).alias("row_idx"), "cells")
+    return parts, parts.select(*KEY).distinct().join(heads.select("doc_id", "columns", "has_header"), "doc_id")
+
+
 def dtypes(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """``(…, pos, column, dtype)``: empty, int64, float64 or object, by all non-empty cells."""
     cells = rows.select(*KEY, F.posexplode("cells").alias("pos", "cell"))

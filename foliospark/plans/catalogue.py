@@ -11,6 +11,7 @@ from foliospark.config import Settings
 from foliospark.functions import text as t
 from foliospark.operators import jobs, ladder, prose, semantic, sheets, slides, stats
 from foliospark.tables import deployed, table
+from foliospark.workspace import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,6 +144,54 @@ def row_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# every row of tables of any size: cut into sheets that the guard lets through
+_CUT = {
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
+}
+_PRICES = ("c_acctbal", "s_acctbal", "p_retailprice")
+
+
+def _cut_sheets(spark: SparkSession, d: str, most: int = _CFG.max_rows_for_row_chunking) -> tuple[DataFrame, DataFrame]:
+    parts = [
+        sheets.cut(*sheets.from_table(table(spark, d, name), name, columns[0], {c: _money(c) if c in _PRICES else F.col(c) for c in columns}), most)
+        for name, columns in _CUT.items()
+    ]
+    rows, heads = parts[0]
+    for r, h in parts[1:]:
+        rows, heads = rows.unionByName(r), heads.unionByName(h)
+    return materialize(rows, "cut-rows"), materialize(heads, "cut-heads")  # each is read several times
+
+
+def _cut_lines(name: str, columns: tuple[str, ...]) -> str:
+    line = " || ' | ' || ".join(f"'{c}: ' || " + (f"cast({c} as decimal(18,2))" if c in _PRICES else c) for c in columns)
+    return f"select '{name}' as doc_id, row_number() over (order by {columns[0]}) - 1 as i, {line} as line from {name}"
+
+
+@query(
+    f"""with recursive every as ({" union all ".join(_cut_lines(n, c) for n, c in _CUT.items())}),
+    sized as (select doc_id || '-' || (i // 5000 + 1) as sheet_name, cast(i % 5000 as integer) as row_idx, line, {_tokens("line")} as n from every),
+    walk as (
+      select sheet_name, row_idx, 0 as g, case when n >= 400 then 0 else 1 end as k, case when n >= 400 then 0 else n end as tk, case when n >= 400 then 1 else 0 end as ng from sized where row_idx = 0
+      union all
+      select s.sheet_name, s.row_idx, w.ng, case when w.k + 1 >= 10 or w.tk + s.n >= 400 then 0 else w.k + 1 end, case when w.k + 1 >= 10 or w.tk + s.n >= 400 then 0 else w.tk + s.n end,
+        w.ng + case when w.k + 1 >= 10 or w.tk + s.n >= 400 then 1 else 0 end
+      from walk w join sized s on s.sheet_name = w.sheet_name and s.row_idx = w.row_idx + 1
+    )
+    select sheet_name, cast(g as integer) as batch, min(row_idx) as first_row, max(row_idx) as last_row, sha256(string_agg(line, chr(10) order by row_idx)) as lines_hash
+    from walk join sized using (sheet_name, row_idx) group by sheet_name, g"""
+)
+def cut_row_batches(spark: SparkSession, d: str) -> DataFrame:
+    return sheets.batches(*_cut_sheets(spark, d)).select("sheet_name", "batch", "first_row", "last_row", F.sha2("lines", 256).alias("lines_hash"))
+
+
+@query()
+def cut_row_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return sheets.chunks(*_cut_sheets(spark, d)).select(
+        "chunk_id", "parent_id", "role", "sheet_name", F.get("row_range", F.lit(0)).alias("first_row"), F.get("row_range", F.lit(1)).alias("last_row"), "token_count", F.sha2("text", 256).alias("text_hash"), "chunk_seq"
+    )
+
+
 @query(
     " union all ".join(f"select '{n}' as sheet_name, cast(count(*) as integer) as row_count, count(*) > 5000 as guarded from {n}" for n in ("customer", "supplier", "part", "nation", "region", "orders"))
 )

@@ -73,3 +73,14 @@ def test_flat_json_overwrites(spark):
     row = ("c", "d", None, "child", "row", "t", ["a", "b"], "u", "csv", None, None, "s", [1, 2], 1, '{"role": "x", "k": "v"}')
     got = stats.flat_json(spark.createDataFrame([row], cols)).first()["metadata"]
     assert '"role":"x"' in got and '"row_start":"1"' in got and '"section_path":"a > b"' in got and "page" not in got.replace("page_", "")
+
+
+def test_every_row_of_large_tables_is_packed(spark):
+    from foliospark.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    rows, heads = catalogue._cut_sheets(spark, folder, most=40)
+    assert rows.filter("row_idx >= 40").count() == 0 and heads.filter("doc_id = 'customer'").count() == 4
+    cfg = Settings(max_rows_for_row_chunking=40)
+    packed = sheets.batches(rows, heads, cfg)
+    assert packed.selectExpr("sum(last_row - first_row + 1)").first()[0] == sum(spark.read.parquet(f"{folder}/{t}.parquet").count() for t in ("customer", "supplier", "part", "nation"))
