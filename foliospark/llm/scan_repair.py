@@ -120,9 +120,13 @@ def _count(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
+            tokens: Counter = Counter()  # words are looked for once in each different token
             for text in batch.column("text").to_pylist():
                 if text:
-                    counts.update(_WORD.findall(_HALVES.sub(" ", text).lower() if "\n" in text else text.lower()))
+                    tokens.update((_HALVES.sub(" ", text) if "\n" in text else text).split())
+            for token, n in tokens.items():
+                for word in _WORD.findall(token.lower()):
+                    counts[word] += n
             if len(counts) > 400_000:
                 yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
                 counts.clear()
@@ -139,9 +143,13 @@ def _skip_grams(blocks: DataFrame, index: dict[str, int], contexts: int, window:
         total = np.zeros(size, np.int64)
         for batch in batches:
             ids: list[int] = []
+            known: dict[str, list[int]] = {}
             for text in batch.column("text").to_pylist():
                 if text:
-                    ids += [index.get(w, -1) for w in _WORD.findall(text.lower())]
+                    for token in text.split():
+                        if token not in known:
+                            known[token] = [index.get(w, -1) for w in _WORD.findall(token.lower())]
+                        ids += known[token]
                     ids += [-1] * window
             a = np.array(ids, np.int64)
             for step in range(1, window + 1):
