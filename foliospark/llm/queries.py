@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import near_duplicates as nd
@@ -177,6 +177,21 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def p4_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each block of its document when its paragraphs are read one after the other."""
+    blocks = sr.repair(*_scanned(spark, d))
+    begins = blocks.filter("block_id = paragraph_id").select("paragraph_id", F.struct("sec_idx", "block_order", "block_id").alias("begin"))
+    own = Window.partitionBy("doc_id", F.floor(F.col("begin.sec_idx") / 4096)).orderBy("begin", "sec_idx", "block_order", "block_id")
+    return blocks.join(begins, "paragraph_id").select("doc_id", "block_id", F.row_number().over(own).alias("place"))
+
+
+ORACLES["p4_reading_order"] = """
+with b as (select distinct on (block_id) block_id, doc_id, sec_idx, block_order from blocks)
+select doc_id, block_id, cast(row_number() over (partition by doc_id, floor(sec_idx / 4096) order by sec_idx, block_order, block_id) as integer) as place from b
+"""
+
+
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sr.texts(*_scanned(spark, d)).select("block_id", F.explode("noise").alias("noise")).distinct()

@@ -1,26 +1,33 @@
 """Repairing text from scanned pages.
 
-1. Words and skip-gram counts are taken over all blocks, and skip-gram vectors learnt from them by
-   factorizing their shifted pointwise information (what training with negative samples does
-   implicitly). The vocabulary holds words of a least share of all tokens, so its size is bounded.
-2. A word is linked to the words far more frequent than it that plausible glyph edits lead to; the
-   one that fits its neighbours' vectors best corrects it.
+1. Words are counted over all blocks, and skip-gram vectors learnt from them by factorizing their
+   shifted pointwise information (what training with negative samples does implicitly). The *core*
+   are the words of at least one in ``share`` tokens, so it is bounded; the most frequent of them
+   have vectors.
+2. A rare word is linked to the words far more frequent than it that plausible glyph edits lead to,
+   if these are near it in the space of the vectors: its own vector is the sum of its contexts'. The
+   links of core words are looked up in the core. Whatever else the texts hold is asked of the whole
+   table of words, by a join on the strokes that look-alikes have in common, so no word is too rare
+   to be linked to or to have its own count respected. What fits its neighbours' vectors corrects.
 3. Running headers, footers and page numbers are found at the edges of blocks, by recurring within
    their document or by breaking off a line that had room for the next word.
 4. What is left is reflowed: words broken at line and page ends are joined, lines become paragraphs,
    and a paragraph goes on over the page when its sentence does.
+
+All thresholds are ratios of counts or shares of all tokens, so a corpus ten times as large of the
+same texts is repaired in the same way.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.workspace import materialize
@@ -31,6 +38,11 @@ LOOKALIKES = (
     ("b", "h"), ("m", "in"), ("9", "g"), ("rn", "m"), ("6", "b"), ("h", "li"), ("vv", "w"), ("d", "cl"), ("m", "rn"), ("8", "b"), ("3", "e"), ("4", "a"),
     ("7", "t"), ("|", "l"), ("|", "i"), ("$", "s"),
 )
+#: What look-alikes are made of: each edit above leaves the strokes of a word as they are.
+STROKES = {
+    "@": "a", "4": "a", "+": "t", "7": "t", "!": "l", "1": "l", "|": "l", "i": "l", "r": "l", "3": "c", "e": "c", "5": "s", "$": "s", "0": "o", "9": "g",
+    "n": "ll", "u": "ll", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "m": "lll", "w": "vv", "d": "cl",
+}
 #: Marks that break a word at the end of a line.
 BREAKS = "-¬­‐"
 _BREAKS = frozenset(BREAKS)
@@ -38,6 +50,7 @@ _SECOND = re.compile(r"\s*([^\W\d_][\w@+!|$]*(?:-[^\W\d_]+)*)")
 _TAIL = re.compile(r"\S*")
 _BROKEN = re.compile(rf"([^\W\d_][\w@+!|$]*)([{BREAKS}])[ \t]*$")
 _HALVES = re.compile(rf"[^\W_]+[{BREAKS}][ \t]*\n\s*\w+")
+_ENDS = re.compile(rf"([^\W\d_][\w@+!|$]*)[{BREAKS}][ \t]*\n\s*([^\W\d_][\w@+!|$]*(?:-[^\W\d_]+)*)")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _PIECE = re.compile(r"[\w@+!|$]+(?:[-'’][\w@+!|$]+)*")
 _LISTED = re.compile(r"^\s*(?:[-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S|\.{4}|\|.*\||\t|;.*;.*;|\S {3,}\S.* {3,}|\(\d+\)\s*$")
@@ -47,9 +60,42 @@ _LEADING = re.compile(rf"^\s*{_NUMBER}(?:\s{{2,}}|\t|\s*[|·–—]\s*)(?=\S)")
 _TRAILING = re.compile(rf"(?<=\S)(?:\s{{2,}}|\t|\s*[|·–—]\s*)(?:p(?:age)?\.?\s*)?{_NUMBER}\s*$", re.I)
 
 
+def glyph_edits(piece: str, own: int, counts: Mapping[str, int], ratio: float) -> list[str]:
+    """The words of ``counts`` that one plausible glyph edit of ``piece``, or else two, lead to and that
+    are ``ratio`` times as frequent as it; the most frequent first."""
+    lower = piece.lower()
+    if not 2 <= len(piece) <= 40 or not piece.isascii() or not any(c.isalpha() for c in piece):
+        return []
+    if len(piece) == 2 and piece.isalpha() and piece[1] != "I":
+        return []
+    if sum(c.isdigit() for c in piece) * 2 > len(piece) and len(piece) > 2:
+        return []
+    least = max(1, own) * ratio
+    out: set[str] = set()
+    first = {piece}
+    for _ in range(2):
+        after = set()
+        for form in first:
+            for wrong, right in LOOKALIKES:
+                at = form.find(wrong)
+                while at >= 0:
+                    after.add(form[:at] + right + form[at + len(wrong) :])
+                    at = form.find(wrong, at + 1)
+        # the same letters in another order are a typing error
+        out = {w for w in (a.lower() for a in after) if counts.get(w, 0) >= least and len(w) > 1 + piece.isalpha() and sorted(w) != sorted(lower)}
+        if out or len(piece) < 4:
+            break
+        first = after
+    return sorted(out, key=lambda w: (-counts.get(w, 0), w))
+
+
 @dataclass
 class Lexicon:
-    """Frequent words with their counts, vectors, and the words known to be right."""
+    """The core words with their counts, vectors, and the words known to be right.
+
+    ``words(word, n)`` is the table of all words; without it the core is all there is. ``found`` has
+    what that table says of other strings of the text at hand: counts and links.
+    """
 
     counts: dict[str, int] = field(default_factory=dict)
     index: dict[str, int] = field(default_factory=dict)
@@ -57,50 +103,73 @@ class Lexicon:
     contexts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.float32))
     sure: frozenset[str] = frozenset()
     ratio: float = 30.0
+    #: how often each context word is met, the first words of ``index``
+    met: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: shapes of lines that stand at the edges of blocks and not within
+    shapes: frozenset[str] = frozenset()
+    least: float = 1
+    apart: float = 0.1
+    words: DataFrame | None = None
 
     def __post_init__(self) -> None:
+        self.found: dict[str, tuple[int, list[str]]] = {}
         self._links: dict[str, list[str]] = {}
         self.tokens: dict[str, object] = {}
+        self.leads = {w[:k] for w in self.counts for k, c in enumerate(w) if c == "-"}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None}  # tables stay with the driver
+
+    def count(self, word: str) -> int:
+        n = self.counts.get(word)
+        return n if n is not None else self.found.get(word, (0,))[0]
 
     def known(self, word: str) -> bool:
-        return word in self.counts or word in self.sure
+        return word in self.sure or self.count(word) >= self.least
 
     def links(self, piece: str) -> list[str]:
         """Frequent words that glyph edits of ``piece`` lead to; none if it is right as it is."""
-        found = self._links.get(piece)
-        if found is None:
+        if piece in self.found:
+            return self.found[piece][1]
+        links = self._links.get(piece)
+        if links is None:
             if len(self._links) > 500_000:
                 self._links.clear()
-            found = self._links[piece] = self._edit(piece)
-        return found
+            links = self._links[piece] = self._edit(piece)
+        return links
 
     def _edit(self, piece: str) -> list[str]:
-        lower = piece.lower()
         if piece == "@":
             return ["a"]
-        if lower in self.sure or not 2 <= len(piece) <= 40 or not piece.isascii() or not any(c.isalpha() for c in piece):
-            return []
-        if len(piece) == 2 and piece.isalpha() and piece[1] != "I":
-            return []
-        if sum(c.isdigit() for c in piece) * 2 > len(piece) and len(piece) > 2:
+        lower = piece.lower()
+        if lower in self.sure:
             return []
-        least = max(1, self.counts.get(lower, 0)) * self.ratio
-        out = set()
-        first = {piece}
-        for _ in range(2):  # one edit, then two
-            after = set()
-            for form in first:
-                for wrong, right in LOOKALIKES:
-                    at = form.find(wrong)
-                    while at >= 0:
-                        after.add(form[:at] + right + form[at + len(wrong) :])
-                        at = form.find(wrong, at + 1)
-            # the same letters in another order are a typing error
-            out = {w for w in (a.lower() for a in after) if self.counts.get(w, 0) >= least and len(w) > 1 + piece.isalpha() and sorted(w) != sorted(lower)}
-            if out or len(piece) < 4:
-                break
-            first = after if len(after) < 400 else set()
-        return sorted(out, key=lambda w: (-self.counts.get(w, 0), w))
+        n = self.count(lower)
+        out = glyph_edits(piece, n, self.counts, self.ratio)
+        if out and lower in self.index and len(self.vectors):
+            vector = self.vectors[self.index[lower]]
+            out = [w for w in out if self.near(vector, n, w, self.counts[w])]
+        return out
+
+    def fold_in(self, at: np.ndarray, n: np.ndarray, negatives: int = 5) -> np.ndarray:
+        """The vector of a word that meets the context words ``at`` ``n`` times each."""
+        among = self.contexts[: len(self.met)]
+        shifted = np.maximum(np.log(n / n.sum() * self.met.sum() / np.maximum(self.met[at], 1)) - np.log(negatives), 0)
+        return (shifted @ among[at]) @ np.linalg.pinv(among.T @ among)
+
+    def near(self, vector: np.ndarray, n: int, word: str, word_n: int, told: np.ndarray | None = None) -> bool:
+        """Whether a word of that ``vector``, met ``n`` times, is near enough to ``word`` to be it misread.
+
+        The more frequent ``word`` is beside it, the likelier is a misreading, and the less need the
+        contexts say for it: by ``apart`` of cosine for each power of ten, up to a thousand. Where the
+        contexts tell nothing, nothing speaks against it.
+        """
+        if word in self.index and len(self.vectors):
+            told = self.vectors[self.index[word]]
+        length = float(np.linalg.norm(vector) * np.linalg.norm(told)) if told is not None else 0.0
+        if not length:
+            return True
+        return float(vector @ told) / length >= -self.apart * min(3.0, np.log10(word_n / max(1, n)))
 
     def best(self, links: list[str], around: list[str]) -> str:
         """Of several links the one whose vector fits the neighbours' best."""
@@ -114,25 +183,54 @@ class Lexicon:
         return links[int(np.argmax(score))]
 
 
+def shape(line: str) -> str | None:
+    """The form of a line that may be a mark or code: letters as ``A``, digits as ``9``. None for lines of
+    words: it has a digit, at most two tokens, and no run of five letters."""
+    x = line.strip()
+    if len(x) > 24 or len(x.split()) > 2 or not re.search(r"\d", x) or re.search(r"[^\W\d_]{5}", x):
+        return None
+    return re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "A", x))
+
+
 def _count(blocks: DataFrame) -> DataFrame:
-    """``(word, n)`` over all texts; words broken at line ends are left out."""
+    """``(kind, word, n)`` over all texts: of kind ``word`` the words, without those broken at line ends;
+    of kind ``edge`` and ``inner`` the shapes of lines at the edges of blocks and within."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+
+        def done() -> pa.RecordBatch:
+            kinds, words = zip(*counts) if counts else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "word", "n"])
+
         for batch in batches:
             tokens: Counter = Counter()  # words are looked for once in each different token
             for text in batch.column("text").to_pylist():
                 if text:
                     tokens.update((_HALVES.sub(" ", text) if "\n" in text else text).split())
+                    if "\n" in text:
+                        lines = _lines(text)
+                        for k, x in enumerate(lines):
+                            if len(x) <= 30 and (form := shape(x)):
+                                counts["edge" if k < 2 or k >= len(lines) - 3 else "inner", form] += 1
             for token, n in tokens.items():
                 for word in _WORD.findall(token.lower()):
-                    counts[word] += n
+                    counts["word", word] += n
             if len(counts) > 400_000:
-                yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                yield done()
                 counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        yield done()
 
-    return blocks.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return blocks.select("text").mapInArrow(run, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+
+
+def _edge_shapes(counted: DataFrame, least: int, share: int) -> frozenset[str]:
+    """The shapes met at edges ``least`` times, at least once in ``share`` lines of such shapes, and 30
+    times as often as within blocks: at most ``share``."""
+    by = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    forms = counted.filter("kind <> 'word'").groupBy("word").agg(by("edge").alias("edge"), by("inner").alias("inner")).filter(F.col("edge") >= least)
+    total = forms.agg(F.sum("edge")).first()[0] or 0
+    return frozenset(r["word"] for r in forms.filter((F.col("edge") >= 30 * F.col("inner")) & (F.col("edge") >= total / share)).collect())
 
 
 def _skip_grams(blocks: DataFrame, index: dict[str, int], contexts: int, window: int) -> DataFrame:
@@ -167,24 +265,26 @@ def _skip_grams(blocks: DataFrame, index: dict[str, int], contexts: int, window:
 def learn(blocks: DataFrame, sure: frozenset[str] = frozenset(), least: int = 8, share: int = 100_000, words: int = 4096, contexts: int = 256, window: int = 2, size: int = 48, negatives: int = 5) -> Lexicon:
     """The lexicon of ``blocks(text)``.
 
-    Words of at least ``least`` occurrences and one in ``share`` tokens: at most ``share`` words come
-    to the driver. The ``words`` most frequent of them have vectors of ``size`` numbers, from counts
-    with the ``contexts`` most frequent.
+    The core, words of at least ``least`` occurrences and one in ``share`` tokens, comes to the driver:
+    at most ``share`` words. The ``words`` most frequent of them have vectors of ``size`` numbers, from
+    counts with the ``contexts`` most frequent. All other words stay in a table of the shared folder;
+    they are as good as those of the core, which is only there to look most words up without a join.
+    Words of at least ``least`` occurrences and one in 30 x ``share`` tokens are known ones.
     """
-    counted = _count(blocks).persist()
+    every = materialize(_count(blocks), "scan-words")
+    counted = every.filter("kind = 'word'").select("word", "n")
     total = counted.agg(F.sum("n")).first()[0] or 0
     rows = counted.filter(F.col("n") >= max(least, total / share)).collect()
-    counted.unpersist()
     rows.sort(key=lambda r: (-r["n"], r["word"]))
-    lexicon = Lexicon({r["word"]: r["n"] for r in rows}, {r["word"]: k for k, r in enumerate(rows[:words])}, sure=sure)
+    lexicon = Lexicon({r["word"]: r["n"] for r in rows}, {r["word"]: k for k, r in enumerate(rows[:words])}, sure=sure, words=counted, shapes=_edge_shapes(every, least, share))
+    lexicon.least = max(least, total / (share * lexicon.ratio))
     contexts = min(contexts, len(lexicon.index))
     if not contexts:
         return lexicon
-    pairs = _skip_grams(blocks, lexicon.index, contexts, window).collect()  # at most words x contexts
+    pairs = _skip_grams(blocks, lexicon.index, contexts, window).toArrow()  # at most words x contexts
     n = np.zeros((len(lexicon.index), contexts))
-    if pairs:
-        at = np.array([r["pair"] for r in pairs])
-        n[at // contexts, at % contexts] = [r["n"] for r in pairs]
+    at = pairs.column("pair").to_numpy()
+    n[at // contexts, at % contexts] = pairs.column("n").to_numpy()
     with np.errstate(divide="ignore", invalid="ignore"):
         shifted = np.log(n * n.sum() / np.maximum(n.sum(1, keepdims=True) * n.sum(0, keepdims=True), 1)) - np.log(negatives)
     shifted = np.where(n > 0, np.maximum(shifted, 0), 0)
@@ -194,9 +294,125 @@ def learn(blocks: DataFrame, sure: frozenset[str] = frozenset(), least: int = 8,
     around = np.zeros_like(lexicon.vectors)
     around[:contexts] = v[:size].T * np.sqrt(s[:size])
     lexicon.contexts = around
+    lexicon.met = n.sum(0)
     return lexicon
 
 
+def strokes(word: Column) -> Column:
+    """The strokes of a word, the same for all its look-alikes."""
+    one = {k: v for k, v in STROKES.items() if len(v) == 1}
+    out = F.translate(F.lower(word), "".join(one), "".join(one.values()))
+    for glyph, of in STROKES.items():
+        if len(of) > 1:
+            out = F.replace(out, F.lit(glyph), F.lit(of))
+    return out
+
+
+def _asked(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``(doc_id, sec_idx, block_order, piece, near)``: what the core can't tell of ``rows`` and their
+    repair may look up: other words and word-like pieces, the wholes of broken words, and odd words put
+    together with their neighbours. ``near`` are the context words around it."""
+    contexts = len(lexicon.met)
+    schema = pa.schema([("doc_id", pa.string()), ("sec_idx", pa.int32()), ("block_order", pa.int32()), ("piece", pa.string()), ("near", pa.list_(pa.int32()))])
+
+    def unknown(part: str) -> bool:
+        lower = part.lower()
+        if lower in lexicon.counts:
+            return lower not in lexicon.index and bool(lexicon.links(part))
+        return len(part) <= 40 and any(c.isalpha() for c in part)
+
+    def parts(w: str) -> tuple[list[str], bool]:
+        """The unknown parts of a token, and whether it is odd to the core."""
+        if re.search(r"[_/\\]|\.\w", w):
+            return [], False
+        found = [p for m in _PIECE.finditer(w) for p in re.findall(r"[^-'’]+", m.group()) if unknown(p)]
+        return found, bool(found) or _token(w, lexicon) is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[list[str], bool]] = {}
+        place: dict[str, int] = {}
+        for batch in batches:
+            if len(known) > 500_000:
+                known.clear()
+                place.clear()
+            out: list[list] = [[], [], [], [], []]
+
+            def ask(at: tuple, piece: str, near: list[int] = []) -> None:
+                for column, value in zip(out, (*at, piece, near)):
+                    column.append(value)
+
+            for *at, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sec_idx", "block_order", "text"))):
+                if not text:
+                    continue
+                words = text.split()
+                for w in words:
+                    if w not in known:
+                        known[w] = parts(w)
+                        i = lexicon.index.get(_word(w), contexts)
+                        place[w] = i if i < contexts else -1
+                for k in [k for k, w in enumerate(words) if known[w][1]]:
+                    near = [i for i in (place[x] for x in (*words[max(0, k - 2) : k], *words[k + 1 : k + 3])) if i >= 0]
+                    for part in known[words[k]][0]:
+                        ask(at, part, near)
+                    for left in (k - 1, k):
+                        if 0 <= left < len(words) - 1 and words[left].isalpha():
+                            c = _word(words[left + 1])
+                            whole = words[left].lower() + c
+                            if c.isalpha() and len(whole) <= 40 and whole not in lexicon.counts:
+                                ask(at, whole)
+                if "\n" in text:
+                    for m in _ENDS.finditer(text):
+                        first, second = m[1], m[2]
+                        for piece in (first, second, first + second, f"{first}-{second}", first + second.split("-")[0]):
+                            if piece.lower() not in lexicon.counts:
+                                ask(at, piece)
+                                if piece.lower() != piece:
+                                    ask(at, piece.lower())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+
+    return rows.select("doc_id", "sec_idx", "block_order", "text").mapInArrow(run, "doc_id string, sec_idx int, block_order int, piece string, near array<int>")
+
+
+def _answers(asked: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``(piece, n, links)``: what the table of all words says of each different piece asked for.
+
+    Candidates for its links share its strokes and are frequent enough; those that glyph edits really
+    lead to, and that are near it by the vectors, are kept.
+    """
+    words = lexicon.words
+    near = asked.select("piece", F.explode("near").alias("at")).groupBy("piece", "at").agg(F.count(F.lit(1)).alias("n"))
+    near = near.groupBy("piece").agg(F.collect_list(F.struct("at", "n")).alias("near"))  # at most as many as there are contexts
+    of = asked.select("piece").distinct().withColumn("word", F.lower("piece"))
+    of = of.join(words, "word", "left").join(near, "piece", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "strokes": strokes(F.col("piece"))})
+    of = materialize(of, "scan-asked")
+    targets = words.filter(F.col("n") >= lexicon.ratio).select(F.col("word").alias("target"), F.col("n").alias("target_n"), strokes(F.col("word")).alias("strokes"))
+    own = of.filter("near is not null").select(F.col("piece").alias("target"), F.col("near").alias("target_near"))
+    met = of.join(targets, "strokes").filter(F.col("target_n") >= lexicon.ratio * F.greatest(F.col("n"), F.lit(1))).filter("target != word").join(own, "target", "left")
+    candidates = met.groupBy("piece", "n").agg(F.any_value("near").alias("near"), F.collect_list(F.struct("target", "target_n", "target_near")).alias("targets"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def context(near: list[dict] | None) -> tuple[np.ndarray, np.ndarray] | None:
+            return (np.array([x["at"] for x in near]), np.array([x["n"] for x in near], float)) if near else None
+
+        for batch in batches:
+            pieces, counts, links = [], [], []
+            for r in batch.to_pylist():
+                counted = {t["target"]: t["target_n"] for t in r["targets"]}
+                found = [] if r["piece"].lower() in lexicon.sure else glyph_edits(r["piece"], r["n"], counted, lexicon.ratio)
+                around = context(r["near"])
+                if found and around:
+                    vector = lexicon.fold_in(*around)
+                    told = {t["target"]: lexicon.fold_in(*c) for t in r["targets"] if t["target"] not in lexicon.index and (c := context(t["target_near"]))}
+                    found = [w for w in found if lexicon.near(vector, r["n"], w, counted[w], told.get(w))]
+                pieces.append(r["piece"])
+                counts.append(r["n"])
+                links.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(counts, pa.int64()), pa.array(links, pa.list_(pa.string()))], names=["piece", "n", "links"])
+
+    linked = candidates.mapInArrow(run, "piece string, n bigint, links array<string>")
+    return linked.unionByName(of.select("piece", "n", F.array().cast("array<string>").alias("links")).filter("n > 0").join(linked.select("piece"), "piece", "left_anti"))
+
+
 def _plain(line: str) -> str:
     """A line as its recurrences share it: without numbers, case, spaces and common misreadings."""
     x = _TRAILING.sub("", _LEADING.sub("", line)).lower()
@@ -238,10 +454,11 @@ def _edges(lines: list[str]) -> Iterator[tuple[str, str]]:
             yield p, inner
 
 
-def _furniture(blocks: list[Block], recurring: set[str] | None = None) -> None:
+def _furniture(blocks: list[Block], recurring: set[str] | None = None, shapes: frozenset[str] = frozenset()) -> None:
     """Move header, footer and number lines out of the blocks, which are in reading order.
 
     ``recurring`` are the edge lines of the whole document that recur; without it ``blocks`` are all.
+    ``shapes`` are those of lines that the corpus has at edges only.
     """
     if recurring is None:
         beside: dict[str, set[str]] = defaultdict(set)  # what stands inside of a line where it recurs
@@ -280,9 +497,8 @@ def _furniture(blocks: list[Block], recurring: set[str] | None = None) -> None:
             x, before = b.lines[-1], b.lines[-2]
             number = _page(x, b.page)
             recurs = _plain(x) in recurring and odd(x)
-            code = bool(re.match(r"^\s*[A-Z]{2}-\w{2,4}/\w{1,4}\s*$", x))
             after_end = even and odd(x) and len(x) < 60 and x[:1].isupper() and _sentence_end(before) and len(x.split()) <= 7 and width >= 30 and len(x) < width * 0.75 and (not _wraps(before, x, width))
-            if number or recurs or code or after_end:
+            if number or recurs or (odd(x) and shape(x) in shapes) or after_end:
                 b.foot.insert(0, b.lines.pop())
             else:
                 break
@@ -295,17 +511,19 @@ def _numbered(line: str) -> bool:
 def _joined(first: str, mark: str, second: str, lexicon: Lexicon) -> tuple[str, bool]:
     """The word of two halves, and whether the mark was no part of it."""
     whole, hyphened = (first + second).lower(), f"{first}-{second}".lower()
-    one, two = lexicon.counts.get(whole, 0), lexicon.counts.get(hyphened, 0)
+    one, two = lexicon.count(whole), lexicon.count(hyphened)
     if mark in "¬­":
         return first + second, True
     if one or two:
         return (first + second, True) if one >= two else (f"{first}-{second}", False)
     if lexicon.links(first + second):
         return first + second, True
+    if second[:1].isupper() and first[-1:].islower():  # the other half is lost
+        return f"{first}{mark} {second}", True
     if "-" in second and lexicon.known((first + second.split("-")[0]).lower()):
         return first + second, True
     real = lexicon.known(second.lower()) or bool(lexicon.links(second))
-    lead = lexicon.known(first.lower()) or any(w.startswith(first.lower() + "-") for w in lexicon.counts if "-" in w)
+    lead = lexicon.known(first.lower()) or first.lower() in lexicon.leads
     return (f"{first}-{second}", False) if real and lead and len(first) > 1 else (first + second, True)
 
 
@@ -349,16 +567,13 @@ def _read(blocks: list[Block], lexicon: Lexicon, ahead: str = "") -> None:
 
 @dataclass(frozen=True)
 class _Token:
-    """What a token is made of: its only piece in lower case if it is one, whether that is a known
-    word, and the links of its parts by where they stand."""
+    """The links of a token's parts by where they stand."""
 
-    single: str | None
-    known: bool
     links: tuple[tuple[int, int, list[str]], ...]
 
 
 def _token(w: str, lexicon: Lexicon) -> _Token | None:
-    """None for a token that needs no second look: known words, and what isn't words."""
+    """None for a token that needs no second look: words of the core, and what isn't words."""
     if re.search(r"[_/\\]|\.\w", w):
         return None
     pieces = list(_PIECE.finditer(w))
@@ -368,8 +583,8 @@ def _token(w: str, lexicon: Lexicon) -> _Token | None:
             if found := lexicon.links(part.group()):
                 links.append((m.start() + part.start(), m.start() + part.end(), found))
     single = pieces[0].group().lower() if len(pieces) == 1 and pieces[0].group().isalpha() else None
-    known = single is not None and lexicon.known(single)
-    return None if known and not links or not single and not links else _Token(single, known, tuple(links))
+    plain = single is None or single in lexicon.counts or single in lexicon.sure
+    return None if plain and not links else _Token(tuple(links))
 
 
 def _word(w: str) -> str:
@@ -379,10 +594,12 @@ def _word(w: str) -> str:
 def _two_parts(left: str, right: str, lexicon: Lexicon) -> str | None:
     """The frequent word that a space splits into ``left`` and ``right``, if these aren't both words."""
     a, c = left.lower(), _word(right)
-    if not (left.isalpha() and c.isalpha() and right[: len(c)].lower() == c) or (lexicon.known(a) and lexicon.known(c)):
+    if not (left.isalpha() and c.isalpha() and right[: len(c)].lower() == c):
         return None
     whole = a + c
-    if whole in lexicon.counts:
+    if lexicon.known(a) and lexicon.known(c) and (lexicon.count(whole) < lexicon.ratio * max(lexicon.count(a), lexicon.count(c)) or {a, c} & lexicon.sure):
+        return None
+    if lexicon.known(whole) and whole not in lexicon.sure or whole in lexicon.counts:
         return whole
     if len(whole) > 5 and not (lexicon.known(a) or lexicon.known(c) or lexicon.links(a) or lexicon.links(c)):
         return next(iter(lexicon.links(whole)), None)
@@ -437,7 +654,7 @@ def repair_blocks(blocks: list[Block], lexicon: Lexicon, recurring: set[str] | N
 
     ``taken`` characters of the first line belong to a word begun in the stretch before.
     """
-    _furniture(blocks, recurring)
+    _furniture(blocks, recurring, lexicon.shapes)
     if taken:
         first = next(b for b in blocks if b.lines)
         first.lines[0] = first.lines[0][taken:]
@@ -492,18 +709,25 @@ def _opened(rows: list[dict]) -> tuple[list[Block], list[dict], set[str] | None]
     return blocks, own, {r["text"] for r in rows if r["kind"] == "a head"} if rows[-1]["several"] else None
 
 
-def _in_windows(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with the window each is in, ``(doc_id, stretch, part)`` in reading order, and whether
+def _several(rows: DataFrame) -> DataFrame:
+    """``(doc_id, long)``: the documents of several windows."""
+    start, part = _cuts()
+    return materialize(rows.filter((start > 0) | (part > 0)).groupBy("doc_id").agg(F.max(part > 0).alias("long")), "scan-documents")
+
+
+def _cuts() -> tuple[Column, Column]:
+    return F.coalesce(F.floor(F.col("sec_idx") / _STRETCH), F.lit(0)), F.coalesce(F.floor(F.col("block_order") / _LONG), F.lit(0))
+
+
+def _in_windows(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows`` with the window each is in, ``(doc_id, stretch, part)`` in reading order, and whether
     its document has ``several``: 16 sections a window, or 2048 blocks of one section in a document
     with a longer one."""
-    start = F.coalesce(F.floor(F.col("sec_idx") / _STRETCH), F.lit(0))
-    part = F.coalesce(F.floor(F.col("block_order") / _LONG), F.lit(0))
-    rows = blocks.select("doc_id", "sec_idx", "block_id", "block_order", "page", "text")
-    several = materialize(rows.filter((start > 0) | (part > 0)).groupBy("doc_id").agg(F.max(part > 0).alias("long")), "scan-documents")
+    start, part = _cuts()
     long = F.coalesce("long", F.lit(False))
     return rows.join(several, "doc_id", "left").select(
         *rows.columns, F.when(long, F.coalesce("sec_idx", F.lit(0))).otherwise(start).cast("bigint").alias("stretch"),
-        F.when(long, part).otherwise(F.lit(0)).cast("bigint").alias("part"), F.col("long").isNotNull().alias("several"), F.lit("block").alias("kind"),
+        F.when(long, part).otherwise(F.lit(0)).cast("bigint").alias("part"), F.col("long").isNotNull().alias("several"),
     )
 
 
@@ -512,9 +736,10 @@ def _sorted_windows(rows: DataFrame) -> DataFrame:
 
 
 def _told(rows: DataFrame, like: DataFrame) -> DataFrame:
-    """``rows(doc_id, stretch, part, kind, text)`` as rows that stand before a window's blocks."""
-    given = {"sec_idx": "int", "block_id": "string", "block_order": "int", "page": "int"}
-    return rows.withColumns({c: F.lit(None).cast(t) for c, t in given.items()} | {"several": F.lit(True)}).select(*like.columns)
+    """``rows(doc_id, stretch, part, kind, text, …)`` as rows that stand before a window's blocks."""
+    given = {"sec_idx": "int", "block_id": "string", "block_order": "int", "page": "int", "n": "bigint", "links": "array<string>"}
+    missing = {c: F.lit(None).cast(t) for c, t in given.items() if c not in rows.columns}
+    return rows.withColumns(missing | {"several": F.col("several") if "several" in rows.columns else F.lit(True)}).select(*like.columns)
 
 
 def _heads(placed: DataFrame) -> DataFrame:
@@ -534,7 +759,7 @@ def _heads(placed: DataFrame) -> DataFrame:
     return recurs.select(*_WINDOW, F.lit("a head").alias("kind"), "text")
 
 
-def _boundaries(rows: DataFrame) -> DataFrame:
+def _boundaries(rows: DataFrame, shapes: frozenset[str]) -> DataFrame:
     """``(doc_id, stretch, part, kind, text)``: how many characters of a window's first line a word
     begun before it takes (``a taken``), and the word that follows the window (``a next``)."""
     ends = pa.schema([("doc_id", pa.string()), ("stretch", pa.int64()), ("part", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("alone", pa.bool_())])
@@ -544,7 +769,7 @@ def _boundaries(rows: DataFrame) -> DataFrame:
         def each() -> Iterator[dict]:
             for rows in _by_window(batches):
                 blocks, _, recurring = _opened(rows)
-                _furniture(blocks, recurring)
+                _furniture(blocks, recurring, shapes)
                 lines = [x for b in blocks for x in b.lines]
                 if lines:
                     last = lines[-1].split()[-1] if lines[-1].rstrip(" \t")[-1:] in _BREAKS else ""
@@ -575,11 +800,19 @@ def _boundaries(rows: DataFrame) -> DataFrame:
 def _repaired(blocks: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row a block, with paragraphs as far as the window tells: ``lead`` rows belong to the paragraph
     that is open before it, if one is; the window's first row says how it ``ends``."""
-    placed = _in_windows(blocks)
+    given = blocks.select("doc_id", "sec_idx", "block_id", "block_order", "page", "text")
+    divided = _several(given)
+    told = {"kind": F.lit("block"), "n": F.lit(None).cast("bigint"), "links": F.lit(None).cast("array<string>")}
+    placed = _in_windows(given, divided).withColumns(told)
     several = placed.filter("several")
     heads = materialize(_heads(several), "scan-heads")
-    met = materialize(_boundaries(several.unionByName(_told(heads, placed))), "scan-boundaries")
+    met = materialize(_boundaries(several.unionByName(_told(heads, placed)), lexicon.shapes), "scan-boundaries")
     rows = placed.unionByName(_told(heads, placed)).unionByName(_told(met, placed))
+    if lexicon.words is not None:
+        asked = materialize(_asked(given, lexicon), "scan-pieces")
+        where = _in_windows(asked.select("doc_id", "sec_idx", "block_order", "piece"), divided).select(*_WINDOW, "several", "piece").distinct()
+        said = where.join(_answers(asked, lexicon), "piece").select(*_WINDOW, "several", F.lit("a word").alias("kind"), F.col("piece").alias("text"), "n", "links")
+        rows = rows.unionByName(_told(said, placed))
     end = pa.struct([("through", pa.bool_()), ("open", pa.bool_()), ("paragraph", pa.string())])
     schema = pa.schema([
         ("doc_id", pa.string()), ("stretch", pa.int64()), ("part", pa.int64()), ("several", pa.bool_()), ("sec_idx", pa.int32()), ("block_order", pa.int32()), ("block_id", pa.string()),
@@ -588,6 +821,9 @@ def _repaired(blocks: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def finish(rows: list[dict]) -> list[dict]:
         found, own, recurring = _opened(rows)
+        if not found:
+            return []
+        lexicon.found = {r["text"]: (r["n"], r["links"]) for r in rows if r["kind"] == "a word"}
         told = {r["kind"]: r["text"] for r in rows if r["kind"] in ("a next", "a taken")}
         repair_blocks(found, lexicon, recurring, int(told.get("a taken", 0)), told.get("a next", ""))
         out, paragraph, open_, lead = [], None, None, True

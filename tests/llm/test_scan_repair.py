@@ -91,3 +91,48 @@ def test_long_sections_stay_in_order(frame):
     rows = [("d", 0, "a", 2047, 1, "the folder of the para-"), ("d", 0, "b", 2048, 1, "graph of the sec-"), ("d", 1, "c", 0, 1, "tion.")]
     got = {r["block_id"]: (r["paragraph_id"], r["text"]) for r in sr.repair(frame(rows, BLOCK), lexicon()).collect()}
     assert got == {"a": ("a", "the folder of the paragraph"), "b": ("a", "of the section."), "c": ("c", "")}
+
+
+def tokens(n, *words):
+    return [(" ".join([w] * 1),) for w in words for _ in range(n)]
+
+
+def repaired(frame, lex, *texts):
+    rows = [("d", k, f"b{k}", 0, 1, t) for k, t in enumerate(texts)]
+    return [r["text"] for r in sr.repair(frame(rows, BLOCK), lex).orderBy("sec_idx").collect()]
+
+
+def test_no_word_is_too_rare(frame):
+    # the core holds one word in 20 only: the others' counts and links come from the table of all words
+    texts = frame(tokens(1100, "modern", "plain") + tokens(50, "modem", "library") + tokens(1, "1ibrary"), "text string")
+    lex = sr.learn(texts, share=5)
+    assert set(lex.counts) == {"modern", "plain"}
+    assert repaired(frame, lex, "the modem of the 1ibrary", "a moclern 1ibrarv") == ["the modem of the library", "a modern 1ibrarv"]
+    # the same texts a hundred times say the same
+    again = sr.learn(frame([(" ".join([t] * 100),) for (t,) in map(tuple, texts.collect())], "text string"), share=5)
+    assert repaired(frame, again, "the modem of the library") == ["the modem of the library"]
+
+
+def test_vectors_decide_links(frame):
+    lines = [("open the folder of paper now",)] * 80 + [(" ".join(f"{chr(97 + k)}{c}x" for c in "klmnop"),) for k in range(20)] * 40
+    lex = sr.learn(frame(lines, "text string"))
+    assert repaired(frame, lex, "open the fo1der of paper") == ["open the folder of paper"]
+    lex.vectors = -lex.vectors
+    assert repaired(frame, lex, "open the fo1der of paper") == ["open the fo1der of paper"]
+
+
+def test_strokes_survive_edits(frame):
+    pairs = frame([(a, b) for a, b in sr.LOOKALIKES] + [("x" + a + "y", "X" + b + "Y") for a, b in sr.LOOKALIKES], "a string, b string")
+    assert pairs.filter(sr.strokes(pairs.a) != sr.strokes(pairs.b)).count() == 0
+
+
+def test_lost_halves_are_not_glued():
+    b = fixed("the folder of the sec-\nThe reader")
+    assert " ".join(b.words) == "the folder of the sec- The reader" and b.noise == {"hyphen"}
+
+
+def test_shapes_of_edge_lines(frame):
+    body = "The manual describes\nhow every section is kept\nin a common library\nfor every careful reader\nof this manual."
+    lex = sr.learn(frame([(f"{body}\nQX-{k}/{k % 9}",) for k in range(60)] + [("A list of\n12 May\nand more\nlines in it\nand more\n13 May\nin the end\nof the text\nfor good",)] * 9, "text string"))
+    assert "A-9/9" in lex.shapes and "9 A" not in lex.shapes
+    assert sr.shape("plain words") is None and sr.shape("version 12") is None
