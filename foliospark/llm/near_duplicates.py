@@ -1,20 +1,25 @@
 """Near-duplicate texts through a byte-position inverted index with count filtering.
 
-Every text becomes the set of its word shingles, and every set a signature: a fixed number of
-bytes, where the byte at position *i* is a hash of the minimum of the set under the *i*-th
-permutation. Two sets of Jaccard similarity *j* agree in about a share *j* of the positions.
-
-The index maps *(position, bytes from that position on)* to the sets having them. A posting list of
-one byte would hold 1/256 of all sets whatever their number, and tallying it would be quadratic;
-so an entry spans ``width`` neighbouring bytes, ``width`` following from the threshold. Entries
-shared are tallied for each pair of sets of compatible sizes; a pair is retained that reaches
-``MATCHES`` entries. There are so many entries that a pair at the threshold reaches this but for a
-chance of ``miss``. What is retained is verified: the exact similarity of the two shingle sets.
-
-Texts with equal sets are one set in all of this, so copies are never paired with each other. A
-posting list longer than ``long_list`` is not paired as it is: its sets are listed again under
-every pair of (that entry, another entry), which splits it among sets that also agree elsewhere, as
-the tally demands of them anyway.
+Every text becomes the set of its word shingles, and every set a signature of bytes. The index maps
+positional bytes of the signatures to the sets having them, the entries that two sets share are
+tallied, pairs of compatible sizes that reach the minimum are retained, and what is retained is
+verified: the exact similarity of the two shingle sets. There are two kinds of signature.
+
+* ``exact``: the leading bytes of the shingles' own hashes, in the order of the hashes, as many as a
+  near partner can't miss: of a set of *n*, the first *n* - ceil(t n) + m. Any two sets of a similarity of
+  at least *t* then share *m* entries, guaranteed; nothing is lost. Lists are as long as shingles
+  are common, so this is for collections of texts without much in common, and to measure the other.
+* by default: a fixed number of bytes, where the byte at position *i* is a hash of the minimum of the
+  set under the *i*-th permutation. Two sets of Jaccard similarity *j* agree in about a share *j* of the
+  positions. A posting list of one byte would hold 1/256 of all sets whatever their number, and
+  tallying it would be quadratic; so an entry spans ``width`` neighbouring bytes, ``width`` following
+  from the threshold. There are so many entries that a pair at the threshold reaches the minimum but
+  for a chance of ``miss``, and a pair above it more surely.
+
+Texts with equal sets are one set in all of this, so copies are never paired with each other. Entries of
+more than ``long_list`` sets are found by partial counts and kept out of the lists. Their sets are
+dealt to parts, and each two parts of an entry meet in a task of their own, which tallies whole
+signatures; so no task holds more than two parts, whatever a list's length.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ _WORD = re.compile(r"[^\W_]+")
 _MAX_CACHED_WORDS = 500_000
 #: Index entries that a retained pair shares.
 MATCHES = 2
+#: Bytes kept of a shingle's hash for verification; two sets of 1000 then err by one in 10^8 pairs.
+_KEPT = 6
 
 
 @dataclass(frozen=True)
@@ -45,16 +52,18 @@ class Similarity:
     words: int = 5
     threshold: float = 0.8
     least: int = 1
-    miss: float = 2e-3
+    miss: float = 1e-4
     long_list: int = 1000
     seed: int = 20_011
+    exact: bool = False
 
     @property
     def width(self) -> int:
-        return max(1, min(6, round(math.log(0.125) / math.log(self.threshold))))
+        return _KEPT if self.exact else max(1, min(6, round(math.log(0.125) / math.log(self.threshold))))
 
     @property
     def entries(self) -> int:
+        """Entries of a set, where they are of a fixed number."""
         p = min(self.threshold**self.width, 0.999)
         n = MATCHES
         while sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(MATCHES)) > self.miss:
@@ -65,6 +74,15 @@ class Similarity:
     def positions(self) -> int:
         return self.width * self.entries
 
+    @property
+    def matches(self) -> int:
+        """Entries that a retained pair shares at least."""
+        return min(MATCHES, max(1, math.ceil(self.least * self.threshold - 1e-9))) if self.exact else MATCHES
+
+    def prefix(self, n: int) -> int:
+        """Of a set of ``n`` in order, the members that hold ``matches`` of those shared with any near set."""
+        return min(n, n - math.ceil(n * self.threshold - 1e-9) + self.matches)
+
 
 class _Shingler:
     """Word shingles of a text as a sorted array of distinct 64-bit hashes."""
@@ -110,8 +128,9 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _Shingler(how.words)
         rng = np.random.default_rng(how.seed)
-        a = rng.integers(1, 2**32, how.positions, dtype=np.uint32) | np.uint32(1)
-        b = rng.integers(0, 2**32, how.positions, dtype=np.uint32)
+        positions = 0 if how.exact else how.positions
+        a = rng.integers(1, 2**32, positions, dtype=np.uint32) | np.uint32(1)
+        b = rng.integers(0, 2**32, positions, dtype=np.uint32)
         for batch in batches:
             ids, owners, digests, sizes, signatures = [], [], [], [], []
             for i, o, t in zip(*(batch.column(c).to_pylist() for c in ("id", "owner", "text"))):
@@ -121,7 +140,7 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
                     owners.append(o)
                     digests.append(xxhash.xxh3_128_digest(members.tobytes()))
                     sizes.append(len(members))
-                    signatures.append(_signature(members, a, b))
+                    signatures.append(_cut(members[: how.prefix(len(members))]) if how.exact else _signature(members, a, b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), pa.array(owners, pa.string()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())],
                 names=["id", "owner", "digest", "size", "signature"],
@@ -133,68 +152,118 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
 _SIZE = 1 << 16
 
 
-def _index(reps: DataFrame, how: Similarity) -> DataFrame:
-    """``reps(key, size, signature)`` to ``(entry, set)``, one row per set and index entry.
-
-    What is shuffled most has few bytes: ``entry`` is the bytes themselves with their position while
-    one integer has room for that, and ``set`` holds the key with the size (at most 65535) behind it.
-    """
-    at = F.sequence(F.lit(0), F.lit(how.entries - 1))
+def _entries(how: Similarity) -> Column:
+    """The index entries of a signature: the bytes themselves, with their position while one integer has
+    room for that."""
+    w = how.width
+    count = F.floor(F.length("signature") / w) if how.exact else F.lit(how.entries)
 
     def entry(i: Column) -> Column:
-        part = F.substring("signature", i * how.width + 1, F.lit(how.width))
-        if how.width > 3:
+        part = F.substring("signature", i * w + 1, F.lit(w))
+        if w > 3 and not how.exact:
             return F.xxhash64(i, part)
-        return F.conv(F.hex(part), 16, 10).cast("bigint") + i * (1 << 24)
-
-    named = F.col("key") * _SIZE + F.least(F.col("size"), F.lit(_SIZE - 1))
-    return reps.select(named.alias("set"), F.explode(F.transform(at, entry)).alias("entry"))
+        number = F.conv(F.hex(part), 16, 10).cast("bigint")
+        return number if how.exact else number + i * (1 << 24)
+
+    return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), entry)
+
+
+def _close(p: Column, q: Column, how: Similarity) -> Column:
+    return F.least(p, q) >= how.threshold * F.greatest(p, q)
+
+
+def _hot(index: DataFrame, how: Similarity, rows: int) -> DataFrame | None:
+    """``(entry)`` of more than ``long_list`` sets; None if there is none. Entries are counted by slots
+    first, by partial sums, and one by one only in slots that exceed the length."""
+    slot = F.pmod(F.xxhash64("entry"), F.lit(max(1024, 8 * rows // how.long_list))).alias("slot")
+    heavy = materialize(index.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > how.long_list).select("slot"), "near-slots")
+    if heavy.isEmpty():
+        return None
+    counted = index.select("entry", slot).join(heavy, "slot").groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(counted.filter(F.col("n") > how.long_list), "near-hot")
+    return None if hot.isEmpty() else hot
+
+
+def _meetings(reps: DataFrame, hot: DataFrame, how: Similarity) -> DataFrame:
+    """``(a, b)``, the pairs retained among the sets of hot entries. A pair comes from the first hot entry
+    that it shares."""
+    own = reps.select("key", "size", _entries(how).alias("entries"))
+    listed = own.select("key", F.explode("entries").alias("entry")).join(hot, "entry")
+    marks = materialize(listed.select("key", "entry", F.ceil(F.col("n") / how.long_list).cast("int").alias("parts")), "near-marks")
+    hots = marks.groupBy("key").agg(F.collect_list("entry").alias("hot"))  # at most as many as a set has entries
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = marks.withColumn("part", part).withColumn("other", other).select("key", "entry", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+    full = cells.join(own.join(hots, "key"), "key")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        entry, i, j = (rows.column(c)[0].as_py() for c in ("entry", "i", "j"))
+        keys, sizes, parts = (rows.column(c).to_numpy() for c in ("key", "size", "part"))
+        entries, hots = (rows.column(c).to_pylist() for c in ("entries", "hot"))
+        left, right = np.flatnonzero(parts == i), np.flatnonzero(parts == j)
+
+        def tally(of: list[list[int]]) -> np.ndarray:
+            def flat(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                lists = [np.unique(np.array(of[k], np.int64)) for k in side]
+                return np.concatenate([*lists, np.empty(0, np.int64)]), np.repeat(np.arange(len(side)), [len(x) for x in lists])
+
+            (x, at_x), (y, at_y) = flat(left), flat(right)
+            both = np.intersect1d(x, y)
+            out = np.zeros((len(left), len(right)), np.float32)
+            for k in range(0, len(both), 2048):
+                some = both[k : k + 2048]
+                sides = []
+                for codes, at, many in ((x, at_x, len(left)), (y, at_y, len(right))):
+                    place = np.minimum(np.searchsorted(some, codes), len(some) - 1)
+                    there = some[place] == codes
+                    side = np.zeros((many, len(some)), np.float32)
+                    side[at[there], place[there]] = 1
+                    sides.append(side)
+                out += sides[0] @ sides[1].T
+            return out
+
+        kept = (tally(entries) >= how.matches) & (tally([[e for e in h if e < entry] for h in hots]) == 0)
+        p, q = sizes[left][:, None], sizes[right][None, :]
+        kept &= np.minimum(p, q) >= how.threshold * np.maximum(p, q)
+        a, b = np.nonzero(kept)
+        a, b = keys[left[a]], keys[right[b]]
+        different = a < b if i == j else a != b
+        a, b = a[different], b[different]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return full.groupBy("entry", "i", "j").applyInArrow(meet, "a bigint, b bigint")
 
 
 def candidates(reps: DataFrame, how: Similarity, many: int) -> DataFrame:
-    """Pairs ``(a, b)`` of keys, ``a < b``, that share at least ``MATCHES`` index entries.
+    """Pairs ``(a, b)`` of keys, ``a < b``, that share at least ``how.matches`` index entries.
 
-    Keys are numbers below ``many``. Up to 2^31 of them a pair is tallied under a single number.
+    Keys are numbers below ``many``. Up to 2^31 of them a pair is tallied under a single number. What is
+    shuffled most has few bytes: a set is its key with its size (at most 65535) behind it.
     """
-    lists = Window.partitionBy("entry")
-    counted = _index(reps, how).withColumn("many", F.count(F.lit(1)).over(lists)).filter("many > 1")
-    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("many") / how.long_list))  # 0 for a short list
-    met = materialize(counted.groupBy("entry", "many", part.alias("part")).agg(F.sort_array(F.collect_list("set")).alias("sets")), "near-index")
-
-    def close(p: Column, q: Column) -> Column:
-        p, q = F.pmod(p, F.lit(_SIZE)), F.pmod(q, F.lit(_SIZE))
-        return F.least(p, q) >= how.threshold * F.greatest(p, q)
-
+    named = F.col("key") * _SIZE + F.least(F.col("size"), F.lit(_SIZE - 1))
+    index = reps.select(named.alias("set"), F.explode(_entries(how)).alias("entry"))
+    rows = reps.agg(F.sum(F.floor(F.length("signature") / how.width))).first()[0] or 0
+    hot = _hot(index, how, rows)
+    short = index if hot is None else index.join(hot.select("entry"), "entry", "left_anti")
+    lists = Window.partitionBy("entry")  # of at most long_list rows
+    counted = short.withColumn("many", F.count(F.lit(1)).over(lists)).filter("many > 1")
+    met = materialize(counted.groupBy("entry").agg(F.sort_array(F.collect_list("set")).alias("sets")), "near-index")
     key = lambda c: F.shiftright(c, 16)
     pair = [key("x") * (1 << 31) + key("y")] if many <= 1 << 31 else [key("x"), key("y")]
     pair = [c.alias(f"p{k}") for k, c in enumerate(pair)]
     names = [f"p{k}" for k in range(len(pair))]
-    short = (
-        met.filter(F.col("many") <= how.long_list)
-        .select("sets", F.posexplode("sets").alias("at", "x"))
+    beside = (
+        met.select("sets", F.posexplode("sets").alias("at", "x"))
         .select("x", F.explode(F.slice("sets", F.col("at") + 2, F.greatest(F.size("sets") - F.col("at") - 1, F.lit(0)))).alias("y"))
-        .filter(close(F.col("x"), F.col("y")))
+        .filter(_close(F.pmod("x", F.lit(_SIZE)), F.pmod("y", F.lit(_SIZE)), how) & (key("x") != key("y")))
         .select(*pair)
     )
-    tallied = short.repartition(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MATCHES).select(*names)
-    found = tallied
-    long = met.filter(F.col("many") > how.long_list).select("entry", F.explode("sets").alias("set"))
-    if not long.isEmpty():
-        split = (
-            long.join(met.select(F.col("entry").alias("other"), F.explode("sets").alias("set")), "set")
-            .filter("entry != other")
-            .select(F.xxhash64(F.least("entry", "other"), F.greatest("entry", "other")).alias("both"), F.col("set").alias("x"))
-            .distinct()
-        )
-        again = split.join(split.select("both", F.col("x").alias("y")), "both").filter("x < y").filter(close(F.col("x"), F.col("y"))).select(*pair)
-        found = tallied.unionByName(again).distinct()
+    found = beside.repartition(*names).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= how.matches).select(*names)
     if len(names) == 1:
-        return found.select(F.shiftright("p0", 31).alias("a"), F.col("p0").bitwiseAND((1 << 31) - 1).alias("b"))
-    return found.select(F.col("p0").alias("a"), F.col("p1").alias("b"))
-
-
-#: Bytes kept of a shingle's hash for verification; two sets of 1000 then err by one in 10^8 pairs.
-_KEPT = 6
+        found = found.select(F.shiftright("p0", 31).alias("a"), F.col("p0").bitwiseAND((1 << 31) - 1).alias("b"))
+    else:
+        found = found.select(F.col("p0").alias("a"), F.col("p1").alias("b"))
+    return found if hot is None else found.unionByName(_meetings(reps, hot, how)).distinct()
 
 
 def _jaccard():
@@ -284,6 +353,9 @@ def near(texts: DataFrame, how: Similarity) -> Near:
 def pairs(found: Near) -> DataFrame:
     """``(id_a, id_b)``, ``id_a < id_b``: the near pairs of ids whose owners differ, copies included.
 
+    This lists every pair of copies too, as many as there are; ``groups`` is the form for collections
+    where one text has very many of them.
+
     A null owner differs from none, so its rows give no pair.
     """
     left = found.rows.select(F.col("key").alias("a"), F.col("id").alias("x"), F.col("owner").alias("p"))
@@ -298,19 +370,19 @@ def pairs(found: Near) -> DataFrame:
     )
 
 
-def groups(found: Near, most_rounds: int = 40) -> DataFrame:
+def groups(found: Near) -> DataFrame:
     """One row per id: ``(id, class_id, links)``; ``class_id`` is the least id of those reachable
     through near links, ``links`` the number of other texts (distinct shingle sets) linked to it.
 
-    Components by alternating large-star and small-star steps on links between distinct sets, each
-    step written to the shared folder; no group is gathered in one place.
+    Components by alternating large-star and small-star steps on links between distinct sets until
+    nothing changes, each step written to the shared folder; no group is gathered in one place.
     """
     named = found.rows.groupBy("key").agg(F.min("id").alias("name"))
     edges = materialize(found.links.select("a", "b"), "near-edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("links"))
     current, before = edges, None
-    for _ in range(most_rounds):
+    while True:  # the steps end: each lowers a node's neighbour or changes nothing
         two = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = two.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()

@@ -39,15 +39,30 @@ def _child_texts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: What revised copies are in this project; near-duplicates elsewhere are of five words and 0.8.
+_REVISED = nd.Similarity(words=3, threshold=0.5, least=40)
+
+
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = nd.near(_child_texts(spark, d), nd.Similarity(words=3, threshold=0.5, least=40))
+    found = nd.near(_child_texts(spark, d), _REVISED)
     return nd.pairs(found).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
 @query
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return nd.groups(nd.near(_child_texts(spark, d), nd.Similarity())).withColumnRenamed("id", "chunk_id")
+    """The class form of the same links."""
+    return nd.groups(nd.near(_child_texts(spark, d), _REVISED)).withColumnRenamed("id", "chunk_id")
+
+
+ORACLES["p1_found"] = r"""
+with c as (select distinct on (chunk_id) chunk_id, lower(url_decode(coalesce(source_uri, ''))) as owner, source_uri is null as ownerless,
+    list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from chunks where role = 'child' and block_type = 'text' and text is not null),
+s as (select chunk_id, owner, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: hash(w[i], w[i + 1], w[i + 2])))) as h from c where len(w) >= 42 and not ownerless),
+k as (select chunk_id, count(*) as n from s group by chunk_id having n >= 40),
+m as (select a.chunk_id as chunk_a, b.chunk_id as chunk_b, count(*) as o from s a join s b on a.h = b.h and a.chunk_id < b.chunk_id and a.owner <> b.owner group by all)
+select chunk_a, chunk_b from m join k x on x.chunk_id = chunk_a join k y on y.chunk_id = chunk_b where o >= 0.5 * (x.n + y.n - o)
+"""
 
 
 def _to_split(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +104,16 @@ select distinct item_kind, item_id from tok join size_limits using (item_kind) w
 """
 
 
+@query
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each item hold of its own, and how many are above the limit."""
+    own = F.sum(F.col("tokens") - F.col("shared_tokens")) + F.sum(F.when(F.col("piece_no") == 0, F.col("shared_tokens")).otherwise(0))
+    return p2_pieces(spark, d).groupBy("item_kind", "item_id", "item_tokens").agg(own.alias("covered_tokens"), F.count_if(F.col("tokens") > F.col("max_tokens")).alias("too_large"))
+
+
+ORACLES["p2_coverage"] = ORACLES["p2_found"].replace("select distinct item_kind, item_id from tok", "select distinct item_kind, item_id, cast(n as bigint) as item_tokens, cast(n as bigint) as covered_tokens, 0 as too_large from tok")
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return tk.with_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text", "tokens")
 

@@ -1,9 +1,13 @@
 """Splitting oversized items at natural boundaries, by packing the item's structure tree.
 
-A text is a tree: headings own what follows them, then paragraphs, list items and lines, sentences,
-clauses, words. Cutting starts at the top. Siblings that fit are merged, in order, up to the limit;
-only a node that is itself too large is descended into, and what it yields joins its neighbours
-where there is room. A table is a tree of rows and cells, its header row repeated in every piece.
+A text is a tree. Headings own what follows them, down to the next heading of their depth or above
+(``#`` to ``######``, ``1.1`` to ``1.1.1.1``, ``<h1>`` to ``<h6>``, lines that stand alone like titles);
+markup elements own what is nested in them; list items own the items indented below them; then
+come paragraphs, lines, sentences, clauses and words. Sibling subtrees that fit are merged, in order,
+up to the limit. Only a node that is itself too large is descended into, and its pieces stay its own:
+none holds the end of one subtree with the beginning of another. Below lines, where there is no more
+structure than running text, rests are filled up. A table is a tree of rows, cells and words, its header row
+repeated in every piece.
 
 Sizes are tokens: maximal runs without (Unicode) white space.
 """
@@ -18,14 +22,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.order import running_sum
+from foliospark.workspace import materialize
+
 # The characters of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = re.compile(f"[^{WHITE}]+")
 _ITEM = re.compile(r"(?:[-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])$")
-_HEADING = re.compile(r"(?:#{1,6}\s|\d+(?:\.\d+)+\.?\s+\S)")
-#: Kinds of cut, weakest first; a stronger one is a boundary higher in the tree.
-CUTS = ("word", "clause", "sentence", "line", "item", "paragraph", "heading")
+_HEADING = re.compile(r"(?:(#{1,6})\s|(\d+(?:\.\d+)+)\.?\s+\S|<h([1-6])[\s>])")
+_INDENT = re.compile(r"[ \t]*")
+_TAG = re.compile(r"<(/?)(section|article|div|table|tbody|thead|tr|td|th|ul|ol|dl|li|p|pre|blockquote)\b[^>]*?(/?)>", re.I)
+# Ranks of boundaries: a higher one is a boundary higher in the tree.
+_HEAD, _MARKUP, _PARAGRAPH, _LISTED, _LINE, _SENTENCE, _CLAUSE = 100, 90, 50, 48, 20, 10, 5
 _SPAN = 64
+_MOST_KINDS = 1000
+
+
+def cut_kind(rank: int) -> str:
+    """What a boundary of a rank is called."""
+    names = ((91, "heading"), (51, "element"), (_PARAGRAPH, "paragraph"), (_LINE + 1, "item"), (_LINE, "line"), (_SENTENCE, "sentence"), (_CLAUSE, "clause"))
+    return next((name for least, name in names if rank >= least), "word")
 
 
 def token_count(text: Column) -> Column:
@@ -38,59 +54,126 @@ def _line(text: str, start: int) -> str:
     return text[start : end if end >= 0 else len(text)][:200]
 
 
+def _depth(line: str) -> int:
+    """How deep a heading is, 0 if the line is none."""
+    m = _HEADING.match(line.lstrip())
+    if not m:
+        return 0
+    return len(m[1]) if m[1] else min(6, m[2].count(".") + 1) if m[2] else int(m[3])
+
+
+class _Nesting:
+    """How deep the markup elements and the items of a list are at a place."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+        self.indents: list[int] = []
+
+    def item(self, indent: int) -> int:
+        while self.indents and self.indents[-1] > indent:
+            self.indents.pop()
+        if not self.indents or self.indents[-1] < indent:
+            self.indents.append(indent)
+        return min(len(self.indents) - 1, 20)
+
+    def element(self, closing: bool, name: str, empty: bool) -> int:
+        """The depth an element opens at; closing tags close what was left open within."""
+        if closing:
+            if name in self.open:
+                while self.open.pop() != name:
+                    pass
+            return len(self.open)
+        depth = len(self.open)
+        if not empty:
+            self.open.append(name)
+        return depth
+
+
 def _strengths(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """For each token, the strength of the boundary before it (the first has 0).
+    """For each token, the rank of the boundary before it (the first has 0).
 
     A heading is kept with what follows it: the boundary after its line is a weak one.
     """
-    out = np.zeros(len(spans), np.int8)
+    out = np.zeros(len(spans), np.int16)
     first = _line(text, spans[0][0])
-    heading = bool(_HEADING.match(first))
-    for k in range(1, len(spans)):
-        end, start = spans[k - 1][1], spans[k][0]
+    heading = _depth(first) > 0
+    nest, marked = _Nesting(), "<" in text
+    listed = bool(_ITEM.match(text[spans[0][0] : spans[0][1]]))
+    if listed:
+        nest.item(0)
+    for k in range(len(spans)):
+        start = spans[k][0]
+        opened = -1
+        if marked and "<" in text[start : spans[k][1]]:
+            for m in _TAG.finditer(text, start, max(spans[k][1], text.find(">", start) + 1)):
+                depth = nest.element(bool(m[1]), m[2].lower(), bool(m[3]))
+                if opened < 0 and m.start() == start and not m[1]:
+                    opened = depth
+        if not k:
+            continue
+        end = spans[k - 1][1]
         gap = text[end:start]
         breaks = gap.count("\n")
-        if breaks or any(c in gap for c in "\r\f\u2028\u2029"):
+        if opened >= 0:
+            out[k] = _MARKUP - min(opened, 30)
+            heading = False
+        elif breaks or any(c in gap for c in "\r\f\u2028\u2029"):
             line = _line(text, start)
-            titled = bool(_HEADING.match(line)) or (breaks > 1 and len(line) < 80 and line[-1:] not in ".,;:" and line[:1].isupper())
-            if heading and not titled:
-                out[k] = 1
-            elif titled:
-                out[k] = 6
+            depth = _depth(line)
+            if not depth and breaks > 1 and len(line) < 80 and line[-1:] not in ".,;:" and line[:1].isupper():
+                depth = 7
+            item = bool(_ITEM.match(text[start : spans[k][1]]))
+            indent = len(gap) - max(gap.rfind(c) for c in "\n\r\f\u2028\u2029") - 1
+            if heading and not depth:
+                out[k] = _CLAUSE
+            elif depth:
+                out[k] = _HEAD - depth
+            elif item:
+                level = nest.item(indent)
+                out[k] = _LISTED - level if listed or breaks < 2 else _PARAGRAPH
             elif breaks > 1 or "\f" in gap or "\u2029" in gap:
-                out[k] = 5
-            elif _ITEM.match(text[start : spans[k][1]]):
-                out[k] = 4
+                if not (listed and indent):  # indented below an item, a paragraph belongs to it
+                    out[k], listed = _PARAGRAPH, False
+                    nest.indents.clear()
+                else:
+                    out[k] = _LINE + 1
             else:
-                out[k] = 3
-            heading = titled
+                out[k] = _LINE
+            if item:
+                listed = True
+            elif depth:
+                listed = False
+                nest.indents.clear()
+            heading = depth > 0
         else:
             last = text[end - 1]
             if last in ")\"'”’»]" and end >= 2:
                 last = text[end - 2]
             if last in ".!?…。":
-                out[k] = 2
+                out[k] = _SENTENCE
             elif last in ",;:)|" or text[end - 1] == ")":
-                out[k] = 1
+                out[k] = _CLAUSE
     return out
 
 
-def _pack(first: int, last: int, level: int, strength: np.ndarray, limit: int, more: int = 0) -> list[tuple[int, int]]:
+def _pack(first: int, last: int, rank: np.ndarray, limit: int, more: int = 0) -> list[tuple[int, int]]:
     """Token range [first, last) as ranges of at most ``limit`` tokens, the first of ``limit + more``."""
     if last - first <= limit + more:
         return [(first, last)]
-    if level == 0:
+    top = int(rank[first + 1 : last].max())
+    if top == 0:
         return [(first, first + limit + more), *((at, min(at + limit, last)) for at in range(first + limit + more, last, limit))]
-    cuts = (np.flatnonzero(strength[first + 1 : last] >= level) + first + 1).tolist()
-    if not cuts:
-        return _pack(first, last, level - 1, strength, limit, more)
+    cuts = (np.flatnonzero(rank[first + 1 : last] == top) + first + 1).tolist()
     out: list[tuple[int, int]] = []
+    closed = False  # whether the last piece may not grow: it is part of an oversized node
     for a, b in zip([first, *cuts], [*cuts, last]):
-        for piece in _pack(a, b, level - 1, strength, limit, more if a == first else 0):
-            if out and piece[1] - out[-1][0] <= limit + (more if len(out) == 1 else 0):
+        room = limit + (more if a == first else 0)
+        for piece in _pack(a, b, rank, limit, more if a == first else 0):
+            if out and not closed and piece[1] - out[-1][0] <= limit + (more if len(out) == 1 else 0):
                 out[-1] = (out[-1][0], piece[1])
             else:
                 out.append(piece)
+            closed = top >= _LINE and b - a > room
     return out
 
 
@@ -98,12 +181,12 @@ def split_text(text: str | None, limit: int, overlap: int, lead: str = "") -> li
     """Pieces ``(text, tokens, tokens shared with the piece before, kind of the cut before it)``.
 
     Without blank edges, every token of ``text`` is in one piece besides the overlaps. ``lead`` is
-    what comes right before ``text``: the first piece shares its last tokens. An overlap of more
-    than half the limit counts as half; a limit under 1 as 1.
+    what comes right before ``text``: the first piece shares its last tokens. Each piece has a token
+    of its own, so an overlap of the limit or more counts as one less; a limit under 1 as 1.
     """
     text = text or ""
     limit = max(1, limit)
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     before = [m.span() for m in _TOKEN.finditer(lead)][-overlap:] if overlap and lead else []
     spans = [m.span() for m in _TOKEN.finditer(text)]
     if not spans:
@@ -115,9 +198,9 @@ def split_text(text: str | None, limit: int, overlap: int, lead: str = "") -> li
     skip = len(before)
     strength = _strengths(text, spans)
     out = []
-    for a, b in _pack(skip, len(spans), len(CUTS) - 1, strength, limit - overlap, overlap - skip):
+    for a, b in _pack(skip, len(spans), strength, limit - overlap, overlap - skip):
         shared = min(overlap, a)
-        out.append((text[spans[a - shared][0] : spans[b - 1][1]], b - a + shared, shared, CUTS[strength[a]] if a else "start"))
+        out.append((text[spans[a - shared][0] : spans[b - 1][1]], b - a + shared, shared, cut_kind(int(strength[a])) if a else "start"))
     return out
 
 
@@ -128,15 +211,15 @@ def _cells(row: list[str | None] | None) -> list[int]:
 def split_table(rows: list[list[str | None] | None] | None, limit: int) -> list[tuple[list, int, int, str]]:
     """Pieces ``(rows, tokens, header tokens, kind of the cut before it)`` of at most ``limit`` tokens.
 
-    The header row leads every piece, unless it has more than half the limit, when it is a row like
-    any other. A row that is too large becomes several, each with some of its cells, or parts of a
+    The header row leads every piece, unless it leaves no room for a token, when it is a row like any
+    other. A row that is too large becomes several, each with some of its cells, or parts of a
     cell, in their columns and the others empty. Null rows are empty rows.
     """
     rows = [list(r or []) for r in rows or []]
     if not rows:
         return []
     head = sum(_cells(rows[0]))
-    keep = head <= limit // 2
+    keep = head < limit
     room = max(1, limit - head) if keep else max(1, limit)
     body, units = rows[1:] if keep else rows, []
     for row in body:
@@ -191,10 +274,15 @@ def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """The rows of ``items(item_kind, item_id, item_tokens, ...)`` above their kind's limit, with it.
 
     ``limits(item_kind, max_tokens, overlap_tokens)`` has a row for each kind; kinds without one, or
-    with a null limit, have no limit. It is small by nature: one row a kind.
+    with a null limit, have no limit. There are few kinds (an error above 1000), so they become literals.
     """
-    of = limits.dropDuplicates(["item_kind"]).select("item_kind", "max_tokens", "overlap_tokens")
-    return items.join(of, "item_kind").filter("item_tokens > max_tokens")
+    rows = limits.dropDuplicates(["item_kind"]).filter("item_kind is not null and max_tokens is not null").limit(_MOST_KINDS + 1).collect()
+    if len(rows) > _MOST_KINDS:
+        raise ValueError(f"more than {_MOST_KINDS} kinds of items")
+    of = lambda c: F.create_map(*[F.lit(x) for r in rows for x in (r["item_kind"], r[c])])[F.col("item_kind")].cast("int")
+    if not rows:
+        return items.withColumns({"max_tokens": F.lit(0), "overlap_tokens": F.lit(0)}).filter(F.lit(False))
+    return items.withColumns({"max_tokens": of("max_tokens"), "overlap_tokens": of("overlap_tokens")}).filter("item_tokens > max_tokens")
 
 
 def texts_to_split(texts: DataFrame, limits: DataFrame) -> DataFrame:
@@ -224,25 +312,29 @@ def blocks_to_split(blocks: DataFrame, limits: DataFrame, kind: str = "section")
 
     Repeated blocks count once. Sizes come first, without texts, so that only oversized items bring
     theirs. However large an item is, no task holds more of it than about 64 limits: it is handed on
-    in spans of whole blocks, each leading in with the end of the block before.
+    in spans of whole blocks, each led in by as many blocks before it as the overlap needs.
     """
     sized = blocks.select("item_id", "block_id", "place", token_count(F.col("text")).cast("bigint").alias("tokens")).dropDuplicates(["item_id", "block_id"])
     total = sized.groupBy("item_id").agg(F.sum("tokens").alias("item_tokens")).withColumn("item_kind", F.lit(kind))
-    large = oversized(total, limits)
-    parts = blocks.join(large, "item_id").dropDuplicates(["item_id", "block_id"]).withColumn("tokens", token_count(F.col("text")))
-    in_order = Window.partitionBy("item_id").orderBy(F.col("place").asc_nulls_last(), "block_id")
-    parts = (
-        parts.withColumn("upto", F.sum("tokens").over(in_order) - F.col("tokens"))
-        .withColumn("span", F.floor(F.col("upto") / (F.col("max_tokens") * _SPAN)).cast("int"))
-        .withColumns({"prev": F.lag("text").over(in_order), "prev_span": F.lag("span").over(in_order)})
-        .withColumn("tail", F.when(F.col("prev_span") < F.col("span"), F.col("prev")))
-    )
-    piece = F.struct("place", "block_id", "text", "tail")
-    grouped = parts.groupBy("item_kind", "item_id", "item_tokens", "max_tokens", "overlap_tokens", "span").agg(F.array_sort(F.collect_list(piece)).alias("b"))
+    large = materialize(oversized(total, limits), "split-large")
+    width = F.col("max_tokens") * _SPAN
+    order = [F.col("place").asc_nulls_last(), "block_id"]
+    placed = running_sum(sized.join(large, "item_id"), ["item_id"], "place", order, F.col("tokens"), "upto")
+    placed = materialize(placed.withColumn("span", F.floor((F.col("upto") - F.col("tokens")) / width).cast("int")), "split-places")
+    starts = placed.groupBy("item_id", "span").agg(F.min(F.col("upto") - F.col("tokens")).alias("start"))
+    ahead = F.array_distinct(F.array(F.floor(F.col("upto") / width).cast("int"), F.floor((F.col("upto") + F.coalesce("overlap_tokens", F.lit(0))) / width).cast("int")))
+    told = ["item_kind", "item_id", "item_tokens", "max_tokens", "overlap_tokens", "span"]
+    leads = (
+        placed.withColumn("_own", F.col("span")).withColumn("span", F.explode(ahead)).filter("span > _own")
+        .join(starts, ["item_id", "span"]).filter("start >= upto and start < upto + overlap_tokens")
+    )
+    marks = placed.select(*told, "block_id", "place", F.lit(False).alias("lead")).unionByName(leads.select(*told, "block_id", "place", F.lit(True).alias("lead")))
+    texts = blocks.select("item_id", "block_id", "text").join(marks, ["item_id", "block_id"]).dropDuplicates(["item_id", "block_id", "span", "lead"])
+    piece = F.struct(F.col("place").isNull().alias("late"), "place", "block_id", "lead", "text")
+    grouped = texts.groupBy(*told).agg(F.array_sort(F.collect_list(piece)).alias("b"))
+    of = lambda lead: F.array_join(F.transform(F.filter("b", lambda x: x["lead"] == lead), lambda x: x["text"]), "\n\n")
     return grouped.select(
-        "item_kind", "item_id", "item_tokens", "max_tokens", "overlap_tokens", "span",
-        F.concat(F.array_join(F.transform("b", lambda x: x["tail"]), ""), F.lit("\n\n")).alias("lead"),
-        F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("text"),
+        *told, F.when(of(True) != "", F.concat(of(True), F.lit("\n\n"))).alias("lead"), of(False).alias("text"),
         F.lit(None).cast("array<array<string>>").alias("table_rows"),
     )
 
@@ -251,5 +343,10 @@ def split(items: DataFrame) -> DataFrame:
     """The pieces of what ``*_to_split`` gave: ``(item_kind, item_id, item_tokens, max_tokens,
     piece_no, tokens, shared_tokens, cut, text, table_rows)``, ``piece_no`` from 0 in reading order.
     """
-    in_order = Window.partitionBy("item_kind", "item_id").orderBy("span", "at")
-    return _run(items).withColumn("piece_no", F.row_number().over(in_order) - 1).drop("span", "at")
+    pieces = materialize(_run(items), "pieces")
+    per = pieces.filter("span > 0").select("item_kind", "item_id").distinct()
+    counts = pieces.join(per, ["item_kind", "item_id"], "left_semi").groupBy("item_kind", "item_id", "span").agg(F.count(F.lit(1)).alias("n"))
+    in_order = Window.partitionBy("item_kind", "item_id").orderBy("span")  # a row a span
+    before = counts.withColumn("before", F.sum("n").over(in_order) - F.col("n")).drop("n")
+    numbered = pieces.join(before, ["item_kind", "item_id", "span"], "left").withColumn("piece_no", (F.coalesce("before", F.lit(0)) + F.col("at")).cast("int"))
+    return numbered.drop("span", "at", "before")

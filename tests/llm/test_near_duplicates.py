@@ -77,3 +77,28 @@ def test_parameters():
         how = nd.Similarity(threshold=threshold)
         p = threshold**how.width
         assert (1 - p) ** how.entries + how.entries * p * (1 - p) ** (how.entries - 1) <= how.miss
+
+
+def test_exact_mode_loses_nothing(frame):
+    rows = corpus(4, 60)
+    for threshold, least in ((0.5, 10), (0.8, 1)):
+        for long_list in (1000, 2):
+            how = nd.Similarity(words=2, threshold=threshold, least=least, exact=True, long_list=long_list)
+            assert found(frame, rows, how) == brute(rows, how) != set()
+    tiny = [("a", "u", "one two three"), ("b", "v", "one two three four"), ("c", "w", "x y z"), ("d", "u", "one two")]
+    how = nd.Similarity(words=2, threshold=0.5, exact=True)
+    assert found(frame, tiny, how) == brute(tiny, how) == {("a", "b"), ("a", "d")} - {("a", "d")}
+
+
+def test_one_large_family(frame):
+    # one text in 300 slightly different forms: every entry is hot, and lists are dealt to parts
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for v in range(150):
+        text = list(base)
+        text[rng.randrange(60)] = f"v{v}"
+        rows.append((f"{v:03}", f"uri{v % 7}", " ".join(text)))
+    how = nd.Similarity(words=3, threshold=0.5, least=10, long_list=20)
+    assert found(frame, rows, how) == brute(rows, how)
+    assert {r["class_id"] for r in nd.groups(nd.near(frame(rows, "id string, owner string, text string"), how)).collect()} == {"000"}

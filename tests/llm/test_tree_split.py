@@ -17,7 +17,7 @@ def test_pieces_cover_and_fit():
         for piece, n, shared, _ in pieces:
             own = ts._TOKEN.findall(piece)
             assert len(own) == n <= limit
-            assert shared == min(max(0, min(overlap, limit // 2)), len(again)) and (not shared or own[:shared] == again[-shared:])
+            assert shared == min(max(0, min(overlap, limit - 1)), len(again)) and (not shared or own[:shared] == again[-shared:])
             again += own[shared:]
         assert again == tokens
 
@@ -50,3 +50,38 @@ def test_operator(frame):
     tabs = frame([("s", "t1", [["a"], ["b c d e f g h"]])], "item_kind string, item_id string, table_rows array<array<string>>")
     assert ts.split(ts.tables_to_split(tabs, limits)).count() == 2
     assert ts.split(ts.texts_to_split(texts.limit(0), limits)).count() == 0
+
+
+def test_depths_are_levels_of_the_tree():
+    part = lambda head, n: f"{head}\n\n" + " ".join(["word"] * n) + ".\n\n"
+    text = part("# A", 3) + part("## A1", 8) + part("## A2", 8) + part("# B", 3) + part("## B1", 3)
+    pieces = [p[0].split("\n")[0] for p in ts.split_text(text, 16, 0)]
+    assert pieces == ["# A", "## A2", "# B"]  # B isn't begun in the piece that ends A, its own parts are together
+    text = part("1.1 One", 2) + part("1.1.1 Deep", 9) + part("1.1.2 Deep", 9) + part("1.2 Two", 2)
+    assert [p[0].split("\n")[0] for p in ts.split_text(text, 15, 0)] == ["1.1 One", "1.1.2 Deep", "1.2 Two"]
+
+
+def test_nested_lists_and_markup():
+    text = "- one a\n  - two b\n  - two c\n- one d\n  - two e\n  - two f"
+    assert [p[0] for p in ts.split_text(text, 9, 0)] == ["- one a\n  - two b\n  - two c", "- one d\n  - two e\n  - two f"]
+    text = "<ul> <li> <p>a b</p> <p>c d</p> </li> <li> <p>e f</p> <p>g h</p> </li> </ul>"
+    got = ts.split_text(text, 8, 0)
+    assert any(p[0].startswith("<li> <p>e") for p in got) and all(p[1] <= 8 for p in got)
+    assert got[-1][3] == "element"
+
+
+def test_header_is_repeated_while_it_fits():
+    pieces = ts.split_table([["a b c"], ["d e f"]], 4)
+    assert [p[0] for p in pieces] == [[["a b c"], [w]] for w in "def"]
+
+
+def test_spans_lead_in_with_the_whole_overlap(frame):
+    limits = frame([("s", 10, 4)], LIMITS)
+    blocks = frame([("d", f"b{k:05}", k if k < 3990 else None, f"w{k}") for k in range(4000)] + [("d", "empty", 700, None)], "item_id string, block_id string, place int, text string")
+    got = ts.split(ts.blocks_to_split(blocks, limits, "s")).orderBy("piece_no").collect()
+    assert [r["shared_tokens"] for r in got] == [0] + [4] * (len(got) - 1) and [r["piece_no"] for r in got] == list(range(len(got)))
+    assert [w for r in got for w in r["text"].split()[r["shared_tokens"] :]] == [f"w{k}" for k in range(4000)]
+    for a, b in zip(got, got[1:]):
+        assert a["text"].split()[-4:] == b["text"].split()[:4]
+    assert ts.blocks_to_split(blocks, limits, "s").agg({"span": "max"}).first()[0] >= 6
+    assert ts.split(ts.blocks_to_split(blocks, frame([], LIMITS), "s")).count() == 0
