@@ -21,6 +21,7 @@ same texts is repaired in the same way.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -49,11 +50,11 @@ _BREAKS = frozenset(BREAKS)
 _SECOND = re.compile(r"\s*([^\W\d_][\w@+!|$]*(?:-[^\W\d_]+)*)")
 _TAIL = re.compile(r"\S*")
 _BROKEN = re.compile(rf"([^\W\d_][\w@+!|$]*)([{BREAKS}])[ \t]*$")
-_HALVES = re.compile(rf"[^\W_]+[{BREAKS}][ \t]*\n\s*\w+")
-_ENDS = re.compile(rf"([^\W\d_][\w@+!|$]*)[{BREAKS}][ \t]*\n\s*([^\W\d_][\w@+!|$]*(?:-[^\W\d_]+)*)")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _PIECE = re.compile(r"[\w@+!|$]+(?:[-'’][\w@+!|$]+)*")
 _LISTED = re.compile(r"^\s*(?:[-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S|\.{4}|\|.*\||\t|;.*;.*;|\S {3,}\S.* {3,}|\(\d+\)\s*$")
+_MARKS = re.compile(r"[|\t;]|\.{4}| {3}|\)\s*$")
+_STARTS = re.compile(r"\s*[^\w\s]|\s*\w{1,3}[.)]")
 _NUMBER = r"(?:[\dlIOoSB|]{0,3}\d[\dlIOoSB|]{0,3}|[lI1][lI1oO\d]{1,3}|[ivxlcIVXLC]{1,8}|1[ivxlc]{1,6})"
 _PAGE = re.compile(rf"^[\W_]*(?:p(?:age|agc|@ge|a9e|g)?\.?\s*)?{_NUMBER}(?:\s*(?:of|0f|/)\s*[\dlIOo]+)?[\s\-–—\])|]*$", re.I)
 _LEADING = re.compile(rf"^\s*{_NUMBER}(?:\s{{2,}}|\t|\s*[|·–—]\s*)(?=\S)")
@@ -107,6 +108,8 @@ class Lexicon:
     met: np.ndarray = field(default_factory=lambda: np.zeros(0))
     #: shapes of lines that stand at the edges of blocks and not within
     shapes: frozenset[str] = frozenset()
+    #: a bit for each known word outside of the core, by its CRC
+    filter: bytes = b""
     least: float = 1
     apart: float = 0.1
     words: DataFrame | None = None
@@ -124,6 +127,13 @@ class Lexicon:
         n = self.counts.get(word)
         return n if n is not None else self.found.get(word, (0,))[0]
 
+    def may_know(self, word: str) -> bool:
+        """Whether the table of all words may hold ``word``, which isn't of the core, as a known one."""
+        if word in self.counts or not self.filter:
+            return False
+        at = zlib.crc32(word.encode()) % (8 * len(self.filter))
+        return bool(self.filter[at >> 3] & 1 << (at & 7))
+
     def known(self, word: str) -> bool:
         return word in self.sure or self.count(word) >= self.least
 
@@ -183,6 +193,14 @@ class Lexicon:
         return links[int(np.argmax(score))]
 
 
+def _broken_ends(text: str) -> Iterator[tuple[str, str]]:
+    """The tokens around each line end of ``text`` that a break mark stands at."""
+    lines = text.split("\n")
+    for line, after in zip(lines, lines[1:]):
+        if line.rstrip(" \t")[-1:] in _BREAKS and after.strip():
+            yield line.split()[-1], after.split(maxsplit=1)[0]
+
+
 def shape(line: str) -> str | None:
     """The form of a line that may be a mark or code: letters as ``A``, digits as ``9``. None for lines of
     words: it has a digit, at most two tokens, and no run of five letters."""
@@ -207,15 +225,18 @@ def _count(blocks: DataFrame) -> DataFrame:
             tokens: Counter = Counter()  # words are looked for once in each different token
             for text in batch.column("text").to_pylist():
                 if text:
-                    tokens.update((_HALVES.sub(" ", text) if "\n" in text else text).split())
+                    tokens.update(text.split())
                     if "\n" in text:
+                        for halves in _broken_ends(text):
+                            tokens.subtract(halves)
                         lines = _lines(text)
                         for k, x in enumerate(lines):
                             if len(x) <= 30 and (form := shape(x)):
                                 counts["edge" if k < 2 or k >= len(lines) - 3 else "inner", form] += 1
             for token, n in tokens.items():
-                for word in _WORD.findall(token.lower()):
-                    counts["word", word] += n
+                if n > 0:
+                    for word in _WORD.findall(token.lower()):
+                        counts["word", word] += n
             if len(counts) > 400_000:
                 yield done()
                 counts.clear()
@@ -278,6 +299,11 @@ def learn(blocks: DataFrame, sure: frozenset[str] = frozenset(), least: int = 8,
     rows.sort(key=lambda r: (-r["n"], r["word"]))
     lexicon = Lexicon({r["word"]: r["n"] for r in rows}, {r["word"]: k for k, r in enumerate(rows[:words])}, sure=sure, words=counted, shapes=_edge_shapes(every, least, share))
     lexicon.least = max(least, total / (share * lexicon.ratio))
+    known = counted.filter((F.col("n") >= lexicon.least) & (F.col("n") < max(least, total / share))).select(F.crc32(F.encode("word", "utf-8")).alias("crc"))
+    codes = known.toArrow().column("crc").to_numpy()  # at most 30 x share numbers
+    bits = np.zeros(max(64, 1 << (32 * len(codes)).bit_length()), np.uint8)
+    bits[codes % len(bits)] = 1
+    lexicon.filter = np.packbits(bits, bitorder="little").tobytes()
     contexts = min(contexts, len(lexicon.index))
     if not contexts:
         return lexicon
@@ -329,12 +355,12 @@ def _asked(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
         return found, bool(found) or _token(w, lexicon) is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[str], bool]] = {}
-        place: dict[str, int] = {}
+        plain: set[str] = set()
+        odd: dict[str, list[str]] = {}
         for batch in batches:
-            if len(known) > 500_000:
-                known.clear()
-                place.clear()
+            if len(plain) + len(odd) > 500_000:
+                plain.clear()
+                odd.clear()
             out: list[list] = [[], [], [], [], []]
 
             def ask(at: tuple, piece: str, near: list[int] = []) -> None:
@@ -345,29 +371,34 @@ def _asked(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
                 if not text:
                     continue
                 words = text.split()
-                for w in words:
-                    if w not in known:
-                        known[w] = parts(w)
-                        i = lexicon.index.get(_word(w), contexts)
-                        place[w] = i if i < contexts else -1
-                for k in [k for k, w in enumerate(words) if known[w][1]]:
-                    near = [i for i in (place[x] for x in (*words[max(0, k - 2) : k], *words[k + 1 : k + 3])) if i >= 0]
-                    for part in known[words[k]][0]:
-                        ask(at, part, near)
+                for k in [k for k, w in enumerate(words) if w not in plain]:
+                    w = words[k]
+                    if w not in odd:
+                        found, is_odd = parts(w)
+                        if not is_odd:
+                            plain.add(w)
+                            continue
+                        odd[w] = found
+                    if odd[w]:
+                        near = [i for x in (*words[max(0, k - 2) : k], *words[k + 1 : k + 3]) if (i := lexicon.index.get(_word(x), contexts)) < contexts]
+                        for part in odd[w]:
+                            ask(at, part, near)
                     for left in (k - 1, k):
                         if 0 <= left < len(words) - 1 and words[left].isalpha():
-                            c = _word(words[left + 1])
-                            whole = words[left].lower() + c
-                            if c.isalpha() and len(whole) <= 40 and whole not in lexicon.counts:
+                            whole = words[left].lower() + _word(words[left + 1])
+                            if lexicon.may_know(whole):
                                 ask(at, whole)
                 if "\n" in text:
-                    for m in _ENDS.finditer(text):
-                        first, second = m[1], m[2]
-                        for piece in (first, second, first + second, f"{first}-{second}", first + second.split("-")[0]):
-                            if piece.lower() not in lexicon.counts:
-                                ask(at, piece)
-                                if piece.lower() != piece:
+                    for first, second in _broken_ends(text):
+                        first, second = _BROKEN.search(first), _SECOND.match(second)
+                        if first and second:
+                            first, second = first[1], second[1]
+                            for piece in (first + second, f"{first}-{second}", first + second.split("-")[0]):
+                                if lexicon.may_know(piece.lower()):
                                     ask(at, piece.lower())
+                            for piece in (first, second, first + second):
+                                if unknown(piece):
+                                    ask(at, piece)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     return rows.select("doc_id", "sec_idx", "block_order", "text").mapInArrow(run, "doc_id string, sec_idx int, block_order int, piece string, near array<int>")
@@ -380,10 +411,10 @@ def _answers(asked: DataFrame, lexicon: Lexicon) -> DataFrame:
     lead to, and that are near it by the vectors, are kept.
     """
     words = lexicon.words
-    near = asked.select("piece", F.explode("near").alias("at")).groupBy("piece", "at").agg(F.count(F.lit(1)).alias("n"))
-    near = near.groupBy("piece").agg(F.collect_list(F.struct("at", "n")).alias("near"))  # at most as many as there are contexts
-    of = asked.select("piece").distinct().withColumn("word", F.lower("piece"))
-    of = of.join(words, "word", "left").join(near, "piece", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "strokes": strokes(F.col("piece"))})
+    each = asked.repartition("piece").select("piece", F.explode_outer("near").alias("at")).groupBy("piece", "at").agg(F.count(F.lit(1)).alias("n"))
+    met = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))  # at most as many as there are contexts
+    of = each.groupBy("piece").agg(met.alias("near")).select("piece", F.when(F.size("near") > 0, F.col("near")).alias("near"), F.lower("piece").alias("word"))
+    of = of.join(words, "word", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "strokes": strokes(F.col("piece"))})
     of = materialize(of, "scan-asked")
     targets = words.filter(F.col("n") >= lexicon.ratio).select(F.col("word").alias("target"), F.col("n").alias("target_n"), strokes(F.col("word")).alias("strokes"))
     own = of.filter("near is not null").select(F.col("piece").alias("target"), F.col("near").alias("target_near"))
@@ -395,7 +426,7 @@ def _answers(asked: DataFrame, lexicon: Lexicon) -> DataFrame:
             return (np.array([x["at"] for x in near]), np.array([x["n"] for x in near], float)) if near else None
 
         for batch in batches:
-            pieces, counts, links = [], [], []
+            pieces, links = [], []
             for r in batch.to_pylist():
                 counted = {t["target"]: t["target_n"] for t in r["targets"]}
                 found = [] if r["piece"].lower() in lexicon.sure else glyph_edits(r["piece"], r["n"], counted, lexicon.ratio)
@@ -405,20 +436,31 @@ def _answers(asked: DataFrame, lexicon: Lexicon) -> DataFrame:
                     told = {t["target"]: lexicon.fold_in(*c) for t in r["targets"] if t["target"] not in lexicon.index and (c := context(t["target_near"]))}
                     found = [w for w in found if lexicon.near(vector, r["n"], w, counted[w], told.get(w))]
                 pieces.append(r["piece"])
-                counts.append(r["n"])
                 links.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(counts, pa.int64()), pa.array(links, pa.list_(pa.string()))], names=["piece", "n", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(links, pa.list_(pa.string()))], names=["piece", "links"])
 
-    linked = candidates.mapInArrow(run, "piece string, n bigint, links array<string>")
-    return linked.unionByName(of.select("piece", "n", F.array().cast("array<string>").alias("links")).filter("n > 0").join(linked.select("piece"), "piece", "left_anti"))
+    linked = candidates.mapInArrow(run, "piece string, links array<string>")
+    return of.select("piece", "n").join(linked, "piece", "left").filter((F.col("n") >= lexicon.least) | F.col("links").isNotNull()).withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+
+
+class _Letters(dict):
+    """For ``str.translate``: letters and what looks like them as their strokes, all else left out."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        self[code] = out = STROKES.get(c) or (c if c.isalpha() else None)
+        return out
+
+
+_LETTERS = _Letters()
+_SET_OFF = re.compile(r"\s\s|[\t|·–—]")
 
 
 def _plain(line: str) -> str:
     """A line as its recurrences share it: without numbers, case, spaces and common misreadings."""
-    x = _TRAILING.sub("", _LEADING.sub("", line)).lower()
-    for wrong, right in (("@", "a"), ("+", "t"), ("!", "i"), ("5", "s"), ("0", "o"), ("9", "g"), ("6", "b"), ("1", "l"), ("ii", "u"), ("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("b", "h"), ("in", "m"), ("li", "h"), ("i", "l")):
-        x = x.replace(wrong, right)
-    return re.sub(r"[\W\d_]", "", x)
+    if _SET_OFF.search(line):
+        line = _TRAILING.sub("", _LEADING.sub("", line))
+    return line.lower().translate(_LETTERS)
 
 
 def _sentence_end(line: str) -> bool:
@@ -436,6 +478,11 @@ class Block:
     words: list[str] = field(default_factory=list)
 
 
+def _listed(line: str) -> bool:
+    """A line of a list, a table or contents."""
+    return bool((_STARTS.match(line) or _MARKS.search(line)) and _LISTED.search(line))
+
+
 def _page(line: str, page: int | None) -> bool:
     """A line that is a page number; one of four digits only if it is the page's own."""
     return bool(_PAGE.match(line)) and (not re.search(r"\d{4}", line) or re.sub(r"\D", "", line) == str(page))
@@ -470,7 +517,7 @@ def _furniture(blocks: list[Block], recurring: set[str] | None = None, shapes: f
     filled = [_wraps(x, y, max(map(len, b.lines[1:-1]))) for b in blocks if len(b.lines) > 4 for x, y in zip(b.lines[1:-2], b.lines[2:-1])]
     even = sum(filled) >= 0.9 * len(filled)
     for b in blocks:
-        if len(b.lines) < 2 or sum(bool(_LISTED.search(x)) for x in b.lines) * 3 > len(b.lines):
+        if len(b.lines) < 2 or sum(map(_listed, b.lines)) * 3 > len(b.lines):
             continue  # nothing at the edges; a list, a table or contents
         inner = [len(x.rstrip()) for x in b.lines[1:-1]]
         width = max(inner) if len(inner) >= 3 else (widths[-1] if len(widths) >= 6 else 0)
