@@ -283,14 +283,14 @@ def _skip_grams(blocks: DataFrame, index: dict[str, int], contexts: int, window:
     return blocks.select("text").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def learn(blocks: DataFrame, sure: frozenset[str] = frozenset(), least: int = 8, share: int = 100_000, words: int = 4096, contexts: int = 256, window: int = 2, size: int = 48, negatives: int = 5) -> Lexicon:
+def learn(blocks: DataFrame, sure: frozenset[str] = frozenset(), least: int = 8, share: int = 400_000, known_share: int = 3_000_000, words: int = 4096, contexts: int = 256, window: int = 2, size: int = 48, negatives: int = 5) -> Lexicon:
     """The lexicon of ``blocks(text)``.
 
     The core, words of at least ``least`` occurrences and one in ``share`` tokens, comes to the driver:
     at most ``share`` words. The ``words`` most frequent of them have vectors of ``size`` numbers, from
     counts with the ``contexts`` most frequent. All other words stay in a table of the shared folder;
     they are as good as those of the core, which is only there to look most words up without a join.
-    Words of at least ``least`` occurrences and one in 30 x ``share`` tokens are known ones.
+    Words of at least ``least`` occurrences and one in ``known_share`` tokens are known ones.
     """
     every = materialize(_count(blocks), "scan-words")
     counted = every.filter("kind = 'word'").select("word", "n")
@@ -298,9 +298,9 @@ def learn(blocks: DataFrame, sure: frozenset[str] = frozenset(), least: int = 8,
     rows = counted.filter(F.col("n") >= max(least, total / share)).collect()
     rows.sort(key=lambda r: (-r["n"], r["word"]))
     lexicon = Lexicon({r["word"]: r["n"] for r in rows}, {r["word"]: k for k, r in enumerate(rows[:words])}, sure=sure, words=counted, shapes=_edge_shapes(every, least, share))
-    lexicon.least = max(least, total / (share * lexicon.ratio))
+    lexicon.least = max(least, total / known_share)
     known = counted.filter((F.col("n") >= lexicon.least) & (F.col("n") < max(least, total / share))).select(F.crc32(F.encode("word", "utf-8")).alias("crc"))
-    codes = known.toArrow().column("crc").to_numpy()  # at most 30 x share numbers
+    codes = known.toArrow().column("crc").to_numpy()  # at most known_share numbers
     bits = np.zeros(max(64, 1 << (32 * len(codes)).bit_length()), np.uint8)
     bits[codes % len(bits)] = 1
     lexicon.filter = np.packbits(bits, bitorder="little").tobytes()
