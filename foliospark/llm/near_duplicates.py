@@ -9,12 +9,12 @@ verified: the exact similarity of the two shingle sets. There are two kinds of s
   near partner can't miss: of a set of *n*, the first *n* - ceil(t n) + m. Any two sets of a similarity of
   at least *t* then share *m* entries, guaranteed; nothing is lost. Lists are as long as shingles
   are common, so this is for collections of texts without much in common, and to measure the other.
-* by default: a fixed number of bytes, where the byte at position *i* is a hash of the minimum of the
-  set under the *i*-th permutation. Two sets of Jaccard similarity *j* agree in about a share *j* of the
-  positions. A posting list of one byte would hold 1/256 of all sets whatever their number, and
-  tallying it would be quadratic; so an entry spans ``width`` neighbouring bytes, ``width`` following
-  from the threshold. There are so many entries that a pair at the threshold reaches the minimum but
-  for a chance of ``miss``, and a pair above it more surely.
+* by default: a fixed number of positions of four bytes, where the bytes at position *i* are a hash of
+  the minima of the set under ``width`` permutations of that position's own. Two sets of Jaccard
+  similarity *j* agree in a share *j* ^ ``width`` of the positions. One permutation a position would make
+  lists of everything that is a little alike, and tallying them quadratic; so ``width`` follows from the
+  threshold. There are so many positions that a pair at the threshold reaches the minimum but for a
+  chance of ``miss``, and a pair above it more surely.
 
 Texts with equal sets are one set in all of this, so copies are never paired with each other. Entries of
 more than ``long_list`` sets are found by partial counts and kept out of the lists. Their sets are
@@ -52,14 +52,15 @@ class Similarity:
     words: int = 5
     threshold: float = 0.8
     least: int = 1
-    miss: float = 1e-4
+    miss: float = 5e-4
     long_list: int = 1000
     seed: int = 20_011
     exact: bool = False
 
     @property
     def width(self) -> int:
-        return _KEPT if self.exact else max(1, min(6, round(math.log(0.125) / math.log(self.threshold))))
+        """Permutations of a position."""
+        return max(1, min(6, round(math.log(0.125) / math.log(self.threshold))))
 
     @property
     def entries(self) -> int:
@@ -71,8 +72,9 @@ class Similarity:
         return n
 
     @property
-    def positions(self) -> int:
-        return self.width * self.entries
+    def bytes(self) -> int:
+        """Bytes of an entry in a signature."""
+        return _KEPT if self.exact else 4
 
     @property
     def matches(self) -> int:
@@ -113,12 +115,41 @@ class _Shingler:
         return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def _signature(members: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
-    small = (members >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(small), 4096):  # bounded memory for very long texts
-        np.minimum(least, (a[:, None] * small[None, at : at + 4096] + b[:, None]).min(axis=1), out=least)
-    return ((least * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8).tobytes()
+class _Signer:
+    """Signatures of shingle sets."""
+
+    def __init__(self, how: Similarity):
+        self.how = how
+        rng = np.random.default_rng(how.seed)
+        many = 0 if how.exact else how.entries * how.width
+        self.a = (rng.integers(1, 2**32, many, dtype=np.uint32) | np.uint32(1))[:, None]
+        self.b = rng.integers(0, 2**32, many, dtype=np.uint32)[:, None]
+        self.factors = rng.integers(1, 2**63, how.width, dtype=np.uint64) | np.uint64(1)
+        self.buffer = np.empty((many, 1024), np.uint32)
+
+    def __call__(self, members: np.ndarray) -> bytes:
+        how = self.how
+        if how.exact:
+            return _cut(members[: how.prefix(len(members))])
+        small = (members >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(small), 1024):  # bounded memory for very long texts
+            some = small[at : at + 1024]
+            hashed = self.buffer[:, : len(some)]
+            np.multiply(self.a, some[None, :], out=hashed)
+            hashed += self.b
+            np.minimum(least, hashed.min(axis=1), out=least)
+        mixed = (least.reshape(how.entries, how.width).astype(np.uint64) * self.factors).sum(axis=1, dtype=np.uint64)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def _codes(signature: bytes, how: Similarity) -> np.ndarray:
+    """The entries of a signature as numbers; without ``exact`` their position is part of them."""
+    if how.exact:
+        return _whole(signature).astype(np.int64)
+    return np.frombuffer(signature, "<u4").astype(np.int64) + (np.arange(len(signature) // 4, dtype=np.int64) << 32)
 
 
 def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
@@ -127,10 +158,7 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _Shingler(how.words)
-        rng = np.random.default_rng(how.seed)
-        positions = 0 if how.exact else how.positions
-        a = rng.integers(1, 2**32, positions, dtype=np.uint32) | np.uint32(1)
-        b = rng.integers(0, 2**32, positions, dtype=np.uint32)
+        sign = _Signer(how)
         for batch in batches:
             ids, owners, digests, sizes, signatures = [], [], [], [], []
             for i, o, t in zip(*(batch.column(c).to_pylist() for c in ("id", "owner", "text"))):
@@ -140,7 +168,7 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
                     owners.append(o)
                     digests.append(xxhash.xxh3_128_digest(members.tobytes()))
                     sizes.append(len(members))
-                    signatures.append(_cut(members[: how.prefix(len(members))]) if how.exact else _signature(members, a, b))
+                    signatures.append(sign(members))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), pa.array(owners, pa.string()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())],
                 names=["id", "owner", "digest", "size", "signature"],
@@ -152,34 +180,59 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
 _SIZE = 1 << 16
 
 
-def _entries(how: Similarity) -> Column:
-    """The index entries of a signature: the bytes themselves, with their position while one integer has
-    room for that."""
-    w = how.width
-    count = F.floor(F.length("signature") / w) if how.exact else F.lit(how.entries)
+def _index(reps: DataFrame, how: Similarity) -> DataFrame:
+    """``reps(key, size, signature)`` to ``(set, entry)``, one row per set and index entry.
+
+    What is shuffled most has few bytes: ``set`` holds the key with the size (at most 65535) behind it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("key").to_numpy() * _SIZE + np.minimum(batch.column("size").to_numpy(), _SIZE - 1)
+            codes = [_codes(s, how) for s in batch.column("signature").to_pylist()]
+            if codes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sets, [len(c) for c in codes])), pa.array(np.concatenate(codes))], names=["set", "entry"])
+
+    return reps.select("key", "size", "signature").mapInArrow(run, "set bigint, entry bigint")
+
+
+def _slots(reps: DataFrame, how: Similarity, slots: int) -> DataFrame:
+    """``(slot, n)``: entries by slots, counted within each batch before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [_codes(s, how) for s in batch.column("signature").to_pylist()]
+            if codes:
+                slot, n = np.unique(_slot(np.concatenate(codes), slots), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
-    def entry(i: Column) -> Column:
-        part = F.substring("signature", i * w + 1, F.lit(w))
-        if w > 3 and not how.exact:
-            return F.xxhash64(i, part)
-        number = F.conv(F.hex(part), 16, 10).cast("bigint")
-        return number if how.exact else number + i * (1 << 24)
+    return reps.select("signature").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
 
-    return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), entry)
+
+def _slot(codes: np.ndarray, slots: int) -> np.ndarray:
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(20)) % np.uint64(slots)).astype(np.int64)
 
 
 def _close(p: Column, q: Column, how: Similarity) -> Column:
     return F.least(p, q) >= how.threshold * F.greatest(p, q)
 
 
-def _hot(index: DataFrame, how: Similarity, rows: int) -> DataFrame | None:
-    """``(entry)`` of more than ``long_list`` sets; None if there is none. Entries are counted by slots
+def _hot(reps: DataFrame, how: Similarity, rows: int) -> DataFrame | None:
+    """``(entry, n)`` of more than ``long_list`` sets; None if there is none. Entries are counted by slots
     first, by partial sums, and one by one only in slots that exceed the length."""
-    slot = F.pmod(F.xxhash64("entry"), F.lit(max(1024, 8 * rows // how.long_list))).alias("slot")
-    heavy = materialize(index.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > how.long_list).select("slot"), "near-slots")
+    slots = max(1024, 8 * rows // how.long_list)
+    heavy = materialize(_slots(reps, how, slots).filter(F.col("n") > how.long_list).select("slot"), "near-slots")
     if heavy.isEmpty():
         return None
-    counted = index.select("entry", slot).join(heavy, "slot").groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("entry").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(_slot(codes, slots))], names=["entry", "slot"])
+
+    placed = _index(reps, how).select("entry").mapInArrow(run, "entry bigint, slot bigint")
+    counted = placed.join(heavy, "slot").groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(counted.filter(F.col("n") > how.long_list), "near-hot")
     return None if hot.isEmpty() else hot
 
@@ -187,8 +240,8 @@ def _hot(index: DataFrame, how: Similarity, rows: int) -> DataFrame | None:
 def _meetings(reps: DataFrame, hot: DataFrame, how: Similarity) -> DataFrame:
     """``(a, b)``, the pairs retained among the sets of hot entries. A pair comes from the first hot entry
     that it shares."""
-    own = reps.select("key", "size", _entries(how).alias("entries"))
-    listed = own.select("key", F.explode("entries").alias("entry")).join(hot, "entry")
+    own = reps.select("key", "size", "signature")
+    listed = _index(reps, how).select(F.shiftright("set", 16).alias("key"), "entry").join(hot, "entry")
     marks = materialize(listed.select("key", "entry", F.ceil(F.col("n") / how.long_list).cast("int").alias("parts")), "near-marks")
     hots = marks.groupBy("key").agg(F.collect_list("entry").alias("hot"))  # at most as many as a set has entries
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
@@ -199,7 +252,7 @@ def _meetings(reps: DataFrame, hot: DataFrame, how: Similarity) -> DataFrame:
     def meet(rows: pa.Table) -> pa.Table:
         entry, i, j = (rows.column(c)[0].as_py() for c in ("entry", "i", "j"))
         keys, sizes, parts = (rows.column(c).to_numpy() for c in ("key", "size", "part"))
-        entries, hots = (rows.column(c).to_pylist() for c in ("entries", "hot"))
+        entries, hots = [_codes(s, how) for s in rows.column("signature").to_pylist()], rows.column("hot").to_pylist()
         left, right = np.flatnonzero(parts == i), np.flatnonzero(parts == j)
 
         def tally(of: list[list[int]]) -> np.ndarray:
@@ -237,13 +290,11 @@ def _meetings(reps: DataFrame, hot: DataFrame, how: Similarity) -> DataFrame:
 def candidates(reps: DataFrame, how: Similarity, many: int) -> DataFrame:
     """Pairs ``(a, b)`` of keys, ``a < b``, that share at least ``how.matches`` index entries.
 
-    Keys are numbers below ``many``. Up to 2^31 of them a pair is tallied under a single number. What is
-    shuffled most has few bytes: a set is its key with its size (at most 65535) behind it.
+    Keys are numbers below ``many``. Up to 2^31 of them a pair is tallied under a single number.
     """
-    named = F.col("key") * _SIZE + F.least(F.col("size"), F.lit(_SIZE - 1))
-    index = reps.select(named.alias("set"), F.explode(_entries(how)).alias("entry"))
-    rows = reps.agg(F.sum(F.floor(F.length("signature") / how.width))).first()[0] or 0
-    hot = _hot(index, how, rows)
+    index = _index(reps, how)
+    rows = reps.agg(F.sum(F.floor(F.length("signature") / how.bytes))).first()[0] or 0
+    hot = _hot(reps, how, rows)
     short = index if hot is None else index.join(hot.select("entry"), "entry", "left_anti")
     lists = Window.partitionBy("entry")  # of at most long_list rows
     counted = short.withColumn("many", F.count(F.lit(1)).over(lists)).filter("many > 1")
