@@ -50,17 +50,23 @@ def using(cfg: Settings) -> Iterator[None]:
         _active = before
 
 
+@lru_cache(maxsize=4)
+def encoding(ranks_file: str):  # type: ignore[no-untyped-def]
+    """A byte-level BPE from a ranks file; read once in each worker."""
+    import tiktoken
+
+    with open(ranks_file, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("folio", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=4)
 def counter(name: str, file: str | None) -> Callable[[str], int]:
     """The counter in Python; a vocabulary is read once in each worker."""
     if name == "whitespace":
         return lambda s: len(s.split())
     if name == "tiktoken":
-        import tiktoken
-
-        with open(str(file), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoder = tiktoken.Encoding("counter", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoder = encoding(str(file))
         return lambda s: len(encoder.encode_ordinary(s))
     from tokenizers import Tokenizer
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from foliospark import workspace
 from foliospark.config import Settings
 from foliospark.operators import jobs
 from foliospark.plans import ingest
@@ -22,9 +23,10 @@ def start(spark: SparkSession, landing: str, out: str, checkpoint: str, cfg: Set
     """Chunks go to ``out/chunks``, results to ``out/results``, file states to ``out/log``, each by batch."""
 
     def batch(found: DataFrame, number: int) -> None:
-        done = ingest.ingest(found, cfg, registry, **how)
-        for name, df in (("chunks", done.chunks), ("results", done.results), ("log", states(done.results, number))):
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        with workspace.scratch(spark):  # a stream has no end: what a batch puts aside goes with it
+            done = ingest.ingest(found, cfg, registry, **how)
+            for name, df in (("chunks", done.chunks), ("results", done.results), ("log", states(done.results, number))):
+                df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     known = sorted(registry.extensions())
     found = (

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,11 +19,14 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    On a cluster it is what ``spark.checkpoint.dir`` names. Only where that is unset (tests, a
-    single machine) is a temporary folder of our own put there, and removed when Python ends.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset, a cluster is an error: executors
+    would each write to a disk of their own. Only a local session (tests) gets a temporary folder,
+    which is removed when Python ends.
     """
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{_KEY} must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="folio-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = "file://" + own
@@ -40,10 +46,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at the end; what is built on them has to be written before."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _remove(spark, before)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the tables written so far; results not yet run or written are lost with them."""
+    _remove(spark, 0)
+
+
+def _remove(spark: SparkSession, keep: int) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > keep:
         where = jvm.org.apache.hadoop.fs.Path(_written.pop())
         where.getFileSystem(conf).delete(where, True)
 
