@@ -125,7 +125,7 @@ class _Signer:
         self.a = (rng.integers(1, 2**32, many, dtype=np.uint32) | np.uint32(1))[:, None]
         self.b = rng.integers(0, 2**32, many, dtype=np.uint32)[:, None]
         self.factors = rng.integers(1, 2**63, how.width, dtype=np.uint64) | np.uint64(1)
-        self.buffer = np.empty((many, 1024), np.uint32)
+        self.buffer = np.empty(many * 512, np.uint32)
 
     def __call__(self, members: np.ndarray) -> bytes:
         how = self.how
@@ -133,9 +133,9 @@ class _Signer:
             return _cut(members[: how.prefix(len(members))])
         small = (members >> np.uint64(32)).astype(np.uint32)
         least = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(small), 1024):  # bounded memory for very long texts
-            some = small[at : at + 1024]
-            hashed = self.buffer[:, : len(some)]
+        for at in range(0, len(small), 512):  # bounded memory for very long texts
+            some = small[at : at + 512]
+            hashed = self.buffer[: len(self.a) * len(some)].reshape(len(self.a), len(some))
             np.multiply(self.a, some[None, :], out=hashed)
             hashed += self.b
             np.minimum(least, hashed.min(axis=1), out=least)
@@ -180,8 +180,29 @@ def sketches(texts: DataFrame, how: Similarity) -> DataFrame:
 _SIZE = 1 << 16
 
 
-def _index(reps: DataFrame, how: Similarity) -> DataFrame:
-    """``reps(key, size, signature)`` to ``(set, entry)``, one row per set and index entry.
+@dataclass(frozen=True)
+class _Heavy:
+    """Slots of entries that may be hot: a table of them, and a bit for each in a filter of fixed size."""
+
+    slots: int
+    table: DataFrame | None
+    bits: bytes
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}  # tables stay with the driver
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Whether entries may be in heavy slots."""
+        at = _slot(codes, self.slots) % (8 * len(self.bits))
+        return np.frombuffer(self.bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+_FILTER = 1 << 20
+
+
+def _index(reps: DataFrame, how: Similarity, heavy: _Heavy | None = None) -> DataFrame:
+    """``reps(key, size, signature)`` to ``(set, entry)``, one row per set and index entry, or of entries
+    that may be in ``heavy`` slots only.
 
     What is shuffled most has few bytes: ``set`` holds the key with the size (at most 65535) behind it.
     """
@@ -191,7 +212,11 @@ def _index(reps: DataFrame, how: Similarity) -> DataFrame:
             sets = batch.column("key").to_numpy() * _SIZE + np.minimum(batch.column("size").to_numpy(), _SIZE - 1)
             codes = [_codes(s, how) for s in batch.column("signature").to_pylist()]
             if codes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sets, [len(c) for c in codes])), pa.array(np.concatenate(codes))], names=["set", "entry"])
+                named, entries = np.repeat(sets, [len(c) for c in codes]), np.concatenate(codes)
+                if heavy is not None:
+                    there = heavy.of(entries)
+                    named, entries = named[there], entries[there]
+                yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(entries)], names=["set", "entry"])
 
     return reps.select("key", "size", "signature").mapInArrow(run, "set bigint, entry bigint")
 
@@ -218,30 +243,34 @@ def _close(p: Column, q: Column, how: Similarity) -> Column:
     return F.least(p, q) >= how.threshold * F.greatest(p, q)
 
 
-def _hot(reps: DataFrame, how: Similarity, rows: int) -> DataFrame | None:
-    """``(entry, n)`` of more than ``long_list`` sets; None if there is none. Entries are counted by slots
-    first, by partial sums, and one by one only in slots that exceed the length."""
+def _hot(reps: DataFrame, how: Similarity, rows: int) -> tuple[DataFrame, _Heavy] | None:
+    """``(entry, n)`` of more than ``long_list`` sets, and their slots; None if there is none. Entries are
+    counted by slots first, by partial sums, and one by one only in slots that exceed the length."""
     slots = max(1024, 8 * rows // how.long_list)
-    heavy = materialize(_slots(reps, how, slots).filter(F.col("n") > how.long_list).select("slot"), "near-slots")
-    if heavy.isEmpty():
+    table = materialize(_slots(reps, how, slots).filter(F.col("n") > how.long_list).select("slot"), "near-slots")
+    at = table.select(F.pmod("slot", F.lit(8 * _FILTER)).alias("at")).distinct().toArrow().column("at").to_numpy()  # as many as the filter has bits at most
+    if not len(at):
         return None
+    bits = np.zeros(8 * _FILTER, np.uint8)
+    bits[at] = 1
+    heavy = _Heavy(slots, table, np.packbits(bits, bitorder="little").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("entry").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(_slot(codes, slots))], names=["entry", "slot"])
 
-    placed = _index(reps, how).select("entry").mapInArrow(run, "entry bigint, slot bigint")
-    counted = placed.join(heavy, "slot").groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    placed = _index(reps, how, heavy).select("entry").mapInArrow(run, "entry bigint, slot bigint")
+    counted = placed.join(table, "slot").groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(counted.filter(F.col("n") > how.long_list), "near-hot")
-    return None if hot.isEmpty() else hot
+    return None if hot.isEmpty() else (hot, heavy)
 
 
-def _meetings(reps: DataFrame, hot: DataFrame, how: Similarity) -> DataFrame:
+def _meetings(reps: DataFrame, hot: DataFrame, heavy: _Heavy, how: Similarity) -> DataFrame:
     """``(a, b)``, the pairs retained among the sets of hot entries. A pair comes from the first hot entry
     that it shares."""
     own = reps.select("key", "size", "signature")
-    listed = _index(reps, how).select(F.shiftright("set", 16).alias("key"), "entry").join(hot, "entry")
+    listed = _index(reps, how, heavy).select(F.shiftright("set", 16).alias("key"), "entry").join(hot, "entry")
     marks = materialize(listed.select("key", "entry", F.ceil(F.col("n") / how.long_list).cast("int").alias("parts")), "near-marks")
     hots = marks.groupBy("key").agg(F.collect_list("entry").alias("hot"))  # at most as many as a set has entries
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
@@ -295,7 +324,7 @@ def candidates(reps: DataFrame, how: Similarity, many: int) -> DataFrame:
     index = _index(reps, how)
     rows = reps.agg(F.sum(F.floor(F.length("signature") / how.bytes))).first()[0] or 0
     hot = _hot(reps, how, rows)
-    short = index if hot is None else index.join(hot.select("entry"), "entry", "left_anti")
+    short = index if hot is None else index.join(hot[0].select("entry"), "entry", "left_anti")
     lists = Window.partitionBy("entry")  # of at most long_list rows
     counted = short.withColumn("many", F.count(F.lit(1)).over(lists)).filter("many > 1")
     met = materialize(counted.groupBy("entry").agg(F.sort_array(F.collect_list("set")).alias("sets")), "near-index")
@@ -314,7 +343,7 @@ def candidates(reps: DataFrame, how: Similarity, many: int) -> DataFrame:
         found = found.select(F.shiftright("p0", 31).alias("a"), F.col("p0").bitwiseAND((1 << 31) - 1).alias("b"))
     else:
         found = found.select(F.col("p0").alias("a"), F.col("p1").alias("b"))
-    return found if hot is None else found.unionByName(_meetings(reps, hot, how)).distinct()
+    return found if hot is None else found.unionByName(_meetings(reps, *hot, how)).distinct()
 
 
 def _jaccard():
