@@ -53,7 +53,7 @@ _BROKEN = re.compile(rf"([^\W\d_][\w@+!|$]*)([{BREAKS}])[ \t]*$")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _PIECE = re.compile(r"[\w@+!|$]+(?:[-'’][\w@+!|$]+)*")
 _LISTED = re.compile(r"^\s*(?:[-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S|\.{4}|\|.*\||\t|;.*;.*;|\S {3,}\S.* {3,}|\(\d+\)\s*$")
-_MARKS = re.compile(r"[|\t;]|\.{4}| {3}|\)\s*$")
+_MARKS = re.compile(r"[|\t;]|\.{4}| {3}|\)\s*$", re.M)
 _STARTS = re.compile(r"\s*[^\w\s]|\s*\w{1,3}[.)]")
 _NUMBER = r"(?:[\dlIOoSB|]{0,3}\d[\dlIOoSB|]{0,3}|[lI1][lI1oO\d]{1,3}|[ivxlcIVXLC]{1,8}|1[ivxlc]{1,6})"
 _PAGE = re.compile(rf"^[\W_]*(?:p(?:age|agc|@ge|a9e|g)?\.?\s*)?{_NUMBER}(?:\s*(?:of|0f|/)\s*[\dlIOo]+)?[\s\-–—\])|]*$", re.I)
@@ -117,7 +117,8 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.found: dict[str, tuple[int, list[str]]] = {}
         self._links: dict[str, list[str]] = {}
-        self.tokens: dict[str, object] = {}
+        self.tokens: dict[str, _Token] = {}
+        self.plain: set[str] = set()
         self.leads = {w[:k] for w in self.counts for k, c in enumerate(w) if c == "-"}
 
     def __getstate__(self) -> dict:
@@ -478,9 +479,10 @@ class Block:
     words: list[str] = field(default_factory=list)
 
 
-def _listed(line: str) -> bool:
-    """A line of a list, a table or contents."""
-    return bool((_STARTS.match(line) or _MARKS.search(line)) and _LISTED.search(line))
+def _listed(lines: list[str]) -> bool:
+    """Whether more than a third of the lines are of a list, a table or contents."""
+    marked = bool(_MARKS.search("\n".join(lines)))
+    return sum(bool(_LISTED.search(x)) for x in lines if marked or _STARTS.match(x)) * 3 > len(lines)
 
 
 def _page(line: str, page: int | None) -> bool:
@@ -517,7 +519,7 @@ def _furniture(blocks: list[Block], recurring: set[str] | None = None, shapes: f
     filled = [_wraps(x, y, max(map(len, b.lines[1:-1]))) for b in blocks if len(b.lines) > 4 for x, y in zip(b.lines[1:-2], b.lines[2:-1])]
     even = sum(filled) >= 0.9 * len(filled)
     for b in blocks:
-        if len(b.lines) < 2 or sum(map(_listed, b.lines)) * 3 > len(b.lines):
+        if len(b.lines) < 2 or _listed(b.lines):
             continue  # nothing at the edges; a list, a table or contents
         inner = [len(x.rstrip()) for x in b.lines[1:-1]]
         width = max(inner) if len(inner) >= 3 else (widths[-1] if len(widths) >= 6 else 0)
@@ -655,18 +657,20 @@ def _two_parts(left: str, right: str, lexicon: Lexicon) -> str | None:
 
 def _correct(b: Block, lexicon: Lexicon) -> None:
     """Set right the block's words that glyph edits link to others, and words with a space in them."""
-    tokens = lexicon.tokens
-    if len(tokens) > 500_000:
+    plain, tokens, words = lexicon.plain, lexicon.tokens, b.words
+    if len(tokens) + len(plain) > 500_000:
         tokens.clear()
-    words = b.words
-    try:
-        found = [tokens[w] for w in words]
-    except KeyError:
-        for w in words:
-            if w not in tokens:
-                tokens[w] = _token(w, lexicon)
-        found = [tokens[w] for w in words]
-    odd = [k for k, t in enumerate(found) if t]
+        plain.clear()
+    odd = []
+    for k in [k for k, w in enumerate(words) if w not in plain]:
+        w = words[k]
+        if w not in tokens:
+            token = _token(w, lexicon)
+            if token is None:
+                plain.add(w)
+                continue
+            tokens[w] = token
+        odd.append(k)
     if not odd:
         return
     gone: set[int] = set()
@@ -684,12 +688,12 @@ def _correct(b: Block, lexicon: Lexicon) -> None:
                 fixed[left] = (whole.capitalize() if words[left][:1].isupper() else whole) + second[len(_word(second)) :]
                 gone.add(left + 1)
                 break
-        if k in gone or k in fixed or not found[k].links:
+        if k in gone or k in fixed or not tokens[words[k]].links:
             continue
         b.noise.add("glyph")
         w = words[k]
         near = [_word(x) for x in (*words[max(0, k - 2) : k], *words[k + 1 : k + 3])]
-        for start, end, links in reversed(found[k].links):
+        for start, end, links in reversed(tokens[words[k]].links):
             best = lexicon.best(links, near)
             w = w[:start] + (best.capitalize() if w[start].isupper() and w[start + 1 : start + 2].islower() else best) + w[end:]
         fixed[k] = w
@@ -720,11 +724,18 @@ def _lines(text: str | None) -> list[str]:
     return [x for x in (text or "").splitlines() if x.strip()]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch; strings are taken in bulk."""
+    names = batch.schema.names
+    columns = [c.to_numpy(zero_copy_only=False) if pa.types.is_string(c.type) else c.to_pylist() for c in batch.columns]
+    return (dict(zip(names, values)) for values in zip(*columns))
+
+
 def _by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each window; they follow one another."""
     key, held = None, []
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             now = (r["doc_id"], r["stretch"], r["part"])
             if now != key and held:
                 yield held
