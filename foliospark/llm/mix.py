@@ -5,8 +5,10 @@ tokens from patterns to sources: using a pattern's tokens for the k-th time cost
 uses come before repeats everywhere; a source takes its quota at most, and from a pattern at most
 ``max_repeats`` times its tokens. Records are then drawn in a seeded order, as many as the flow says.
 
-The network has a node for each pattern and source, not for records: its size is bounded by
-``2 ** sources``, and by ``most_patterns`` (an error beyond it).
+The network has a node for each pattern and source, not for records. Of patterns there may be up to
+``2 ** sources``; the ``most_patterns`` largest are nodes of their own, and records of smaller ones count
+for one of their sources only, the one that has least text for its share. Nothing is left out by that;
+only the choice of a source for those records is made before the flow.
 """
 
 from __future__ import annotations
@@ -70,7 +72,16 @@ def min_cost_flow(capacity: dict[Pattern, int], quota: dict[str, int], repeats:
     return {k: edges[e + 1][2] for k, e in arcs.items() if edges[e + 1][2]}
 
 
-def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 13, most_patterns: int = 4096, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+def _narrowed(sized: DataFrame, per: DataFrame, wanted: dict[str, tuple[float, int]], most: int) -> DataFrame:
+    """``sized`` with patterns beyond the ``most`` largest made one of their sources, the scarcest."""
+    kept = per.orderBy(F.col("size").desc(), "pattern").limit(most).select("pattern", F.lit(True).alias("_kept"))
+    supply = {r["source"]: r["size"] for r in per.select(F.explode("pattern").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    need = sorted(supply, key=lambda s: (-wanted[s][0] / supply[s], s))
+    scarcest = F.slice(F.array_intersect(F.array(*map(F.lit, need)), F.col("pattern")), 1, 1)
+    return sized.join(F.broadcast(kept), "pattern", "left").withColumn("pattern", F.when(F.col("_kept"), F.col("pattern")).otherwise(scarcest)).drop("_kept")
+
+
+def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 13, most_patterns: int = 4096, bucket_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """``records(key, sources array<string>, tokens)`` and ``targets(source, target_share,
     max_repeats)`` to the mix and its report.
 
@@ -89,14 +100,16 @@ def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     draw = F.xxhash64(F.lit(seed), "key")
     sized = materialize(
         records.select("key", pattern.alias("pattern"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("n"), draw.alias("draw"))
-        .filter((F.size("pattern") > 0) & (F.col("n") > 0))
-        .withColumn("bucket", F.pmod(F.shiftright("draw", 20), F.lit(buckets)).cast("int")),
+        .filter((F.size("pattern") > 0) & (F.col("n") > 0)),
         "mix-records",
     )
+    buckets = max(1024, sized.count() // bucket_rows)
+    sized = sized.withColumn("bucket", F.pmod(F.shiftright("draw", 20), F.lit(buckets)).cast("int"))
+    per = materialize(sized.groupBy("pattern").agg(F.sum("n").alias("size")), "mix-patterns")
+    if per.count() > most_patterns:
+        sized = _narrowed(sized, per, wanted, most_patterns)
     sums = sized.groupBy("pattern", "bucket").agg(F.sum("n").alias("size"))
-    have = {tuple(r["pattern"]): r["size"] for r in sums.groupBy("pattern").agg(F.sum("size").alias("size")).limit(most_patterns + 1).collect()}
-    if len(have) > most_patterns:
-        raise ValueError(f"more than {most_patterns} patterns of sources")
+    have = {tuple(r["pattern"]): r["size"] for r in sums.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}  # most_patterns and sources at most
     total = sum(have.values()) if total_tokens is None else total_tokens
     quota = {s: round(share * total) for s, (share, _) in wanted.items()}
     flow = min_cost_flow(have, quota, {s: r for s, (_, r) in wanted.items()})

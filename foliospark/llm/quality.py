@@ -6,13 +6,12 @@ texts (``most_labels``) and applied as a SQL CASE expression to all texts.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.rules import induce
+from foliospark.workspace import materialize
 
 # What starts an item of a list; vowels of the languages in Latin script.
 ITEM = r"^\s*([-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s"
@@ -55,9 +54,8 @@ def with_statistics(texts: DataFrame, text: str, common: list[str]) -> DataFrame
     chars_of = lambda holds: F.aggregate("_lines", F.lit(0), lambda a, x: a + F.when(holds(x), F.length(x)).otherwise(0)).cast("double")
     count = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("double")
     marks = lambda x: F.regexp_count(x, F.lit(r"[|\t;]"))
-    # vowels are counted over the different words
-    counted = counted.withColumn("_all", F.array_join("_distinct", "")).withColumns({
-        "_vowels": rest(f"[^{VOWELS}]+", "_all"), "_latin": F.length("_all") - rest("[a-zà-ɏ]+", "_all"),
+    counted = counted.withColumn("_all", F.array_join("_words", "")).withColumns({
+        "_vowels": F.length("_all") - F.length(F.translate("_all", VOWELS, "")), "_latin": F.length("_all") - rest("[a-zà-ɏ]+", "_all"),
     })
     out = counted.withColumns({
         "n_words": F.col("_n"),
@@ -92,25 +90,20 @@ def labelled(texts: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame
     won = votes.groupBy("id").agg(F.max("n").alias("top"), F.collect_list(F.struct("n", "label")).alias("v"))
     won = won.select("id", F.expr("transform(filter(v, x -> x.n = top), x -> x.label)").alias("w")).filter("size(w) = 1").select("id", F.col("w")[0].alias("label"))
     won = won.orderBy(F.xxhash64("id"), "id").limit(most_labels)
-    return won.join(texts.select("id", "text").dropDuplicates(["id"]), "id").filter("text is not null")
-
+    # at most most_labels rows, so the texts aren't shuffled for them
+    return texts.select("id", "text").filter("text is not null").join(F.broadcast(won), "id").dropDuplicates(["id"])
 
-def common_words(cases: list[tuple[str, str]], usual: str = "prose", most: int = 500, least_rate: float = 3.0) -> list[str]:
-    """Words that mark texts labelled ``usual``: the most frequent
-    of those that are at least ``least_rate`` times as frequent in them as in the others."""
-    import re
 
-    word = re.compile(r"[^\W\d_]+")
-    there: Counter = Counter()
-    other: Counter = Counter()
-    sizes: dict[bool, int] = defaultdict(int)
-    for text, label in cases:
-        words = set(word.findall(text.lower()))
-        (there if label == usual else other).update(words)
-        sizes[label == usual] += 1
-    rate = lambda w: (there[w] / max(1, sizes[True])) / ((other[w] + 1) / (sizes[False] + 2))
-    kept = [w for w, n in there.items() if n >= 3 and rate(w) >= least_rate]
-    return sorted(kept, key=lambda w: (-there[w], w))[:most]
+def common_words(cases: DataFrame, usual: str = "prose", most: int = 500, least_rate: float = 3.0) -> list[str]:
+    """Words that mark the texts of ``cases(text, label)`` labelled ``usual``: the most frequent of those
+    that are at least ``least_rate`` times as frequent in them as in the others."""
+    here = F.col("label") == usual
+    size = cases.agg(F.count_if(here).alias("usual"), F.count_if(~here).alias("other")).first()
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
+    counts = cases.select("label", F.explode(words).alias("word")).groupBy("word").agg(F.count_if(here).alias("there"), F.count_if(~here).alias("other"))
+    rate = (F.col("there") / max(1, size["usual"])) / ((F.col("other") + 1) / (size["other"] + 2))
+    kept = counts.filter((F.col("there") >= 3) & (rate >= least_rate)).orderBy(F.col("there").desc(), "word").limit(most)
+    return [r["word"] for r in kept.collect()]
 
 
 def learn(texts: DataFrame, labels: DataFrame, most_labels: int = 20_000, usual: str = "prose") -> tuple[str, list[str]]:
@@ -118,22 +111,22 @@ def learn(texts: DataFrame, labels: DataFrame, most_labels: int = 20_000, usual:
     that gives a text's kind, and the common words the statistics need.
 
     Two rule lists: one for whatever isn't ``usual``, one that tells the other kinds apart. Without
-    labelled texts everything is ``usual``.
+    labelled texts everything is ``usual``. Texts stay on executors; their statistics, a row of numbers
+    for each of at most ``most_labels``, come to the driver.
     """
-    cases = labelled(texts, labels, most_labels).orderBy("id").collect()
-    if not cases:
-        return f"'{usual}'", []
-    spark = texts.sparkSession
-    kinds = np.array([r["label"] for r in cases], object)
-    pairs = [(r["text"], r["label"]) for r in cases]
-    common = common_words(pairs, usual, least_rate=1.0)
+    cases = materialize(labelled(texts, labels, most_labels), "quality-cases")
+    common = common_words(cases, usual, least_rate=1.0)
     for clean in (True, False):
-        rows = with_statistics(spark.createDataFrame(pairs, "text string, label string"), "text", common).select(*STATISTICS).toPandas()
+        rows = with_statistics(cases, "text", common).select("id", "label", *STATISTICS).orderBy("id").toPandas()
+        if not len(rows):
+            return f"'{usual}'", []
+        kinds = rows["label"].to_numpy(object)
         columns = {c: rows[c].to_numpy(float) for c in STATISTICS}
         other = induce(columns, np.where(kinds == usual, usual, "other"), usual)
         if clean:  # wrong labels blur which words are common: those that no rule bears out are left out
-            said = other.predict(columns)
-            common = common_words([p for p, k, o in zip(pairs, kinds, said) if (k == usual) == (o == usual)], usual)
+            agreed = rows[["id"]][(kinds == usual) == (other.predict(columns) == usual)]
+            right = texts.sparkSession.createDataFrame(agreed, texts.select("id").schema)  # at most most_labels rows
+            common = common_words(cases.join(F.broadcast(right), "id", "left_semi"), usual)
     caught = (other.predict(columns) != usual) & (kinds != usual)
     if not caught.any():
         return f"'{usual}'", common

@@ -152,11 +152,12 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-def _kinds(spark: SparkSession, d: str) -> DataFrame:
+def _kinds(spark: SparkSession, d: str, of: str = "true") -> DataFrame:
+    """The kinds of the child chunks that ``of`` holds for."""
     texts = table(spark, d, "chunks").filter("role = 'child'").select(F.col("chunk_id").alias("id"), "block_type", "text")
     labels = table(spark, d, "quality_labels").select(F.col("chunk_id").alias("id"), "annotator", "label")
     rules, common = ql.learn(texts, labels)
-    return ql.classify(texts, "text", rules, common)
+    return ql.classify(texts.filter(of), "text", rules, common)
 
 
 @query
@@ -167,7 +168,7 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     misfit = "(block_type = 'text' and kind <> 'prose') or (block_type = 'table' and kind = 'prose')"
-    return _kinds(spark, d).filter("length(text) >= 100").filter(misfit).select(F.col("id").alias("chunk_id")).distinct()
+    return _kinds(spark, d, "block_type in ('text', 'table') and length(text) >= 100").filter(misfit).select(F.col("id").alias("chunk_id")).distinct()
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:

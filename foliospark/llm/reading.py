@@ -12,7 +12,6 @@ The model is fitted on at most ``most_labels`` graded texts; all texts are read
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.workspace import materialize
+
 LEVELS = 5
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _ITEM = re.compile(r"\s*(?:[-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s")
@@ -97,45 +98,58 @@ class Model:
         return None if of is None else float(np.clip(of @ np.array(self.weights), 1, LEVELS))
 
 
-def acquisition_grades(texts: list[tuple[set[str], int]], least: int = 5) -> dict[str, float]:
-    """Each word's grade, from ``(words, level)`` of graded texts; words of fewer texts have none."""
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(LEVELS))
-    sizes = np.zeros(LEVELS)
-    for words, level in texts:
-        sizes[level - 1] += 1
-        for w in words:
-            counts[w][level - 1] += 1
+def acquisition_grades(counts: dict[str, np.ndarray], sizes: np.ndarray) -> dict[str, float]:
+    """Each word's grade, from how many graded texts of each level have it, of ``sizes`` texts."""
     out = {}
     for w, n in counts.items():
-        if n.sum() >= least:
-            share = (n + 0.1) / (sizes + 1)
-            share /= share.sum()
-            upto = np.cumsum(share)
-            k = int(np.searchsorted(upto, 0.5))
-            out[w] = float(k + (0.5 - (upto[k] - share[k])) / share[k] + 0.5)
+        share = (n + 0.1) / (sizes + 1)
+        share /= share.sum()
+        upto = np.cumsum(share)
+        k = int(np.searchsorted(upto, 0.5))
+        out[w] = float(k + (0.5 - (upto[k] - share[k])) / share[k] + 0.5)
     return out
 
 
-def fit(texts: DataFrame, labels: DataFrame, function_words: frozenset[str], most_labels: int = 20_000) -> Model:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(w, grade) for text, grade in zip(batch.column("text").to_pylist(), batch.column("grade").to_pylist()) for w in set(_WORD.findall(text.lower()))]
+        words, grades = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(grades, pa.int32())], names=["word", "grade"])
+
+
+def fit(texts: DataFrame, labels: DataFrame, function_words: frozenset[str], most_labels: int = 20_000, least: int = 5) -> Model:
     """The model from ``labels(id, level)`` of ``texts(id, text)``; several levels of a text are averaged.
 
-    Null levels and levels outside 1 to 5 are left out, as are null texts. Without graded texts
-    nothing has a level.
+    Null levels and levels outside 1 to 5 are left out, as are null texts. Words of fewer than ``least``
+    graded texts have no grade. Without graded texts nothing has a level. Texts stay on executors: what
+    comes to the driver is a row of counts for each graded word, and of quantiles for each text.
     """
     graded = labels.filter(f"level between 1 and {LEVELS}").dropDuplicates().groupBy("id").agg(F.avg("level").alias("level"))
     graded = graded.orderBy(F.xxhash64("id"), "id").limit(most_labels)
-    cases = texts.select("id", "text").join(F.broadcast(graded), "id").filter("text is not null").dropDuplicates(["id"]).select("text", "level").collect()
-    whole = [(set(_WORD.findall(r["text"].lower())), int(np.clip(round(r["level"]), 1, LEVELS))) for r in cases]
-    model = Model(acquisition_grades(whole))
-    rows, levels = [], []
-    for r in cases:
-        prose = prose_of(r["text"], model.grades, function_words)
-        of = model.quantiles(prose.words)
-        if of is not None and prose.share >= 0.5:
-            rows.append(of)
-            levels.append(r["level"])
+    cases = texts.select("id", "text").filter("text is not null").join(F.broadcast(graded), "id").dropDuplicates(["id"])  # at most most_labels rows
+    cases = materialize(cases.withColumn("grade", F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.bround("level").cast("int")))), "graded-texts")
+    sizes, counts = np.zeros(LEVELS), {}
+    for r in cases.groupBy("grade").count().collect():
+        sizes[r["grade"] - 1] = r["count"]
+    by = [F.count_if(F.col("grade") == k).alias(f"g{k}") for k in range(1, LEVELS + 1)]
+    known = cases.select("text", "grade").mapInArrow(_words, "word string, grade int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), *by)
+    for word, _, *n in map(tuple, known.filter(F.col("n") >= least).collect()):
+        counts[word] = np.array(n, float)
+    model = Model(acquisition_grades(counts, sizes))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                prose = prose_of(text, model.grades, function_words)
+                of = model.quantiles(prose.words)
+                rows.append(of.tolist() if of is not None and prose.share >= 0.5 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("level"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "level", "quantiles"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = cases.select("id", "level", "text").mapInArrow(describe, f"id {kind}, level double, quantiles array<double>").filter("quantiles is not null").orderBy("id").toPandas()
     if len(rows) > len(_QUANTILES):
-        x, y = np.array(rows), np.array(levels)
+        x, y = np.array(rows["quantiles"].tolist()), rows["level"].to_numpy()
         centre = x.mean(axis=0)
         centre[0] = 0
         scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1)

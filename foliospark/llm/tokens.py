@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import base64
+import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Fixed value: the word pattern that the byte-level vocabularies here were made with.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from foliospark.functions.tokens import encoding
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SLICE = 200_000
 
 
-@lru_cache(maxsize=4)
-def encoding(ranks_file: str):  # type: ignore[no-untyped-def]
-    """A byte-level BPE from a ranks file; read once in each worker."""
-    import tiktoken
-
-    with open(ranks_file, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("folio", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def count(encoder, text: str | None) -> int:  # type: ignore[no-untyped-def]
     """Tokens of a text; null and empty ones have 0. Very long texts are counted line by line run."""
     if not text:
@@ -43,12 +33,17 @@ def count(encoder, text: str | None) -> int:  # type: ignore[no-untyped-def]
 
 
 def with_tokens(df: DataFrame, text: str, out: str, ranks_file: str = DEFAULT_RANKS) -> DataFrame:
-    """``df`` without its column ``text``, with the column ``out``: tokens of it, as int."""
+    """``df`` without its column ``text``, with the column ``out``: tokens of it, as int.
+
+    The vocabulary file is one of the driver's; executors get it with the job.
+    """
+    df.sparkSession.sparkContext.addFile(ranks_file)
+    name = os.path.basename(ranks_file)
     kept = [c for c in df.columns if c != text]
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(out, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoding(ranks_file)
+        encoder = encoding(SparkFiles.get(name))
         for batch in batches:
             sizes = pa.array([count(encoder, t) for t in batch.column(text).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sizes], names=[*kept, out])

@@ -75,3 +75,15 @@ def test_mix(frame):
     assert sorted(map(tuple, again.collect())) == sorted((k, s, n, t) for k, s, n, t in map(tuple, mixed.collect()))
     nothing = mx.mix(frame([], "key bigint, sources array<string>, tokens int"), targets)[1]
     assert nothing.count() == 3
+
+
+def test_more_patterns_than_nodes(frame):
+    rng = random.Random(8)
+    names = [f"s{k}" for k in range(9)]
+    rows = [(k, rng.sample(names, rng.randint(1, 6)), rng.randint(1, 50)) for k in range(4000)]
+    targets = frame([(n, 1 / 9, 2) for n in names], "source string, target_share double, max_repeats int")
+    for most in (4096, 5):
+        mixed, report = mx.mix(frame(rows, "key bigint, sources array<string>, tokens int"), targets, most_patterns=most)
+        by = {k: s for k, s, _ in rows}
+        assert all(r["source"] in by[r["key"]] for r in mixed.collect())
+        assert all(abs(r["actual_share"] - 1 / 9) < 0.01 for r in report.collect())
