@@ -65,6 +65,24 @@ select chunk_a, chunk_b from m join k x on x.chunk_id = chunk_a join k y on y.ch
 """
 
 
+_SETS = ORACLES["p1_found"].split("m as (")[0].rstrip().removesuffix(",").replace(" and not ownerless", "").replace(", source_uri is null as ownerless", "")
+ORACLES["p1_groups"] = (
+    "with recursive"
+    + _SETS.split("with", 1)[1]
+    + r""",
+g as (select chunk_id, md5(string_agg(cast(h as varchar), ',' order by h)) as sig from s join k using (chunk_id) group by chunk_id),
+r as (select sig, min(chunk_id) as rep from g group by sig),
+t as (select rep, h from s join r on s.chunk_id = r.rep),
+o as (select a.rep as a, b.rep as b, count(*) as o from t a join t b on a.h = b.h and a.rep < b.rep group by all),
+m as (select a, b from o join k x on x.chunk_id = a join k y on y.chunk_id = b where o >= 0.5 * (x.n + y.n - o)),
+e as (select a, b from m union all select b, a from m),
+reach as (select rep as a, rep as b from r union select reach.a, e.b from reach join e on e.a = reach.b),
+c1 as (select a, min(b) as class_id from reach group by a)
+select g.chunk_id, class_id, (select count(*) from e where e.a = r.rep) as links from g join r using (sig) join c1 on c1.a = r.rep
+"""
+)
+
+
 def _to_split(spark: SparkSession, d: str) -> DataFrame:
     limits = table(spark, d, "size_limits")
     kind = F.concat(F.col("role"), F.lit("_chunk"))
@@ -178,6 +196,29 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
     return rd.levels(texts, model, plain)
 
 
+@query
+def p7_word_grades(spark: SparkSession, d: str) -> DataFrame:
+    """The acquisition grade of each word of at least five graded documents."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    cases = rd.graded_texts(texts, table(spark, d, "level_labels").select(F.col("doc_id").alias("id"), "level", "grader"))
+    grades = rd.word_grades(cases)
+    return spark.createDataFrame([(w, round(g, 6)) for w, g in grades.items()], "word string, grade double")  # a row a graded word
+
+
+ORACLES["p7_word_grades"] = r"""
+with l as (select doc_id, avg(level) as level from (select distinct doc_id, level, grader from level_labels where level between 1 and 5) group by doc_id),
+t as (select cast(least(5, greatest(1, round_even(level, 0))) as integer) as grade, text from l join documents using (doc_id) where text is not null),
+w as (select grade, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+(?:[-''’][\p{L}\p{Nl}\p{No}]+)*'))) as word from t),
+z as (select count(*) filter (grade = 1) as s1, count(*) filter (grade = 2) as s2, count(*) filter (grade = 3) as s3, count(*) filter (grade = 4) as s4, count(*) filter (grade = 5) as s5 from t),
+n as (select word, count(*) filter (grade = 1) as n1, count(*) filter (grade = 2) as n2, count(*) filter (grade = 3) as n3, count(*) filter (grade = 4) as n4, count(*) filter (grade = 5) as n5 from w group by word having count(*) >= 5),
+r as (select word, [(n1 + 0.1) / (s1 + 1), (n2 + 0.1) / (s2 + 1), (n3 + 0.1) / (s3 + 1), (n4 + 0.1) / (s4 + 1), (n5 + 0.1) / (s5 + 1)] as a from n, z),
+p as (select word, list_transform(a, lambda x: x / list_sum(a)) as a from r),
+c as (select word, a, list_transform([1, 2, 3, 4, 5], lambda i: list_sum(a[:i])) as u from p),
+k as (select *, len(list_filter(u, lambda x: x < 0.5)) + 1 as k from c)
+select word, round(k - 1 + (0.5 - (u[k] - a[k])) / a[k] + 0.5, 6) as grade from k
+"""
+
+
 @query
 def p7_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d).withColumnRenamed("id", "doc_id")
@@ -247,22 +288,34 @@ def p4_chunk_texts(spark: SparkSession, d: str) -> DataFrame:
     return _repaired_chunks(table(spark, d, "chunks"), sr.learn(table(spark, d, "blocks"), sure))
 
 
+_PLAIN = ("mean_word_length", "symbol_ratio", "closed_line_share", "common_share", "digit_ratio", "vowel_ratio", "mean_line_words", "separators_per_word", "long_word_share", "distinct_share", "number_word_share")
+
+
 @query
 def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The plain statistics of each child chunk; common words are those of word_list."""
     words = [r["word"] for r in table(spark, d, "word_list").filter("word is not null").orderBy("word_rank", "word").collect()]  # a fixed list
     texts = table(spark, d, "chunks").filter("role = 'child'").select("chunk_id", "text").dropDuplicates(["chunk_id"])
     of = ql.with_statistics(texts, "text", words)
-    return of.select("chunk_id", F.col("n_words").cast("bigint").alias("n_words"), *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "closed_line_share", "common_share")])
+    return of.select("chunk_id", F.col("n_words").cast("bigint").alias("n_words"), *[F.round(c, 6).alias(c) for c in _PLAIN])
 
 
 _WHITE = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ORACLES["p3_statistics"] = rf"""
 with c as (select distinct on (chunk_id) chunk_id, coalesce(text, '') as t from chunks where role = 'child'),
 s as (select *, len(regexp_extract_all(t, '[^{_WHITE}]+')) as n, length(regexp_replace(t, '[{_WHITE}]+', '', 'g')) as ch, length(regexp_replace(t, '[\p{{L}}\p{{M}}0-9{_WHITE}]+', '', 'g')) as sy,
-  list_filter(string_split_regex(t, '[\r\n]+'), lambda x: trim(x, ' ') <> '') as ls, list_distinct(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{M}}]+'), lambda x: x <> '')) as ws from c),
+  list_filter(string_split_regex(t, '[\r\n]+'), lambda x: trim(x, ' ') <> '') as ls, list_distinct(list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{M}}]+'), lambda x: x <> '')) as ws,
+  list_filter(string_split_regex(lower(t), '[^\p{{L}}\p{{M}}]+'), lambda x: x <> '') as aw, regexp_extract_all(t, '[^{_WHITE}]+') as ts from c),
 w as (select list(distinct word) as known from word_list)
 select chunk_id, n as n_words, round(case when n > 0 then ch / n else 0 end, 6) as mean_word_length, round(case when ch > 0 then sy / ch else 0 end, 6) as symbol_ratio,
   round(case when len(ls) > 0 then len(list_filter(ls, lambda x: regexp_matches(rtrim(x, ' '), '[.!?:;…。]$'))) / len(ls) else 0 end, 6) as closed_line_share,
-  round(case when len(ws) > 0 then len(list_intersect(ws, known)) / len(ws) else 0 end, 6) as common_share from s, w
+  round(case when len(ws) > 0 then len(list_intersect(ws, known)) / len(ws) else 0 end, 6) as common_share,
+  round(case when ch > 0 then length(regexp_replace(t, '[^0-9]+', '', 'g')) / ch else 0 end, 6) as digit_ratio,
+  round(case when la * 2 > length(al) then (length(al) - length(translate(al, '{ql.VOWELS}', ''))) / la else 0.4 end, 6) as vowel_ratio,
+  round(case when len(ls) > 0 then n / len(ls) else 0 end, 6) as mean_line_words,
+  round(case when n > 0 then length(regexp_replace(t, '[^|\t;]+', '', 'g')) / n else 0 end, 6) as separators_per_word,
+  round(case when n > 0 then len(list_filter(ts, lambda x: length(x) > 24)) / n else 0 end, 6) as long_word_share,
+  round(case when len(aw) > 0 then len(ws) / len(aw) else 0 end, 6) as distinct_share,
+  round(case when n > 0 then len(list_filter(ts, lambda x: regexp_matches(x, '\d'))) / n else 0 end, 6) as number_word_share
+from (select s.*, array_to_string(aw, '') as al, length(array_to_string(aw, '')) - length(regexp_replace(array_to_string(aw, ''), '[a-zà-ɏ]+', '', 'g')) as la from s) s, w
 """

@@ -117,17 +117,18 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(grades, pa.int32())], names=["word", "grade"])
 
 
-def fit(texts: DataFrame, labels: DataFrame, function_words: frozenset[str], most_labels: int = 20_000, least: int = 5) -> Model:
-    """The model from ``labels(id, level)`` of ``texts(id, text)``; several levels of a text are averaged.
-
-    Null levels and levels outside 1 to 5 are left out, as are null texts. Words of fewer than ``least``
-    graded texts have no grade. Without graded texts nothing has a level. Texts stay on executors: what
-    comes to the driver is a row of counts for each graded word, and of quantiles for each text.
-    """
+def graded_texts(texts: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> DataFrame:
+    """``(id, text, level, grade)`` of at most ``most_labels`` of ``texts(id, text)`` that have
+    ``labels(id, level)``, chosen by a hash of their id; several levels of a text are averaged. Null levels,
+    levels outside 1 to 5 and null texts are left out."""
     graded = labels.filter(f"level between 1 and {LEVELS}").dropDuplicates().groupBy("id").agg(F.avg("level").alias("level"))
     graded = graded.orderBy(F.xxhash64("id"), "id").limit(most_labels)
     cases = texts.select("id", "text").filter("text is not null").join(F.broadcast(graded), "id").dropDuplicates(["id"])  # at most most_labels rows
-    cases = materialize(cases.withColumn("grade", F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.bround("level").cast("int")))), "graded-texts")
+    return materialize(cases.withColumn("grade", F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.bround("level").cast("int")))), "graded-texts")
+
+
+def word_grades(cases: DataFrame, least: int = 5) -> dict[str, float]:
+    """The grades of words of at least ``least`` of ``cases(text, grade)``."""
     sizes, counts = np.zeros(LEVELS), {}
     for r in cases.groupBy("grade").count().collect():
         sizes[r["grade"] - 1] = r["count"]
@@ -135,7 +136,18 @@ def fit(texts: DataFrame, labels: DataFrame, function_words: frozenset[str], mos
     known = cases.select("text", "grade").mapInArrow(_words, "word string, grade int").groupBy("word").agg(F.count(F.lit(1)).alias("n"), *by)
     for word, _, *n in map(tuple, known.filter(F.col("n") >= least).collect()):
         counts[word] = np.array(n, float)
-    model = Model(acquisition_grades(counts, sizes))
+    return acquisition_grades(counts, sizes)
+
+
+def fit(texts: DataFrame, labels: DataFrame, function_words: frozenset[str], most_labels: int = 20_000, least: int = 5) -> Model:
+    """The model from ``labels(id, level)`` of ``texts(id, text)``, as ``graded_texts`` takes them.
+
+    Words of fewer than ``least`` graded texts have no grade. Without graded texts nothing has a level.
+    Texts stay on executors: what comes to the driver is a row of counts for each graded word, and of
+    quantiles for each text.
+    """
+    cases = graded_texts(texts, labels, most_labels)
+    model = Model(word_grades(cases, least))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

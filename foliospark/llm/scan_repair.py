@@ -296,9 +296,9 @@ def learn(blocks: DataFrame, sure: frozenset[str] = frozenset(), least: int = 8,
     every = materialize(_count(blocks), "scan-words")
     counted = every.filter("kind = 'word'").select("word", "n")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    rows = counted.filter(F.col("n") >= max(least, total / share)).collect()
-    rows.sort(key=lambda r: (-r["n"], r["word"]))
-    lexicon = Lexicon({r["word"]: r["n"] for r in rows}, {r["word"]: k for k, r in enumerate(rows[:words])}, sure=sure, words=counted, shapes=_edge_shapes(every, least, share))
+    rows = counted.filter(F.col("n") >= max(least, total / share)).toArrow()
+    core = sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()), key=lambda r: (-r[1], r[0]))
+    lexicon = Lexicon(dict(core), {w: k for k, (w, _) in enumerate(core[:words])}, sure=sure, words=counted, shapes=_edge_shapes(every, least, share))
     lexicon.least = max(least, total / known_share)
     known = counted.filter((F.col("n") >= lexicon.least) & (F.col("n") < max(least, total / share))).select(F.crc32(F.encode("word", "utf-8")).alias("crc"))
     codes = known.toArrow().column("crc").to_numpy()  # at most known_share numbers
