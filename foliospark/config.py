@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, MutableMapping
 from dataclasses import dataclass, fields
 
 HOSTED = ("azure_openai", "azure")
 LOCAL = ("sentence_transformers", "local", "st")
 
 
+def provider_kind(name: str) -> str:
+    """``hosted``, ``local`` or ``other``, whatever its case."""
+    return "hosted" if name.lower() in HOSTED else "local" if name.lower() in LOCAL else "other"
+
+
 @dataclass(frozen=True)
 class Settings:
     """How files become chunks. ``from_env`` reads ``FOLIO_<NAME>`` and ignores unknown names."""
 
     embedding_provider: str = "sentence_transformers"
     embedding_batch_size: int = 64
-    local_embedding_model: str = "all-MiniLM-L6-v2"
+    local_embedding_model: str = "sentence-transformers/all-MiniLM-L6-v2"
     local_embedding_device: str = "cpu"
     azure_openai_endpoint: str | None = None
     azure_openai_api_key: str | None = None
-    embedding_deployment: str = "text-embedding-3-small"
+    embedding_deployment: str = "text-embedding-3-large"
     breakpoint_threshold_type: str = "percentile"
     breakpoint_threshold_amount: float = 95.0
     max_parent_tokens: int = 3000
@@ -42,7 +47,6 @@ class Settings:
     token_counter: str = "whitespace"
     token_encoder_model: str | None = None
     min_chars_per_page: int = 50
-    max_workers: int = 4
     enable_embedding_cache: bool = True
     cache_dir: str = ".ingest_cache"
     offline: bool = False
@@ -54,8 +58,9 @@ class Settings:
     emit_slide_tables: bool = False
 
     def __post_init__(self) -> None:
-        if self.offline and (self.embedding_provider in HOSTED or (self.enable_llm_toc_inference and self.llm_provider in HOSTED)):
-            raise ValueError("offline: a hosted provider can't be used")
+        hosted = [name for name in ("embedding_provider", "llm_provider") if provider_kind(getattr(self, name)) == "hosted"]
+        if self.offline and hosted:
+            raise ValueError(f"offline: {', '.join(hosted)} would send text off-machine")
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "FOLIO_") -> Settings:
@@ -77,13 +82,21 @@ class Settings:
         return cls(**given)
 
 
-#: Set on executors (``spark.executorEnv``) so that no library reaches for a network.
+# What keeps model libraries from reaching for a network.
 OFFLINE_ENVIRONMENT = {
-    "HF_HUB_OFFLINE": "1", "TRANSFORMERS_OFFLINE": "1", "HF_DATASETS_OFFLINE": "1", "HF_HUB_DISABLE_TELEMETRY": "1",
-    "DO_NOT_TRACK": "1", "ANONYMIZED_TELEMETRY": "False", "TOKENIZERS_PARALLELISM": "false",
+    "HF_HUB_OFFLINE": "1", "TRANSFORMERS_OFFLINE": "1", "HF_HUB_DISABLE_TELEMETRY": "1", "HF_HUB_DISABLE_IMPLICIT_TOKEN": "1",
+    "LANGCHAIN_TRACING_V2": "false", "LANGCHAIN_TRACING": "false", "ANONYMIZED_TELEMETRY": "False",
 }
 
 
+def enforce_offline(env: MutableMapping[str, str] | None = None) -> dict[str, str]:
+    """Put a process offline; what its environment already sets is kept. Returns what was set."""
+    env = os.environ if env is None else env
+    missing = {k: v for k, v in OFFLINE_ENVIRONMENT.items() if k not in env}
+    env.update(missing)
+    return missing
+
+
 def offline_conf(existing: Mapping[str, str]) -> dict[str, str]:
     """Session settings that put executors offline; what ``existing`` already sets is kept."""
     return {k: v for name, v in OFFLINE_ENVIRONMENT.items() if (k := f"spark.executorEnv.{name}") not in existing}

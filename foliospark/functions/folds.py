@@ -25,6 +25,23 @@ def pack_before(sizes: str, limit: int | str) -> Column:
     )
 
 
+def starts_before(sizes: str, limit: int | str) -> Column:
+    """Where the groups of ``pack_before`` begin, counted from 1: a fold that keeps a number a group, not
+    one an item."""
+    return F.expr(
+        f"""aggregate({_sql(sizes)}, named_struct('s', cast(array() as array<int>), 'i', 1, 't', 0L),
+        (a, x) -> if(a.i > 1 and a.t + x <= {limit},
+            named_struct('s', a.s, 'i', a.i + 1, 't', a.t + x),
+            named_struct('s', array_append(a.s, a.i), 'i', a.i + 1, 't', x)), a -> a.s)"""
+    )
+
+
+def cut(items: Column, starts: Column) -> Column:
+    """The stretches of ``items`` that begin at ``starts``; linear, as each item is copied once."""
+    upto = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(items) + 1))
+    return F.filter(F.zip_with(starts, upto, lambda a, b: F.slice(items, a, b - a)), lambda part: part.isNotNull())  # none of no items
+
+
 def pack_after(sizes: str, target: int, most: int) -> Column:
     """Close a group once it has ``most`` items or ``target`` tokens."""
     full = f"(a.n + 1 >= {most} or a.t + x >= {target})"

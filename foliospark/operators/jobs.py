@@ -73,4 +73,4 @@ def validate(uploads: DataFrame, extensions: set[str], most_bytes: int = 200 * 1
 
 def page(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of chunks in order of file and place, at most 100 000 of them."""
-    return chunks.orderBy("doc_id", "chunk_seq").offset(max(0, offset)).limit(max(1, min(limit, 100_000)))
+    return chunks.orderBy("doc_id", "chunk_seq", "chunk_id").offset(max(0, offset)).limit(max(1, min(limit, 100_000)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.functions import text as t
-from foliospark.operators.order import numbered
+from foliospark.operators.order import numbered, with_neighbours
 
 NUMBERED = r"(?U)^\d+(\.\d+)*\s"
 CLOSING = r"[.!?:;,]$"
@@ -49,10 +49,15 @@ def is_candidate(line: Column, page_start: Column, longest: int) -> Column:
 def candidates(elements: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``(doc_id, line_id, seq, line, text, page, before, after)``: candidate lines in order, with the
     lines around them. ``line`` counts all lines of the element."""
-    lines = elements.filter(F.col("kind") == "text").select("doc_id", "seq", "page", "is_page_start", F.posexplode(t.split_lines(F.col("text"))).alias("line", "raw"))
-    lines = lines.filter(~t.is_blank(F.col("raw"))).withColumn("text", t.strip(F.col("raw")))
-    near = Window.partitionBy("doc_id").orderBy("seq", "line")
-    lines = lines.withColumns({"before": F.coalesce(F.lag("text").over(near), F.lit("")), "after": F.coalesce(F.lead("text").over(near), F.lit(""))})
+    raw = F.transform(t.split_lines(F.col("text")), lambda x, i: F.struct(i.alias("line"), t.strip(x).alias("text")))
+    said = elements.filter(F.col("kind") == "text").select("doc_id", "seq", "page", "is_page_start", F.filter(raw, lambda x: x["text"] != "").alias("lines")).filter(F.size("lines") > 0)
+    # what is beside a line is in its element, but for the first and last: these ask the elements around
+    said = with_neighbours(said, ["doc_id"], "seq", ["seq"], F.element_at("lines", 1)["text"], F.element_at("lines", -1)["text"], "_before", "_after")
+    beside = F.transform("lines", lambda x, i: F.struct(
+        x["line"].alias("line"), x["text"].alias("text"), F.when(i > 0, F.get("lines", i - 1)["text"]).otherwise(F.coalesce("_before", F.lit(""))).alias("before"),
+        F.when(i < F.size("lines") - 1, F.get("lines", i + 1)["text"]).otherwise(F.coalesce("_after", F.lit(""))).alias("after"),
+    ))
+    lines = said.select("doc_id", "seq", "page", "is_page_start", F.inline(beside))
     start = F.coalesce("is_page_start", F.lit(False)) & (F.col("line") == 0)
     kept = lines.filter(is_candidate(F.col("text"), start, cfg.max_heading_chars))
     kept = numbered(kept, ["doc_id"], "seq", ["seq", "line"], "_no")
@@ -114,8 +119,8 @@ def promoted(elements: DataFrame, heads: DataFrame) -> DataFrame:
     texts = elements.filter(F.col("kind") == "text").select("*", F.posexplode(t.split_lines(F.col("text"))).alias("line", "_text")).drop("text").withColumnRenamed("_text", "text")
     texts = texts.drop("level").join(heads, ["doc_id", "seq", "line"], "left").withColumn("kind", F.when(F.col("level").isNotNull(), "heading").otherwise("text"))
     others = elements.filter(F.col("kind") != "text").withColumn("line", F.lit(0))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("_seq", "line")) - 1
-    return texts.unionByName(others.select(texts.columns)).withColumnRenamed("seq", "_seq").withColumn("seq", order).drop("_seq", "line")
+    every = texts.unionByName(others.select(texts.columns)).withColumnRenamed("seq", "_seq")
+    return numbered(every, ["doc_id"], "_seq", ["_seq", "line"], "seq").drop("_seq", "line")
 
 
 def section_coverage(sections: DataFrame, docs: DataFrame) -> DataFrame:

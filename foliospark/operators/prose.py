@@ -30,11 +30,9 @@ def paragraph_parts(texts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``texts(doc_id, sec_idx, text)`` to ``(…, part, parts, text)``: paragraphs packed up to
     ``max_parent_tokens``; a paragraph is never split, however large."""
     split = texts.withColumn("paras", F.filter(F.split("text", "\n\n"), lambda p: ~t.is_blank(p))).filter(F.size("paras") > 0)
-    packed = split.withColumn("sizes", tokens.counts(F.col("paras"))).withColumn("ids", folds.pack_before("sizes", cfg.max_parent_tokens))
-    zipped = packed.withColumn("z", F.arrays_zip("paras", "ids")).withColumn("parts", F.element_at("ids", -1) + 1)
-    each = zipped.select("doc_id", "sec_idx", "parts", "z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    mine = F.filter("z", lambda x: x["ids"] == F.col("part"))
-    return each.select("doc_id", "sec_idx", "part", "parts", F.array_join(F.transform(mine, lambda x: x["paras"]), "\n\n").alias("text"))
+    packed = split.withColumn("sizes", tokens.counts(F.col("paras"))).withColumn("starts", folds.starts_before("sizes", cfg.max_parent_tokens))
+    texts = F.transform(folds.cut(F.col("paras"), F.col("starts")), lambda part: F.array_join(part, "\n\n"))
+    return packed.select("doc_id", "sec_idx", F.size("starts").alias("parts"), F.posexplode(texts).alias("part", "text")).select("doc_id", "sec_idx", "part", "parts", "text")
 
 
 def sentences(text: Column) -> Column:
@@ -150,11 +148,10 @@ def table_pieces(tables: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     width = t.widest(F.col("rows"))
     line = lambda r: t.markdown_row(t.pad(r, width))
     large = sized.filter(~fits).withColumns({"head": head, "body": F.slice("rows", 2, F.size("rows") - 1), "_headsize": t.token_count(line(F.col("rows")[0])) + width + width + 1})
-    large = large.withColumn("room", F.lit(cfg.max_child_tokens) - F.col("_headsize")).withColumn("sizes", tokens.counts(F.transform("body", line))).withColumn("ids", folds.pack_before("sizes", "room"))
-    parts = F.greatest(F.coalesce(F.array_max("ids"), F.lit(0)) + 1, F.lit(1))
-    each = large.withColumn("parts", parts).withColumn("z", F.arrays_zip("body", "ids")).select("table_id", "caption", "head", "parts", "z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    mine = F.transform(F.filter("z", lambda x: x["ids"] == F.col("part")), lambda x: x["body"])
-    text = t.table_text(F.col("caption"), t.grid_to_markdown(F.concat(F.col("head"), mine)))
+    large = large.withColumn("room", F.lit(cfg.max_child_tokens) - F.col("_headsize")).withColumn("sizes", tokens.counts(F.transform("body", line))).withColumn("starts", folds.starts_before("sizes", "room"))
+    grids = F.when(F.size("starts") > 0, folds.cut(F.col("body"), F.col("starts"))).otherwise(F.array(F.col("body")))  # a header alone is one piece
+    each = large.withColumn("grids", grids).select("table_id", "caption", "head", F.size("grids").alias("parts"), F.posexplode("grids").alias("part", "mine"))
+    text = t.table_text(F.col("caption"), t.grid_to_markdown(F.concat(F.col("head"), F.col("mine"))))
     return whole.unionByName(each.select("table_id", "part", "parts", F.lit(True).alias("split"), text.alias("text")))
 
 

@@ -19,6 +19,7 @@ from foliospark.functions import folds
 from foliospark.functions import text as t
 from foliospark.operators.order import numbered as number_in_order
 from foliospark.operators.order import running_sum
+from foliospark.workspace import materialize
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ def _no_path() -> Column:
     return F.array().cast("array<string>")
 
 
-def _ids(sections: DataFrame, blocks: DataFrame, tables: DataFrame, table_no: Column | None = None) -> Parts:
+def with_ids(sections: DataFrame, blocks: DataFrame, tables: DataFrame, table_no: Column | None = None) -> Parts:
     """Give sections, blocks and tables their identifiers."""
     sec = F.concat_ws("-sec-", "doc_id", "sec_idx")
     order = F.row_number().over(Window.partitionBy("doc_id", "sec_idx").orderBy("seq")) - 1
@@ -86,7 +87,7 @@ def by_headings(elements: DataFrame) -> Parts:
     bare = elements.groupBy("doc_id").agg(F.bool_or(is_head).alias("any")).filter("not any").select("doc_id", F.lit(0).alias("sec_idx"))
     roots = used.unionByName(bare).distinct().select("doc_id", "sec_idx", F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"), _no_path().alias("section_path"))
     sections = heads.unionByName(roots).join(_pages(blocks), ["doc_id", "sec_idx"], "left")
-    return _ids(sections, blocks, tables)
+    return with_ids(sections, blocks, tables)
 
 
 def by_pages(elements: DataFrame, cfg: Settings = Settings()) -> Parts:
@@ -103,6 +104,7 @@ def by_pages(elements: DataFrame, cfg: Settings = Settings()) -> Parts:
         tables.groupBy("doc_id", "page").agg(F.lit(True).alias("tb")), ["doc_id", "page"], "full"
     )
     per = per.select("doc_id", "page", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), F.coalesce("tb", F.lit(False)).alias("tb"))
+    per = materialize(per, "pages")  # a row a page; what follows reads it several times
     # a page that isn't short ends its section whatever came before: the carry starts anew behind it
     closing = ((F.col("n") >= cfg.min_child_tokens) | F.col("tb")).cast("int")
     runs = running_sum(per, ["doc_id"], "page", ["page"], closing, "_run").withColumn("_run", F.col("_run") - closing)
@@ -116,7 +118,7 @@ def by_pages(elements: DataFrame, cfg: Settings = Settings()) -> Parts:
     )
     starts = folded.groupBy("doc_id", "_run", "_g").agg(F.min("page").alias("_page"))
     starts = number_in_order(starts, ["doc_id"], "_page", ["_page"], "sec_idx").drop("_page")
-    merged = folded.join(starts, ["doc_id", "_run", "_g"]).select("doc_id", "page", "sec_idx")
+    merged = materialize(folded.join(starts, ["doc_id", "_run", "_g"]).select("doc_id", "page", "sec_idx"), "merged-pages")
     sections = merged.groupBy("doc_id", "sec_idx").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
     sections = sections.select(
         "doc_id", "sec_idx", F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"),
@@ -132,7 +134,7 @@ def by_pages(elements: DataFrame, cfg: Settings = Settings()) -> Parts:
         blocks = here(texts)
     count = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_s"))
     placed = number_in_order(here(tables), ["doc_id"], "sec_idx", ["sec_idx", "seq"], "_t").join(count, "doc_id")
-    parts = _ids(sections, blocks, placed, (F.col("_s") * 1000 + F.col("_t")).cast("int"))
+    parts = with_ids(sections, blocks, placed, (F.col("_s") * 1000 + F.col("_t")).cast("int"))
     return Parts(parts.sections, parts.blocks, parts.tables.drop("_s", "_t"))
 
 
@@ -142,7 +144,7 @@ def flat(elements: DataFrame) -> Parts:
     blocks, tables = _split(placed)
     docs = elements.select("doc_id").distinct()
     sections = docs.select("doc_id", F.lit(0).alias("sec_idx"), F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"), _no_path().alias("section_path"))
-    return _ids(sections.join(_pages(blocks), ["doc_id", "sec_idx"], "left"), blocks, tables)
+    return with_ids(sections.join(_pages(blocks), ["doc_id", "sec_idx"], "left"), blocks, tables)
 
 
 def by_slides(elements: DataFrame, docs: DataFrame) -> Parts:
@@ -163,4 +165,4 @@ def by_slides(elements: DataFrame, docs: DataFrame) -> Parts:
     body = placed.join(titles, ["doc_id", "sec_idx"], "left").filter(~((F.col("kind") == "heading") & (t.strip(F.coalesce("text", F.lit(""))) == F.coalesce("heading", F.lit("")))))
     blocks, tables = _split(body)
     number = (F.col("sec_idx") + 1) * 1000 + F.row_number().over(Window.partitionBy("doc_id", "sec_idx").orderBy("seq")) - 1
-    return _ids(sections, blocks, tables, number)
+    return with_ids(sections, blocks, tables, number)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.config import Settings
-from foliospark.operators import prose
+from foliospark.config import Settings, provider_kind
+from foliospark.operators import prose, providers
+from foliospark.workspace import materialize, shared_dir
 
 Embedder = Callable[[Column], Column]
 
@@ -71,13 +73,15 @@ def breaks(of: DataFrame, keys: list[str], order: str, kind: str = "percentile",
     return with_t.withColumn("cut", cut).withColumn("piece", F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0)))
 
 
-def splitter(embed: Embedder, window: int = 1) -> prose.Splitter:
-    """A splitter for prose: each sentence is embedded together with its neighbours."""
+def splitter(embed: Embedder, window: int = 1, cache: str | None = None) -> prose.Splitter:
+    """A splitter for prose: each sentence is embedded together with its neighbours. Vectors are taken
+    from the table at ``cache`` where it has them, and new ones appended to it."""
 
     def split(parents: DataFrame, cfg: Settings) -> DataFrame:
         said = parents.select("parent_id", F.posexplode(prose.sentences(F.col("text"))).alias("at", "sentence"))
         near = Window.partitionBy("parent_id").orderBy("at").rowsBetween(-window, window)
-        vectors = said.withColumn("vector", embed(F.array_join(F.collect_list("sentence").over(near), " ")))
+        windows = said.withColumn("near", F.array_join(F.collect_list("sentence").over(near), " "))
+        vectors = windows.withColumn("vector", embed(F.col("near"))) if cache is None else _from_cache(windows, cache, embed)
         apart = breaks(distances(vectors, ["parent_id"], "at", "vector"), ["parent_id"], "at", cfg.breakpoint_threshold_type, cfg.breakpoint_threshold_amount)
         joined = said.join(apart.select("parent_id", "at", "piece"), ["parent_id", "at"]).groupBy("parent_id", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("s"))
         return joined.select("parent_id", F.col("piece").cast("int").alias("at"), F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("text"))
@@ -85,9 +89,40 @@ def splitter(embed: Embedder, window: int = 1) -> prose.Splitter:
     return split
 
 
+def _from_cache(windows: DataFrame, path: str, embed: Embedder) -> DataFrame:
+    spark = windows.sparkSession
+    windows = materialize(windows.withColumn("hash", F.sha2("near", 256)), "sentence-windows")
+    kept = read_cache(spark, path)
+    hits = kept.dropDuplicates(["hash"]).join(windows.select("hash").distinct(), "hash", "left_semi")
+    # written before either is read, so nothing is embedded twice
+    fresh = materialize(cached(windows.select(F.col("near").alias("text")), kept, embed)[1], "fresh-vectors")
+    vectors = materialize(hits.unionByName(fresh), "vectors")
+    fresh.write.mode("append").parquet(path)
+    return windows.join(vectors, "hash").drop("hash", "near")
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors kept at ``path``, ``(hash, vector)``; none if nothing is there yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    schema = "hash string, vector array<double>"
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def cache_path(spark: SparkSession, cfg: Settings) -> str | None:
+    """Where vectors of the configured model are kept: by itself if ``cache_dir`` is an address or an
+    absolute path, else in the shared folder."""
+    if not cfg.enable_embedding_cache:
+        return None
+    model = {"hosted": cfg.embedding_deployment, "local": cfg.local_embedding_model}.get(provider_kind(cfg.embedding_provider), cfg.embedding_provider)
+    own = "://" in cfg.cache_dir or cfg.cache_dir.startswith("/")
+    return f"{cfg.cache_dir if own else shared_dir(spark) + '/' + cfg.cache_dir}/{re.sub(r'[^A-Za-z0-9.-]+', '_', model)}"
+
+
 def cached(texts: DataFrame, cache: DataFrame, embed: Embedder) -> tuple[DataFrame, DataFrame]:
     """Vectors of ``texts(text)`` by way of ``cache(hash, vector)``: ``(hash, text, vector)`` for each
-    different text, and the rows to append to the cache. A text is embedded once."""
+    different text, and the rows to append to the cache. A text is embedded once, if the second is
+    written before the first is read."""
     wanted = texts.filter("text is not null").select(F.sha2("text", 256).alias("hash"), "text").dropDuplicates(["hash"])
     known = cache.dropDuplicates(["hash"])
     missing = wanted.join(known, "hash", "left_anti").withColumn("vector", embed(F.col("text")))
@@ -99,12 +134,12 @@ EMBEDDERS: dict[str, Callable[[Settings], Embedder]] = {"hashed": lambda cfg: ha
 
 
 def embedder(cfg: Settings, given: Embedder | None = None) -> Embedder:
-    """The embedder of ``cfg.embedding_provider``; ``given`` comes first. Models are registered in
-    ``EMBEDDERS``; none comes with the engine but ``hashed``."""
+    """The embedder of ``cfg.embedding_provider``; ``given`` comes first, then those registered in
+    ``EMBEDDERS``, then the models of ``providers``."""
     if given is not None:
         return given
     if cfg.embedding_provider not in EMBEDDERS:
-        raise ValueError(f"no embedder registered for {cfg.embedding_provider!r}")
+        return model_embedder(providers.vectors(cfg), cfg.embedding_batch_size)
     return EMBEDDERS[cfg.embedding_provider](cfg)
 
 

@@ -53,10 +53,10 @@ def from_table(df: DataFrame, name: str, order: str, cells: dict[str, Column], d
     inside = Window.partitionBy("_p").orderBy("_o")
     offsets = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
     rows = ranged.withColumn("_i", F.row_number().over(inside) - 1).join(F.broadcast(offsets.drop("_n")), "_p")
-    rows = rows.withColumns(key).select(*KEY, (F.col("_before") + F.col("_i")).cast("int").alias("row_idx"), "cells")
+    rows = materialize(rows.withColumns(key).select(*KEY, (F.col("_before") + F.col("_i")).cast("int").alias("row_idx"), "cells"), "sheet-rows")
     spark = df.sparkSession
     heads = spark.range(1).select(*[c.alias(n) for n, c in key.items()], F.array(*map(F.lit, cells)).alias("columns"), F.lit(True).alias("has_header"))
-    return rows, heads
+    return rows, materialize(heads, "sheet-heads")  # keys as columns: joins on literals would be nested loops
 
 
 def cut(rows: DataFrame, heads: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +139,7 @@ def batches(rows: DataFrame, heads: DataFrame, cfg: Settings = Settings()) -> Da
 def chunks(rows: DataFrame, heads: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Summary parents and row children: ``(doc_id, chunk_id, parent_id, role, block_type, text,
     section_path, sheet_name, row_range, token_count, metadata, chunk_seq)``."""
-    parents = summaries(rows, heads, cfg)
+    parents = materialize(summaries(rows, heads, cfg), "sheet-parents")
     ordered = Window.partitionBy("doc_id").orderBy("sheet_idx", "batch")
     children = (
         batches(rows, heads, cfg)

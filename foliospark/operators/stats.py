@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The texts of warnings.
+DEGRADED = "parent structure degraded to "
+GUARDED = "scale guard fired: sheet routed to structured_query"
+SPARSE = "sparse sheet detected (pivot/dashboard-like)"
+EMPTY_SLIDES = " empty slide(s) skipped"
+
+
+def sheet_flags(chunks: DataFrame) -> DataFrame:
+    """``(doc_id, guarded, sparse_sheet)`` of documents that have chunks, as their metadata says."""
+    said = lambda path, value: F.coalesce(F.get_json_object("metadata", path) == value, F.lit(False))
+    return chunks.groupBy("doc_id").agg(F.bool_or(said("$.routing", "structured_query")).alias("guarded"), F.bool_or(said("$.sparse_sheet", "true")).alias("sparse_sheet"))
+
+
 def doc_stats(chunks: DataFrame) -> DataFrame:
     """Per document: chunks, parents, children, tokens, and counts by block type as sorted JSON."""
     kinds = chunks.groupBy("doc_id", "block_type").agg(
@@ -21,10 +34,10 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
 def warnings(strategy: Column, guarded: Column, sparse: Column, empty_slides: Column) -> Column:
     """What a reader should know, in a fixed order."""
     return F.array_compact(F.array(
-        F.when(strategy.isin("PAGE", "FLAT"), F.concat(F.lit("degraded structure: parent strategy "), strategy)),
-        F.when(guarded, F.lit("row guard: rows are not chunked, query them instead")),
-        F.when(sparse, F.lit("sparse sheet")),
-        F.when(F.coalesce(empty_slides, F.lit(0)) > 0, F.concat(empty_slides.cast("string"), F.lit(" empty slides"))),
+        F.when(strategy.isin("PAGE", "FLAT"), F.concat(F.lit(DEGRADED), strategy)),
+        F.when(guarded, F.lit(GUARDED)),
+        F.when(sparse, F.lit(SPARSE)),
+        F.when(F.coalesce(empty_slides, F.lit(0)) > 0, F.concat(empty_slides.cast("string"), F.lit(EMPTY_SLIDES))),
     ))
 
 

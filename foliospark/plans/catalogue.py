@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from foliospark.config import Settings
 from foliospark.functions import text as t
 from foliospark.operators import jobs, ladder, prose, semantic, sheets, slides, stats
+from foliospark.operators import sections as sec
+from foliospark.plans import ingest
 from foliospark.tables import deployed, table
 from foliospark.workspace import materialize
 
@@ -59,10 +61,19 @@ def doc_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "docs").select("doc_id", t.doc_id(F.col("source_uri"), F.lit("1700000000.5")).alias("own_id")).distinct()
 
 
-@query("select distinct block_id, doc_id || '-sec-' || sec_idx || '-b' || block_order as own_id from blocks")
+@query(
+    """select section_id as given_id, doc_id || '-sec-' || sec_idx as own_id from (select distinct section_id, doc_id, sec_idx from sections)
+    union all select block_id, doc_id || '-sec-' || sec_idx || '-b' || (row_number() over (partition by doc_id, sec_idx order by block_order, block_id) - 1) from (select distinct block_id, doc_id, sec_idx, block_order from blocks)
+    union all select table_id, doc_id || '-tbl-' || (row_number() over (partition by doc_id order by sec_idx, tbl_seq, table_id) - 1) from (select distinct table_id, doc_id, sec_idx, tbl_seq from table_blocks)"""
+)
 def block_ids(spark: SparkSession, d: str) -> DataFrame:
-    own = F.concat("doc_id", F.lit("-sec-"), F.col("sec_idx").cast("string"), F.lit("-b"), F.col("block_order").cast("string"))
-    return table(spark, d, "blocks").select("block_id", own.alias("own_id")).distinct()
+    """Identifiers of sections, blocks and tables, as builders give them."""
+    sections = table(spark, d, "sections").select("doc_id", "sec_idx", F.col("section_id").alias("given_id")).distinct()
+    blocks = table(spark, d, "blocks").select("doc_id", "sec_idx", F.struct("block_order", "block_id").alias("seq"), F.col("block_id").alias("given_id")).distinct()
+    tabs = table(spark, d, "table_blocks").select("doc_id", "sec_idx", F.struct("tbl_seq", "table_id").alias("seq"), F.col("table_id").alias("given_id")).distinct()
+    parts = sec.with_ids(sections, blocks, tabs)
+    out = parts.sections.select("given_id", F.col("section_id").alias("own_id"))
+    return out.unionByName(parts.blocks.select("given_id", F.col("block_id").alias("own_id"))).unionByName(parts.tables.select("given_id", F.col("table_id").alias("own_id")))
 
 
 @query(f"select distinct chunk_id, token_count, {_tokens('text')} as recount from chunks where token_count is null or token_count <> {_tokens('text')}")
@@ -76,9 +87,7 @@ def token_drift(spark: SparkSession, d: str) -> DataFrame:
     when lower(file_type) in ('xlsx', 'csv') then 'row' end as chunker from (select distinct doc_id, file_type from docs)"""
 )
 def dispatch(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.lower("file_type")
-    chosen = F.when(kind.isin("pdf", "docx"), "prose").when(kind == "pptx", "slide").when(kind.isin("xlsx", "csv"), "row")
-    return table(spark, d, "docs").select("doc_id", "file_type").distinct().select("doc_id", chosen.alias("chunker"))
+    return table(spark, d, "docs").select("doc_id", "file_type").distinct().select("doc_id", ingest.chunker(F.col("file_type")).alias("chunker"))
 
 
 # --- sheets ----------------------------------------------------------------------------------------
@@ -254,9 +263,7 @@ _HEADS = "heads as (select distinct doc_id, sec_idx, heading, coalesce(level, 1)
     select i.doc_id, i.sec_idx, string_agg({_strip("j.heading")}, ' > ' order by j.sec_idx) as path from heads i join ends j on i.doc_id = j.doc_id and j.sec_idx <= i.sec_idx and (j.e is null or j.e > i.sec_idx) group by all"""
 )
 def heading_paths(spark: SparkSession, d: str) -> DataFrame:
-    from foliospark.operators import sections
-
-    return sections.heading_paths(_headings(spark, d).withColumnRenamed("heading", "x").withColumnRenamed("level", "l")).select("doc_id", "sec_idx", F.array_join("section_path", t.PATH).alias("path"))
+    return sec.heading_paths(_headings(spark, d).withColumnRenamed("heading", "x").withColumnRenamed("level", "l")).select("doc_id", "sec_idx", F.array_join("section_path", t.PATH).alias("path"))
 
 
 @query(
@@ -299,9 +306,7 @@ l as (select *, length(regexp_extract(raw, '^(#+)', 1)) as level, {_strip("regex
     select s.*, coalesce(blocks, 0) as blocks from (select doc_id, sec_idx, heading, cast(level as integer) as level, path from path union all select * from root) s left join b using (doc_id, sec_idx)"""
 )
 def line_sections(spark: SparkSession, d: str) -> DataFrame:
-    from foliospark.operators import sections
-
-    parts = sections.by_headings(_lines(spark, d))
+    parts = sec.by_headings(_lines(spark, d))
     blocks = parts.blocks.groupBy("doc_id", "sec_idx").agg(F.count(F.lit(1)).alias("blocks"))
     return parts.sections.join(blocks, ["doc_id", "sec_idx"], "left").select("doc_id", "sec_idx", "heading", "level", F.array_join("section_path", t.PATH).alias("path"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
@@ -344,14 +349,12 @@ idx as (select *, row_number() over (partition by doc_id order by page) as i fro
     ) select doc_id, cast(g as integer) as sec_idx, min(page) as page_start, max(page) as page_end from walk group by all"""
 )
 def short_page_carry(spark: SparkSession, d: str) -> DataFrame:
-    from foliospark.operators import sections
-
     blocks = table(spark, d, "blocks").dropDuplicates(["block_id"]).select("doc_id", F.lit("text").alias("kind"), "text", "page", F.struct("sec_idx", "block_order", "block_id").alias("_o"))
     none = F.lit(None)
     tabs = table(spark, d, "table_blocks").dropDuplicates(["table_id"]).select("doc_id", F.lit("table").alias("kind"), none.cast("string").alias("text"), "page", F.struct("sec_idx", F.col("tbl_seq").alias("block_order"), F.col("table_id").alias("block_id")).alias("_o"))
-    every = blocks.unionByName(tabs).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("_o")))
+    every = blocks.unionByName(tabs).withColumnRenamed("_o", "seq")
     elements = every.select("doc_id", "seq", "kind", "text", "page", none.cast("int").alias("end_page"), none.cast("int").alias("level"), none.cast("array<array<string>>").alias("table_rows"), none.cast("string").alias("table_markdown"), none.cast("string").alias("caption"))
-    return sections.by_pages(elements).sections.select("doc_id", "sec_idx", "page_start", "page_end")
+    return sec.by_pages(elements).sections.select("doc_id", "sec_idx", "page_start", "page_end")
 
 
 @query(
@@ -378,6 +381,85 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return ladder.quality_gate(elements, docs).join(chars, "doc_id", "left").select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), F.col("error").isNotNull().alias("low"))
 
 
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, blocks and tables of the sections as a stream of elements."""
+    none = F.lit(None)
+    shape = lambda df, kind, text, page, order: df.select(
+        "doc_id", order.alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), page.cast("int").alias("page"), none.cast("int").alias("level"), none.cast("array<array<string>>").alias("table_rows"),
+        none.cast("string").alias("table_markdown"), none.cast("string").alias("caption"), "sec_idx",
+    )
+    order = lambda kind, at, key: F.struct(F.col("sec_idx"), F.lit(kind).alias("k"), F.col(at).alias("o"), F.col(key).alias("i"))
+    heads = shape(table(spark, d, "sections").dropDuplicates(["section_id"]).filter("heading is not null"), "heading", F.col("heading"), F.col("page_start"), order(0, "sec_idx", "section_id"))
+    said = shape(table(spark, d, "blocks").dropDuplicates(["block_id"]), "text", F.col("text"), F.col("page"), order(1, "block_order", "block_id"))
+    tabs = shape(table(spark, d, "table_blocks").dropDuplicates(["table_id"]), "table", none.cast("string"), F.col("page"), order(2, "tbl_seq", "table_id"))
+    return heads.unionByName(said).unionByName(tabs)
+
+
+@query(
+    f"""with e as (select doc_id, heading as text, page_start as page, sec_idx, 0 as k, sec_idx as o, section_id as i from (select distinct on (section_id) * from sections) where heading is not null
+      union all select doc_id, text, page, sec_idx, 1, block_order, block_id from (select distinct on (block_id) * from blocks)),
+    b as (select * from e where {_strip("coalesce(text, '')")} <> ''),
+    d as (select doc_id from e union select doc_id from table_blocks)
+    select d.doc_id, d.doc_id || '-sec-0' as section_id, cast(arg_min(page, (sec_idx, k, o, i)) as integer) as page_start, cast(arg_max(page, (sec_idx, k, o, i)) filter (page is not null) as integer) as page_end, count(b.doc_id) as blocks
+    from d left join b using (doc_id) group by d.doc_id"""
+)
+def flat_sections(spark: SparkSession, d: str) -> DataFrame:
+    parts = sec.flat(_elements(spark, d).drop("sec_idx"))
+    blocks = parts.blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"))
+    return parts.sections.join(blocks, "doc_id", "left").select("doc_id", "section_id", "page_start", "page_end", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+@query(
+    f"""with decks as (select doc_id, max(num_slides) as num_slides from docs where file_type = 'pptx' group by doc_id),
+    e as (select doc_id, heading as text, 0 as k, sec_idx, sec_idx as o, section_id as i from (select distinct on (section_id) * from sections) where heading is not null
+      union all select doc_id, text, 1, sec_idx, block_order, block_id from (select distinct on (block_id) * from blocks)),
+    b as (select e.*, {_strip("coalesce(text, '')")} as x from e join decks using (doc_id)),
+    n as (select doc_id, greatest(coalesce(num_slides, 0), coalesce(m, 0)) as n from decks left join (select doc_id, max(sec_idx) + 1 as m from (select doc_id, sec_idx from b union all select doc_id, sec_idx from table_blocks) group by doc_id) using (doc_id)),
+    s as (select doc_id, unnest(range(n)) as sec_idx from n),
+    t as (select doc_id, sec_idx, arg_min(x, (k, o, i)) as heading from b where x <> '' group by all),
+    c as (select b.doc_id, b.sec_idx, count(*) as blocks from b left join t using (doc_id, sec_idx) where x <> '' and not (k = 0 and x = coalesce(heading, '')) group by all)
+    select doc_id, cast(sec_idx as integer) as sec_idx, heading, coalesce(heading, 'Slide ' || (sec_idx + 1)) as path, coalesce(blocks, 0) as blocks from s left join t using (doc_id, sec_idx) left join c using (doc_id, sec_idx)"""
+)
+def slide_sections(spark: SparkSession, d: str) -> DataFrame:
+    decks = table(spark, d, "docs").filter("file_type = 'pptx'").groupBy("doc_id").agg(F.max("num_slides").alias("num_slides"))
+    elements = _elements(spark, d).join(decks.select("doc_id"), "doc_id", "left_semi")
+    parts = sec.by_slides(elements.withColumn("page", F.col("sec_idx") + 1).drop("sec_idx"), decks)
+    blocks = parts.blocks.groupBy("doc_id", "sec_idx").agg(F.count(F.lit(1)).alias("blocks"))
+    return parts.sections.join(blocks, ["doc_id", "sec_idx"], "left").select("doc_id", "sec_idx", "heading", F.array_join("section_path", t.PATH).alias("path"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+def _numbered_headings(payload: Column) -> Column:
+    """A classifier by rule: numbered lines are headings, as deep as their numbers."""
+    lines = F.from_json(payload, "array<struct<line_id:string,text:string>>")
+    number = lambda x: F.regexp_extract(x["text"], r"^(\d+(\.\d+)*)\s", 1)
+    said = F.transform(F.filter(lines, lambda x: number(x) != ""), lambda x: F.struct(x["line_id"].alias("line_id"), F.lit(True).alias("is_heading"), (F.regexp_count(number(x), F.lit(r"\.")) + 1).cast("string").alias("level")))
+    return F.to_json(said)
+
+
+@query(
+    rf"""with l0 as (select doc_id, string_split_regex(text, '\r\n|[\n\x{{0b}}\x{{0c}}\r\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]') as x from documents where text is not null),
+    l1 as (select doc_id, unnest(case when x[-1] = '' then x[:-2] else x end) as raw, generate_subscripts(case when x[-1] = '' then x[:-2] else x end, 1) - 1 as seq from l0),
+    k as (select doc_id, seq, {_strip("raw")} as x from l1 where {_strip("raw")} <> '' and length({_strip("raw")}) <= 120 and (not regexp_matches({_strip("raw")}, '[.!?:;,]$') or regexp_matches({_strip("raw")}, '^\d+(\.\d+)*\s'))),
+    few as (select doc_id from k group by doc_id having count(*) <= 500),
+    hd as (select doc_id, seq, least(4, length(n) - length(replace(n, '.', '')) + 1) as level from (select k.*, regexp_extract(x, '^(\d+(\.\d+)*)\s', 1) as n from k join few using (doc_id)) where n <> ''),
+    l as (select l1.*, {_strip("raw")} as x, hd.level, hd.level is not null as head, cast(sum(cast(hd.level is not null as integer)) over (partition by l1.doc_id order by l1.seq) as integer) as sec_idx from l1 left join hd using (doc_id, seq)),
+    hs as (select doc_id, sec_idx, level, x from l where head),
+    ends as (select a.doc_id, a.sec_idx, a.level, any_value(a.x) as x, min(b.sec_idx) as e from hs a left join hs b on a.doc_id = b.doc_id and b.sec_idx > a.sec_idx and b.level <= a.level group by all),
+    path as (select i.doc_id, i.sec_idx, any_value(i.level) as level, string_agg(j.x, ' > ' order by j.sec_idx) as path from hs i join ends j on i.doc_id = j.doc_id and j.sec_idx <= i.sec_idx and (j.e is null or j.e > i.sec_idx) group by i.doc_id, i.sec_idx),
+    root as (select doc_id, 0 as sec_idx, 0 as level, '' as path from l group by doc_id having not bool_or(head) or bool_or(sec_idx = 0 and x <> ''))
+    select doc_id, sec_idx, cast(level as integer) as level, path from path union all select doc_id, sec_idx, level, path from root"""
+)
+def inferred_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by headings that a classifier confirms among the candidate lines of documents."""
+    none = F.lit(None)
+    elements = table(spark, d, "documents").filter("text is not null").select(
+        "doc_id", F.lit(0).alias("seq"), F.lit("text").alias("kind"), "text", none.cast("int").alias("page"), none.cast("int").alias("end_page"), none.cast("int").alias("level"), F.lit(False).alias("is_page_start"),
+        none.cast("array<array<string>>").alias("table_rows"), none.cast("string").alias("table_markdown"), none.cast("string").alias("caption"),
+    )
+    heads = materialize(ladder.confirmed(ladder.candidates(elements), _numbered_headings), "confirmed-headings")
+    return sec.by_headings(ladder.promoted(elements, heads)).sections.select("doc_id", "sec_idx", "level", F.array_join("section_path", t.PATH).alias("path"))
+
+
 # --- packers -----------------------------------------------------------------------------------------
 
 
@@ -468,6 +550,119 @@ def table_splits(spark: SparkSession, d: str) -> DataFrame:
     return prose.table_pieces(tabs).select("table_id", "part", "parts", F.sha2("text", 256).alias("text_hash"))
 
 
+@query(
+    f"""with recursive {_MARKDOWN}, own as (select *, coalesce(nullif(markdown, ''), md) as m, case when coalesce(caption, '') = '' then '' else caption || chr(10) end as cap from marked join (select distinct doc_id from docs) using (doc_id)),
+    fit as (select *, {_tokens("cap || m")} <= 800 or coalesce(len(r), 0) = 0 as fits from own),
+    it as (select table_id, cap, ls[1] as h, rule, 800 - ({_tokens("ls[1]")} + 2 * w + 1) as room, unnest(ls[2:]) as l, generate_subscripts(ls[2:], 1) as i from fit where not fits),
+    s as (select *, {_tokens("l")} as n from it),
+    walk as (select table_id, i, l, 0 as g, cast(n as bigint) as tk from s where i = 1
+      union all select s.table_id, s.i, s.l, case when w.tk + s.n <= s.room then w.g else w.g + 1 end, case when w.tk + s.n <= s.room then w.tk + s.n else s.n end from walk w join s on s.table_id = w.table_id and s.i = w.i + 1),
+    parts as (select table_id, g, string_agg(l, chr(10) order by i) as body from walk group by all),
+    piece as (select table_id, 0 as part, 1 as parts, false as split, cap || m as text from fit where fits
+      union all select p.table_id, g, max(g) over (partition by p.table_id) + 1, true, cap || h || chr(10) || rule || chr(10) || body from parts p join (select distinct table_id, cap, h, rule from it) using (table_id)),
+    placed as (select o.doc_id, piece.*, cast(row_number() over (partition by o.doc_id order by o.sec_idx, o.tbl_seq, part) - 1 as integer) as ordinal from piece join own o using (table_id)),
+    root as (select doc_id, coalesce(nullif(any_value(title), ''), doc_id) as text, substr(sha256(concat_ws(chr(31), doc_id, '', 'parent', '-1', 'document-root')), 1, 16) as root_id from (select distinct doc_id, title from docs) group by doc_id)
+    select doc_id, 'parent' as role, root_id as chunk_id, null as parent_id, 0 as chunk_seq, sha256(text) as text_hash from root where doc_id in (select doc_id from placed)
+    union all select doc_id, 'child', substr(sha256(concat_ws(chr(31), doc_id, case when split then '(table part ' || (part + 1) || '/' || parts || ')' else '' end, 'child', cast(ordinal as varchar), p.text)), 1, 16), root_id, ordinal + 1, sha256(p.text)
+    from placed p join root using (doc_id)"""
+)
+def table_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Every table below a synthetic root of its document."""
+    docs = table(spark, d, "docs").select("doc_id", "title").dropDuplicates(["doc_id"])
+    tabs = table(spark, d, "table_blocks").dropDuplicates(["table_id"]).withColumnRenamed("table_rows", "rows").drop("section_path")
+    return prose.tables_only(docs, tabs).select("doc_id", "role", "chunk_id", "parent_id", "chunk_seq", F.sha2("text", 256).alias("text_hash"))
+
+
+def _split_level(source: str, part: str, glue: str, name: str, limit: int) -> str:
+    """SQL of one level of the recursive split: ``source(doc_id, path, text)``, pieces of at most ``limit``
+    tokens of neighbours packed together, as ``name(doc_id, path, text, small)``."""
+    return f"""
+{name}_u as (select doc_id, path, unnest({part}) as p, generate_subscripts({part}, 1) as j from {source}),
+{name}_s as (select doc_id, path, p, {_tokens("p")} as n, row_number() over (partition by doc_id, path order by j) as i from {name}_u where {_strip("p")} <> ''),
+{name}_w as (select doc_id, path, i, p, 0 as g, cast(n as bigint) as tk from {name}_s where i = 1
+  union all select s.doc_id, s.path, s.i, s.p, case when w.tk > 0 and w.tk + s.n <= {limit} then w.g else w.g + 1 end, case when w.tk > 0 and w.tk + s.n <= {limit} then w.tk + s.n else s.n end
+  from {name}_w w join {name}_s s on s.doc_id = w.doc_id and s.path = w.path and s.i = w.i + 1),
+{name} as (select doc_id, path || lpad(cast(g as varchar), 6, '0') as path, string_agg(p, {glue} order by i) as text, sum({_tokens("p")}) <= {limit} as small from {name}_w group by doc_id, path, g)"""
+
+
+_RECURSIVE = 120
+
+
+@query(
+    f"""with recursive whole as (select doc_id, '' as path, text, {_tokens("text")} <= {_RECURSIVE} as small from documents where text is not null),
+    big0 as (select * from whole where not small), {_split_level("big0", "string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", "a", _RECURSIVE)},
+    big1 as (select * from a where not small), {_split_level("big1", "string_split(text, chr(10))", "chr(10)", "b", _RECURSIVE)},
+    big2 as (select * from b where not small), {_split_level("big2", "string_split_regex(text, '[ \t\n\x0b\f\r]+')", "' '", "c", _RECURSIVE)},
+    every as (select doc_id, path, text from whole where small union all select doc_id, path, text from a where small union all select doc_id, path, text from b where small union all select doc_id, path, text from c)
+    select doc_id, cast(row_number() over (partition by doc_id order by path) - 1 as integer) as piece, sha256(text) as text_hash from every"""
+)
+def recursive_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut at blank lines, lines and blanks into pieces of 120 tokens."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(prose.recursive_split(F.col("text"), _RECURSIVE)).alias("piece", "text"))
+    return docs.select("doc_id", "piece", F.sha2("text", 256).alias("text_hash"))
+
+
+# the whole prose chunker: parents, their pieces by sentences and size, tables below them or a synthetic root
+_PROSE_CHUNKS = f"""
+dd as (select doc_id, any_value(title) as title from docs where file_type in ('pdf', 'docx') group by doc_id),
+sc as (select distinct on (section_id) doc_id, sec_idx, section_path as sp, page_start from sections where doc_id in (select doc_id from dd)),
+bl as (select distinct block_id, doc_id, sec_idx, block_order, seq, text from blocks where doc_id in (select doc_id from dd) and {_strip("text")} <> ''),
+jo as (select doc_id, sec_idx, string_agg(text, chr(10) || chr(10) order by block_order, seq, text) as text from bl group by all),
+pp as (select doc_id, sec_idx, list_filter(string_split(text, chr(10) || chr(10)), lambda x: {_strip("x")} <> '') as ps from jo),
+pu as (select doc_id, sec_idx, unnest(ps) as para, generate_subscripts(ps, 1) as i from pp), ps as (select *, {_tokens("para")} as n from pu),
+pw as (select doc_id, sec_idx, i, para, 0 as g, cast(n as bigint) as tk from ps where i = 1
+  union all select s.doc_id, s.sec_idx, s.i, s.para, case when w.tk + s.n <= 3000 then w.g else w.g + 1 end, case when w.tk + s.n <= 3000 then w.tk + s.n else s.n end
+  from pw w join ps s on s.doc_id = w.doc_id and s.sec_idx = w.sec_idx and s.i = w.i + 1),
+pa as (select doc_id, sec_idx, g, string_agg(para, chr(10) || chr(10) order by i) as text from pw group by all),
+pk as (select *, max(g) over (partition by doc_id, sec_idx) + 1 as m from pa join sc using (doc_id, sec_idx)),
+pq as (select *, row_number() over (partition by doc_id order by sec_idx, g) - 1 as ordinal, '(part ' || (g + 1) || '/' || m || ')' as mark from pk),
+pf as (select *, case when m = 1 then coalesce(array_to_string(sp, ' > '), '') when len(sp) > 0 then array_to_string(sp, ' > ') || ' ' || mark else mark end as path from pq),
+up as (select *, substr(sha256(concat_ws(chr(31), doc_id, path, 'parent', cast(ordinal as varchar), text)), 1, 16) as chunk_id, {_tokens("text")} as n from pf),
+se as (select chunk_id as pid, unnest(x) as text, generate_subscripts(x, 1) as pos from (select chunk_id, string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(30), 'g'), chr(30)) as x from up where n >= 100)),
+whole as (select pid || ':' || lpad(cast(pos as varchar), 6, '0') as doc_id, '' as path, text, {_tokens("text")} <= 800 as small from se),
+big0 as (select * from whole where not small), {_split_level("big0", "string_split(text, chr(10) || chr(10))", "chr(10) || chr(10)", "a", 800)},
+big1 as (select * from a where not small), {_split_level("big1", "string_split(text, chr(10))", "chr(10)", "b", 800)},
+big2 as (select * from b where not small), {_split_level("big2", "string_split_regex(text, '[ \t\n\x0b\f\r]+')", "' '", "c", 800)},
+cut as (select doc_id || path as o, text from whole where small union all select doc_id || path, text from a where small union all select doc_id || path, text from b where small union all select doc_id || path, text from c),
+ms as (select split_part(o, ':', 1) as pid, row_number() over (partition by split_part(o, ':', 1) order by o) as i, text, {_tokens("text")} as n from cut where {_strip("text")} <> ''),
+mw as (select pid, i, text, 0 as g, cast(n as bigint) as tk from ms where i = 1
+  union all select s.pid, s.i, s.text, case when w.tk < 100 then w.g else w.g + 1 end, case when w.tk < 100 then w.tk + s.n else s.n end from mw w join ms s on s.pid = w.pid and s.i = w.i + 1),
+mt as (select pid, max(g) as lg, arg_max(tk, i) as lt from mw group by pid),
+me as (select pid, least(g, case when lg > 0 and lt < 100 then lg - 1 else lg end) as k, string_agg(text, chr(10) order by i) as text from mw join mt using (pid) group by all),
+pi as (select chunk_id as pid, 0 as k, text from up where n < 100 union all select pid, k, text from me),
+tx as (select u.doc_id, u.sec_idx, false as tab, u.g as a, row_number() over (partition by pid order by k) as b, pid as parent_id, path, pi.text from pi join up u on u.chunk_id = pi.pid),
+{_MARKDOWN},
+tw as (select *, coalesce(nullif(markdown, ''), md) as m, case when coalesce(caption, '') = '' then '' else caption || chr(10) end as cap from marked where doc_id in (select doc_id from dd)),
+fit as (select *, {_tokens("cap || m")} <= 800 or coalesce(len(r), 0) = 0 as fits from tw),
+it as (select table_id, cap, ls[1] as h, rule, 800 - ({_tokens("ls[1]")} + 2 * w + 1) as room, unnest(ls[2:]) as l, generate_subscripts(ls[2:], 1) as i from fit where not fits),
+ts as (select *, {_tokens("l")} as n from it),
+tk as (select table_id, i, l, 0 as g, cast(n as bigint) as tk from ts where i = 1
+  union all select s.table_id, s.i, s.l, case when w.tk + s.n <= s.room then w.g else w.g + 1 end, case when w.tk + s.n <= s.room then w.tk + s.n else s.n end from tk w join ts s on s.table_id = w.table_id and s.i = w.i + 1),
+tp as (select table_id, g, string_agg(l, chr(10) order by i) as body from tk group by all),
+pc as (select table_id, 0 as part, 1 as parts, false as split, cap || m as text from fit where fits
+  union all select p.table_id, g, max(g) over (partition by p.table_id) + 1, true, cap || h || chr(10) || rule || chr(10) || body from tp p join (select distinct table_id, cap, h, rule from it) using (table_id)),
+rt as (select doc_id, coalesce(nullif(title, ''), doc_id) as text, substr(sha256(concat_ws(chr(31), doc_id, '', 'parent', '-1', 'document-root')), 1, 16) as root_id from dd),
+tt as (select t.doc_id, t.sec_idx, true as tab, t.tbl_seq as a, pc.part as b, coalesce(u.chunk_id, rt.root_id) as parent_id,
+  case when split then array_to_string(list_append(coalesce(sc.sp, []), '(table part ' || (part + 1) || '/' || parts || ')'), ' > ') else coalesce(array_to_string(sc.sp, ' > '), '') end as path, pc.text
+  from pc join tw t using (table_id) join rt using (doc_id) left join up u on u.doc_id = t.doc_id and u.sec_idx = t.sec_idx and u.g = 0 left join sc on sc.doc_id = t.doc_id and sc.sec_idx = t.sec_idx),
+ro as (select * from rt where root_id in (select parent_id from tt)),
+dn as (select *, row_number() over (partition by doc_id order by sec_idx nulls last, tab, a, b) - 1 as ordinal from (select * from tx union all select * from tt)),
+n1 as (select doc_id, count(*) as n from up group by doc_id)
+"""
+
+
+@query(
+    f"""with recursive {_PROSE_CHUNKS}
+    select doc_id, 'parent' as role, 'text' as block_type, root_id as chunk_id, null as parent_id, cast(0 as integer) as chunk_seq, sha256(text) as text_hash from ro
+    union all select doc_id, 'parent', 'text', chunk_id, null, cast(ordinal + (doc_id in (select doc_id from ro))::integer as integer), sha256(text) from up
+    union all select doc_id, 'child', case when tab then 'table' else 'text' end, substr(sha256(concat_ws(chr(31), doc_id, path, 'child', cast(ordinal as varchar), text)), 1, 16), parent_id,
+      cast(ordinal + (doc_id in (select doc_id from ro))::integer + coalesce(n1.n, 0) as integer), sha256(text) from dn left join n1 using (doc_id)"""
+)
+def prose_size_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The prose chunker over all sections and tables, splitting by sentences and size."""
+    return _prose(spark, d, prose.by_size).select("doc_id", "role", "block_type", "chunk_id", "parent_id", "chunk_seq", F.sha2("text", 256).alias("text_hash"))
+
+
 # --- slides ------------------------------------------------------------------------------------------
 
 
@@ -542,10 +737,14 @@ def embed_cache_misses(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def prose_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The prose chunker over all sections, with hashed sentence vectors in place of a model."""
+    return _prose(spark, d, semantic.splitter(semantic.hashed))
+
+
+def _prose(spark: SparkSession, d: str, splitter: prose.Splitter) -> DataFrame:
     docs = table(spark, d, "docs").filter("file_type in ('pdf', 'docx')").select("doc_id", "title").dropDuplicates(["doc_id"])
     own = lambda name, key: table(spark, d, name).dropDuplicates([key]).join(docs.select("doc_id"), "doc_id", "left_semi")
     tabs = own("table_blocks", "table_id").withColumnRenamed("table_rows", "rows").drop("section_path")
-    return prose.chunks(docs, own("sections", "section_id"), own("blocks", "block_id"), tabs, semantic.splitter(semantic.hashed))
+    return prose.chunks(docs, own("sections", "section_id"), own("blocks", "block_id"), tabs, splitter)
 
 
 # --- results, jobs ------------------------------------------------------------------------------------
@@ -568,31 +767,35 @@ def doc_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_STATS}, dd as (select distinct on (doc_id) * from docs),
-    w as (select *, list_filter([case when parent_strategy in ('PAGE', 'FLAT') then 'degraded structure: parent strategy ' || parent_strategy end, case when coalesce(empty_slides, 0) > 0 then empty_slides || ' empty slides' end], lambda x: x is not null) as ws from dd)
+    f"""with {_STATS}, fl as (select doc_id, bool_or(coalesce(json_extract_string(metadata, '$.routing') = 'structured_query', false)) as guarded, bool_or(coalesce(json_extract_string(metadata, '$.sparse_sheet') = 'true', false)) as sparse from c group by doc_id),
+    dd as (select distinct on (doc_id) * from docs left join fl using (doc_id)),
+    w as (select *, list_filter([case when parent_strategy in ('PAGE', 'FLAT') then 'parent structure degraded to ' || parent_strategy end, case when guarded then 'scale guard fired: sheet routed to structured_query' end,
+      case when sparse then 'sparse sheet detected (pivot/dashboard-like)' end, case when coalesce(empty_slides, 0) > 0 then empty_slides || ' empty slide(s) skipped' end], lambda x: x is not null) as ws from dd)
     select doc_id, case when error is not null then 'failed' when len(ws) > 0 then 'partial' else 'success' end as status, case when error is not null then error else array_to_string(ws, '; ') end as warnings, coalesce(chunk_count, 0) as chunk_count, coalesce(total_tokens, 0) as total_tokens from w left join st using (doc_id)"""
 )
 def doc_results(spark: SparkSession, d: str) -> DataFrame:
-    return stats.results(table(spark, d, "docs").dropDuplicates(["doc_id"]), _chunks(spark, d)).select("doc_id", "status", F.array_join("warnings", "; ").alias("warnings"), "chunk_count", "total_tokens")
+    docs = table(spark, d, "docs").dropDuplicates(["doc_id"]).join(stats.sheet_flags(_chunks(spark, d)), "doc_id", "left").fillna(False, ["guarded", "sparse_sheet"])
+    return stats.results(docs, _chunks(spark, d)).select("doc_id", "status", F.array_join("warnings", "; ").alias("warnings"), "chunk_count", "total_tokens")
 
 
-@query("with c as (select distinct on (chunk_id) * from chunks) select chunk_id, doc_id, parent_id from c where role = 'child' and (parent_id is null or parent_id not in (select chunk_id from c where role = 'parent'))")
+@query("with c as (select distinct on (chunk_id) * from chunks where role = 'child' or token_count is not null) select chunk_id, doc_id, parent_id from c where role = 'child' and (parent_id is null or parent_id not in (select chunk_id from c where role = 'parent'))")
 def orphan_children(spark: SparkSession, d: str) -> DataFrame:
-    return stats.orphans(_chunks(spark, d))
+    """The children left behind if parents without a token count were dropped."""
+    return stats.orphans(_chunks(spark, d).filter("role = 'child' or token_count is not null"))
 
 
 @query(
     """with c as (select distinct on (chunk_id) * from chunks) select text as page_content, chunk_id, doc_id, parent_id, role, block_type, array_to_string(coalesce(section_path, []), ' > ') as section_path, source_uri, file_type, page, slide_number, sheet_name,
-    row_range[1] as row_start, row_range[2] as row_end, token_count from c"""
+    row_range[1] as row_start, row_range[2] as row_end, token_count, array_to_string(list_sort(list_transform(coalesce(json_keys(metadata), []), lambda k: k || '=' || coalesce(json_extract_string(metadata, '$."' || k || '"'), ''))), ';') as extra from c"""
 )
 def flat_export(spark: SparkSession, d: str) -> DataFrame:
-    return stats.flat_export(_chunks(spark, d)).drop("extra")
+    return stats.flat_export(_chunks(spark, d))
 
 
 @query("with c as (select distinct on (chunk_id) * from chunks) select doc_id, chunk_seq, chunk_id from c order by doc_id, chunk_seq, chunk_id limit 500 offset 1000")
 def chunk_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of chunks: the limit is the feature."""
-    return _chunks(spark, d).orderBy("doc_id", "chunk_seq", "chunk_id").offset(1000).limit(500).select("doc_id", "chunk_seq", "chunk_id")
+    return jobs.page(_chunks(spark, d), 1000, 500).select("doc_id", "chunk_seq", "chunk_id")
 
 
 _LATEST = """

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.config import Settings
+from foliospark.config import Settings, enforce_offline
 from foliospark.deploy import ship
 from foliospark.functions import tokens
-from foliospark.operators import ladder, prose, sections, semantic, sheets, slides, stats
+from foliospark.operators import ladder, prose, providers, sections, semantic, sheets, slides, stats
 from foliospark.sources import files
 from foliospark.sources.decoders import REGISTRY, Registry
 from foliospark.workspace import materialize
@@ -30,6 +30,12 @@ class Ingested:
     results: DataFrame
 
 
+def chunker(file_type: Column) -> Column:
+    """Which chunker a file goes to: ``prose``, ``slide`` or ``row``; null for other files."""
+    kind = F.lower(file_type)
+    return F.when(kind.isin("pdf", "docx"), "prose").when(kind == "pptx", "slide").when(kind.isin("xlsx", "csv"), "row")
+
+
 def _shaped(df: DataFrame, docs: DataFrame) -> DataFrame:
     for name, kind in _TYPES.items():
         if name not in df.columns:
@@ -82,19 +88,28 @@ def ingest(found: DataFrame, cfg: Settings = Settings(), registry: Registry = RE
     """``found`` from ``files.scan`` to documents, chunks and results. Every file gives a result; what
     goes wrong with one stays with it.
 
-    Prose is split by meaning with ``embed``, or the embedder registered for ``cfg.embedding_provider``;
-    only the provider of the default settings may be unregistered, and sentences are then joined by size.
-    Sizes are those of ``cfg.token_counter``.
+    Prose is split by meaning with ``embed``, or the embedder of ``cfg.embedding_provider``, whose vectors
+    are kept (``cache_dir``); only for the default settings its library may be missing, and sentences are
+    then joined by size. Headings are confirmed by ``classify``, or the model of ``cfg.llm_provider``. Sizes are those of ``cfg.token_counter``.
     """
+    if cfg.offline:
+        enforce_offline()
+    if cfg.enable_llm_toc_inference and classify is None:
+        classify = ladder.asking(providers.answers(cfg))
     with tokens.using(cfg):
-        return _ingest(found, cfg, registry, _splitter(cfg, embed), classify)
+        return _ingest(found, cfg, registry, _splitter(found.sparkSession, cfg, embed), classify)
 
 
-def _splitter(cfg: Settings, embed: semantic.Embedder | None) -> prose.Splitter:
-    if embed is None and cfg.embedding_provider == Settings.embedding_provider and cfg.embedding_provider not in semantic.EMBEDDERS:
-        warnings.warn(f"no embedder registered for {cfg.embedding_provider!r}: prose is split by size, not by meaning", stacklevel=3)
+def _splitter(spark: SparkSession, cfg: Settings, embed: semantic.Embedder | None) -> prose.Splitter:
+    try:
+        chosen = semantic.embedder(cfg, embed)
+    except ImportError as missing:
+        if cfg.embedding_provider != Settings.embedding_provider:
+            raise
+        warnings.warn(f"{missing}: no embedder for {cfg.embedding_provider!r}, prose is split by size, not by meaning", stacklevel=3)
         return prose.by_size
-    return semantic.splitter(semantic.embedder(cfg, embed))
+    # only the vectors of the configured model are kept: one that is given may be any
+    return semantic.splitter(chosen, cache=semantic.cache_path(spark, cfg) if embed is None else None)
 
 
 def _ingest(found: DataFrame, cfg: Settings, registry: Registry, splitter: prose.Splitter, classify) -> Ingested:  # type: ignore[no-untyped-def]
@@ -103,7 +118,7 @@ def _ingest(found: DataFrame, cfg: Settings, registry: Registry, splitter: prose
     items = materialize(files.elements(decoded), "elements")
     gated = materialize(ladder.quality_gate(items, files.documents(decoded), cfg), "documents")
     good = gated.filter("error is null")
-    laid = good.filter(F.col("file_type").isin("pdf", "docx", "pptx"))
+    laid = good.filter(chunker(F.col("file_type")).isin("prose", "slide"))
     known, written = chunk_elements(laid, items.join(laid.select("doc_id"), "doc_id", "left_semi"), cfg, splitter, classify)
     rows, heads = (materialize(x, "sheets") for x in sheets.from_grid(files.grids(decoded), cfg))
     tabular = _shaped(sheets.chunks(rows, heads, cfg), good)
@@ -117,6 +132,11 @@ def ingest_folder(spark: SparkSession, folder: str, cfg: Settings = Settings(),
     return ingest(files.scan(spark, folder, how.get("registry", REGISTRY), glob), cfg, **how)
 
 
+def ingest_file(spark: SparkSession, path: str, cfg: Settings = Settings(), **how) -> Ingested:  # type: ignore[no-untyped-def]
+    """One file, as ``ingest_folder`` does many."""
+    return ingest(files.scan(spark, path, how.get("registry", REGISTRY)), cfg, **how)
+
+
 def log_events(results: DataFrame) -> DataFrame:
     """Each result as one line of JSON, named for whether the file failed."""
     event: Column = F.when(F.col("status") == "failed", "ingest_failed").otherwise("ingest_ok")

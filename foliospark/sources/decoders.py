@@ -1,8 +1,7 @@
 """File decoders: bytes to elements or grids, errors as rows.
 
 A decoder is a function ``bytes -> Decoded``; ``REGISTRY`` maps extensions to them, later
-registrations come first. Formats of zipped XML are read with the standard library; PDF has no
-decoder here and needs one registered.
+registrations come first. All formats are read with the standard library.
 """
 
 from __future__ import annotations
@@ -11,10 +10,13 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+from foliospark.sources import pdf
+
 # What table readers take for a missing cell.
 MISSING = frozenset(["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"])
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -61,13 +63,37 @@ def _targets(archive: zipfile.ZipFile, rels: str, base: str) -> dict[str, str]:
     return {r.get("Id", ""): (t[1:] if (t := r.get("Target", "")).startswith("/") else f"{base}/{t}") for r in _tree(archive, rels)}
 
 
+# Numbers of the built-in formats that show dates or times.
+_DATES = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _date_styles(archive: zipfile.ZipFile) -> set[int]:
+    """The cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in archive.namelist():
+        return set()
+    root = _tree(archive, "xl/styles.xml")
+    own = {int(f.get("numFmtId", 0)): re.sub(r'"[^"]*"|\\.|\[[^\]hms]*\]', "", f.get("formatCode", "")) for f in root.iter(f"{_S}numFmt")}
+    dated = {k for k, code in own.items() if re.search(r"[ymdhs]", code, re.I)}
+    styles = root.find(f"{_S}cellXfs")
+    return {k for k, x in enumerate(styles if styles is not None else ()) if (n := int(x.get("numFmtId", 0))) in dated or (n in _DATES and n not in own)}
+
+
+def _date(serial: float, epoch: datetime) -> str:
+    at = epoch + timedelta(seconds=round(serial * 86400))
+    return str(at.time()) if 0 <= serial < 1 else str(at)
+
+
 def decode_xlsx(content: bytes, name: str) -> Decoded:
-    """Every sheet in workbook order; whole numbers without a fraction, missing cells as null."""
+    """Every sheet in workbook order; whole numbers without a fraction, dates and times as ISO text,
+    missing cells as null."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in _tree(z, "xl/sharedStrings.xml").iter(f"{_S}si")]
         paths = _targets(z, "xl/_rels/workbook.xml.rels", "xl")
+        dated = _date_styles(z)
+        settings = _tree(z, "xl/workbook.xml").find(f"{_S}workbookPr")
+        epoch = datetime(1904, 1, 1) if settings is not None and settings.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
         out = Decoded()
         for sheet in _tree(z, "xl/workbook.xml").iter(f"{_S}sheet"):
             grid: list[list[str | None]] = []
@@ -91,7 +117,7 @@ def decode_xlsx(content: bytes, name: str) -> Decoded:
                         value = "True" if v.text == "1" else "False"
                     else:
                         number = float(v.text)
-                        value = str(int(number)) if number.is_integer() else repr(number)
+                        value = _date(number, epoch) if int(c.get("s", 0)) in dated else str(int(number)) if number.is_integer() else repr(number)
                     cells.append(value.strip() if value is not None else None)
                 number = int(row.get("r", len(grid) + 1))
                 grid += [[] for _ in range(number - 1 - len(grid))]
@@ -104,12 +130,22 @@ def _paragraph(p: ElementTree.Element, ns: str) -> str:
     return "".join((n.text or "") if n.tag == f"{ns}t" else "\n" if n.tag == f"{ns}br" else "\t" if n.tag == f"{ns}tab" else "" for n in p.iter())
 
 
+def _content(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The parts of a body, with those of content controls."""
+    for part in node:
+        if part.tag == f"{_W}sdt":
+            inner = part.find(f"{_W}sdtContent")
+            yield from _content(inner) if inner is not None else ()
+        else:
+            yield part
+
+
 def decode_docx(content: bytes, name: str) -> Decoded:
     """Paragraphs and tables of the body in order; styles named Heading n or Title are headings."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         out = Decoded()
         body = _tree(z, "word/document.xml").find(f"{_W}body")
-        for node in body if body is not None else ():
+        for node in _content(body) if body is not None else ():
             if node.tag == f"{_W}p":
                 text = _paragraph(node, _W)
                 style = node.find(f"{_W}pPr/{_W}pStyle")
@@ -158,7 +194,10 @@ def decode_pptx(content: bytes, name: str) -> Decoded:
 
 
 def decode_pdf(content: bytes, name: str) -> Decoded:
-    raise NotImplementedError("no PDF decoder registered")
+    """Pages in order: larger or bold lines are headings, aligned rows tables, lines close together text."""
+    found, pages, title = pdf.elements(content)
+    named = title or next((e["text"] for e in found if e["kind"] == "heading"), None)
+    return Decoded(elements=found, page_count=pages, title=named)
 
 
 _REGISTERED: list[tuple[set[str], Decoder]] = [

@@ -8,7 +8,7 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as t
@@ -37,18 +37,9 @@ def canonical_uri(path: str) -> str:
     return Path(os.path.abspath(local)).as_uri()
 
 
-def changed(path: str, seen: float) -> str:
-    """The time of change as the shortest decimal of its seconds; a local file's own, to the full."""
-    if path.startswith("file:") or path.startswith("/"):
-        try:
-            return repr(os.stat(unquote(urlparse(path).path)).st_mtime)
-        except OSError:
-            pass
-    return repr(seen)
-
-
 def decode(files: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
-    """One row a file with its elements and sheets, or with the error that its decoder raised."""
+    """One row a file with its elements and sheets, or with the error that its decoder raised. Its identifier
+    is made of its address and the time of change that the scan found, wherever it is decoded."""
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(_DECODED)
@@ -61,7 +52,7 @@ def decode(files: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
             for f in batch.to_pylist():
                 name = unquote(f["path"].rsplit("/", 1)[-1])
                 kind = name.rsplit(".", 1)[-1].lower()
-                row = {"source_uri": canonical_uri(f["path"]), "mtime": changed(f["path"], f["modificationTime"].timestamp()), "file_type": kind, "elements": [], "sheets": []}
+                row = {"source_uri": canonical_uri(f["path"]), "mtime": repr(f["modificationTime"].timestamp()), "file_type": kind, "elements": [], "sheets": []}
                 try:
                     found = registry.find(kind)(bytes(f["content"]), name)
                     row |= {"title": found.title or name.rsplit(".", 1)[0], "page_count": found.page_count, "num_slides": found.num_slides}
@@ -91,9 +82,15 @@ def grids(decoded: DataFrame) -> DataFrame:
 def with_page_starts(items: DataFrame) -> DataFrame:
     """``is_page_start`` on the first text of each page; a text made a heading uses up its page's
     start without being one."""
-    said = F.col("kind") == "text"
-    first = F.row_number().over(Window.partitionBy("doc_id", "page", "kind").orderBy("seq")) == 1
-    return items.withColumn("is_page_start", F.coalesce("is_page_start", F.lit(False)) | (said & first & F.col("page").isNotNull()))
+    first = _is_first(items, F.col("kind") == "text")
+    return first.withColumn("is_page_start", F.coalesce("is_page_start", F.lit(False)) | F.col("_is_first")).select(*items.columns)
+
+
+def _is_first(items: DataFrame, among: Column) -> DataFrame:
+    """``items`` with ``_is_first``: the first of its page that ``among`` holds for. By partial minima, so a
+    document without pages isn't gathered."""
+    firsts = items.filter(among & F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.min("seq").alias("_first"))
+    return items.join(firsts, ["doc_id", "page"], "left").withColumn("_is_first", among & F.coalesce(F.col("seq") == F.col("_first"), F.lit(False)))
 
 
 def classify(label: Column, kind: Column) -> Column:
@@ -114,7 +111,6 @@ def normalize(items: DataFrame) -> DataFrame:
     headings have level 1 unless they say otherwise."""
     named = items.withColumn("kind", classify(F.col("label"), F.col("item"))).filter("kind is not null")
     # every text item that isn't a picture uses its page's start up, headings by label included
-    texts = F.col("item") == "text"
-    first = F.row_number().over(Window.partitionBy("doc_id", "page", "item").orderBy("seq")) == 1
+    firsts = _is_first(named, F.col("item") == "text").select(*named.columns, "_is_first")
     level = F.when(F.col("kind") == "heading", F.when(F.col("item") == "section_header", F.coalesce("level", F.lit(1))).otherwise(1))
-    return named.withColumns({"is_page_start": texts & first & (F.col("kind") == "text"), "level": level}).drop("item", "label")
+    return firsts.withColumns({"is_page_start": F.col("_is_first") & (F.col("kind") == "text"), "level": level}).drop("item", "label", "_is_first")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from foliospark.functions import folds
 
 
@@ -72,3 +74,13 @@ def test_carry_and_headings(spark):
     df = spark.createDataFrame([(c,) for c in cases], "h array<struct<l:int,x:string>>")
     for r in df.select("h", folds.heading_paths("h").alias("p")).collect():
         assert [list(p) for p in r["p"]] == paths([(h["l"], h["x"]) for h in r["h"]])
+
+
+def test_starts_like_groups(spark):
+    rng = random.Random(3)
+    lists = [[rng.randint(0, 9) for _ in range(rng.randint(0, 25))] for _ in range(60)]
+    df = spark.createDataFrame([(x,) for x in lists], "n array<bigint>").withColumn("s", folds.starts_before("n", 10))
+    for r in df.select("n", "s", folds.cut(F.col("n"), F.col("s")).alias("parts")).collect():
+        groups = before(r["n"], 10)
+        assert list(r["s"]) == [k + 1 for k, g in enumerate(groups) if not k or g != groups[k - 1]]
+        assert [x for part in r["parts"] for x in part] == list(r["n"]) and len(r["parts"]) == len(set(groups))

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from foliospark.operators import order
 from foliospark.operators.order import numbered, running_sum
 
 
@@ -18,3 +19,14 @@ def test_like_a_loop_over_stretches(spark):
             total += r["v"]
             assert (r["n"], r["s"]) == (n, total)
     assert len(got) == 500
+
+
+def test_neighbours_over_stretches(spark):
+    rng = random.Random(5)
+    rows = [(d, at, f"{d}{at}") for d in "ab" for at in rng.sample(range(3000), 40)]
+    df = spark.createDataFrame(rows, "d string, at int, x string")
+    got = order.with_neighbours(df, ["d"], "at", ["at"], F.col("x"), F.upper("x"), "p", "n", width=16).collect()
+    for d in "ab":
+        mine = sorted((r for r in got if r["d"] == d), key=lambda r: r["at"])
+        assert [r["p"] for r in mine] == [None, *[r["x"].upper() for r in mine[:-1]]]
+        assert [r["n"] for r in mine] == [*[r["x"] for r in mine[1:]], None]
