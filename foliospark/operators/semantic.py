@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings, provider_kind
+from foliospark.functions import folds
 from foliospark.operators import prose, providers
 from foliospark.workspace import materialize, shared_dir
 
@@ -22,6 +23,9 @@ def hashed(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
 
 
+hashed.native = True  # type: ignore[attr-defined]
+
+
 def hashed_vector(text: str) -> list[float]:
     return [b / 255 for b in hashlib.sha256(text.encode()).digest()[:16]]
 
@@ -73,18 +77,57 @@ def breaks(of: DataFrame, keys: list[str], order: str, kind: str = "percentile",
     return with_t.withColumn("cut", cut).withColumn("piece", F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0)))
 
 
+def array_breaks(d: Column, kind: str = "percentile", amount: float = 95.0) -> Column:
+    """``breaks`` within one row: where pieces begin, counted from 1, by the distances ``d`` from each
+    sentence to the next."""
+    many = F.size(d)
+    measured = d
+    if kind == "gradient":
+        at = lambda i: F.get(d, i)
+        measured = F.transform(d, lambda x, i: F.when((i > 0) & (i < many - 1), (at(i + 1) - at(i - 1)) / 2).when(i < many - 1, at(i + 1) - x).otherwise(x - at(i - 1)))
+
+    def percentile(p: float) -> Column:
+        ordered, at = F.array_sort(measured), (many - 1) * p
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        return F.when(low == high, F.get(ordered, low)).otherwise((high - at) * F.get(ordered, low) + (at - low) * F.get(ordered, high))
+
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    mean = total(measured) / many
+    if kind in ("percentile", "gradient"):
+        limit = percentile(amount / 100)
+    elif kind == "standard_deviation":
+        limit = mean + amount * F.sqrt(total(F.transform(measured, lambda v: (v - mean) * (v - mean))) / many)
+    elif kind == "interquartile":
+        limit = mean + amount * (percentile(0.75) - percentile(0.25))
+    else:
+        raise ValueError(f"unknown kind of threshold: {kind}")
+    cuts = F.filter(F.transform(measured, lambda v, i: F.when(v > limit, i + 2)), lambda i: i.isNotNull())
+    return F.when(many > 0, F.concat(F.array(F.lit(1)), cuts)).otherwise(F.array(F.lit(1)))
+
+
 def splitter(embed: Embedder, window: int = 1, cache: str | None = None) -> prose.Splitter:
     """A splitter for prose: each sentence is embedded together with its neighbours. Vectors are taken
-    from the table at ``cache`` where it has them, and new ones appended to it."""
+    from the table at ``cache`` where it has them, and new ones appended to it.
+
+    A parent's sentences are an array throughout; only models that aren't native see them as rows.
+    """
 
     def split(parents: DataFrame, cfg: Settings) -> DataFrame:
-        said = parents.select("parent_id", F.posexplode(prose.sentences(F.col("text"))).alias("at", "sentence"))
-        near = Window.partitionBy("parent_id").orderBy("at").rowsBetween(-window, window)
-        windows = said.withColumn("near", F.array_join(F.collect_list("sentence").over(near), " "))
-        vectors = windows.withColumn("vector", embed(F.col("near"))) if cache is None else _from_cache(windows, cache, embed)
-        apart = breaks(distances(vectors, ["parent_id"], "at", "vector"), ["parent_id"], "at", cfg.breakpoint_threshold_type, cfg.breakpoint_threshold_amount)
-        joined = said.join(apart.select("parent_id", "at", "piece"), ["parent_id", "at"]).groupBy("parent_id", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("s"))
-        return joined.select("parent_id", F.col("piece").cast("int").alias("at"), F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("text"))
+        said = parents.select("parent_id", prose.sentences(F.col("text")).alias("sentences")).filter(F.size("sentences") > 0)
+        low = lambda i: F.greatest(i - window, F.lit(0))
+        near = F.transform("sentences", lambda x, i: F.array_join(F.slice("sentences", low(i) + 1, i - low(i) + window + 1), " "))
+        if getattr(embed, "native", False) and cache is None:
+            whole = said.withColumn("vectors", F.transform(near, embed))
+        else:
+            each = said.select("parent_id", F.posexplode(F.arrays_zip(F.col("sentences").alias("sentence"), near.alias("near"))).alias("at", "x")).select("parent_id", "at", "x.sentence", "x.near")
+            rows = each.withColumn("vector", embed(F.col("near"))) if cache is None else _from_cache(each, cache, embed)
+            whole = rows.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("at", "sentence", "vector"))).alias("v"))
+            whole = whole.select("parent_id", F.transform("v", lambda x: x["sentence"]).alias("sentences"), F.transform("v", lambda x: x["vector"]).alias("vectors"))
+        rest = F.size("vectors") - 1
+        apart = whole.withColumn("d", F.zip_with(F.slice("vectors", 1, rest), F.slice("vectors", 2, rest), cosine_distance))
+        starts = apart.withColumn("starts", array_breaks(F.col("d"), cfg.breakpoint_threshold_type, cfg.breakpoint_threshold_amount))
+        pieces = F.transform(folds.cut(F.col("sentences"), F.col("starts")), lambda x: F.array_join(x, " "))
+        return starts.select("parent_id", F.posexplode(pieces).alias("at", "text"))
 
     return split
 
