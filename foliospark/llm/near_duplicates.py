@@ -304,9 +304,11 @@ def _meetings(reps: DataFrame, hot: DataFrame, heavy: _Heavy, how: Similarity) -
                 out += sides[0] @ sides[1].T
             return out
 
-        kept = (tally(entries) >= how.matches) & (tally([[e for e in h if e < entry] for h in hots]) == 0)
+        kept = tally([[e for e in h if e < entry] for h in hots]) == 0
         p, q = sizes[left][:, None], sizes[right][None, :]
         kept &= np.minimum(p, q) >= how.threshold * np.maximum(p, q)
+        if kept.any():  # in a family of much the same sets nearly all pairs come from one entry
+            kept &= tally(entries) >= how.matches
         a, b = np.nonzero(kept)
         a, b = keys[left[a]], keys[right[b]]
         different = a < b if i == j else a != b
