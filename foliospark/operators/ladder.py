@@ -42,7 +42,11 @@ def strategy(of: DataFrame, cfg: Settings = Settings(), inferred: Column | None
 def is_candidate(line: Column, page_start: Column, longest: int) -> Column:
     """Whether a line may be a heading: short, and not closed like a sentence unless numbered or at
     the start of a page."""
-    x = t.strip(line)
+    return _is_candidate(t.strip(line), page_start, longest)
+
+
+def _is_candidate(x: Column, page_start: Column, longest: int) -> Column:
+    """The same of a line without white space at its ends."""
     return (x != "") & (F.length(x) <= longest) & (~x.rlike(CLOSING) | x.rlike(NUMBERED) | F.coalesce(page_start, F.lit(False)))
 
 
@@ -59,7 +63,7 @@ def candidates(elements: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     ))
     lines = said.select("doc_id", "seq", "page", "is_page_start", F.inline(beside))
     start = F.coalesce("is_page_start", F.lit(False)) & (F.col("line") == 0)
-    kept = lines.filter(is_candidate(F.col("text"), start, cfg.max_heading_chars))
+    kept = lines.filter(_is_candidate(F.col("text"), start, cfg.max_heading_chars))
     kept = numbered(kept, ["doc_id"], "seq", ["seq", "line"], "_no")
     return kept.select("doc_id", F.concat(F.lit("L"), F.col("_no").cast("string")).alias("line_id"), "seq", "line", "text", "page", "before", "after")
 

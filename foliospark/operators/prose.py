@@ -150,7 +150,7 @@ def table_pieces(tables: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     large = sized.filter(~fits).withColumns({"head": head, "body": F.slice("rows", 2, F.size("rows") - 1), "_headsize": t.token_count(line(F.col("rows")[0])) + width + width + 1})
     large = large.withColumn("room", F.lit(cfg.max_child_tokens) - F.col("_headsize")).withColumn("sizes", tokens.counts(F.transform("body", line))).withColumn("starts", folds.starts_before("sizes", "room"))
     grids = F.when(F.size("starts") > 0, folds.cut(F.col("body"), F.col("starts"))).otherwise(F.array(F.col("body")))  # a header alone is one piece
-    each = large.withColumn("grids", grids).select("table_id", "caption", "head", F.size("grids").alias("parts"), F.posexplode("grids").alias("part", "mine"))
+    each = large.select("table_id", "caption", "head", F.greatest(F.size("starts"), F.lit(1)).alias("parts"), F.posexplode(grids).alias("part", "mine"))
     text = t.table_text(F.col("caption"), t.grid_to_markdown(F.concat(F.col("head"), F.col("mine"))))
     return whole.unionByName(each.select("table_id", "part", "parts", F.lit(True).alias("split"), text.alias("text")))
 

@@ -54,9 +54,9 @@ def from_table(df: DataFrame, name: str, order: str, cells: dict[str, Column], d
     offsets = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
     rows = ranged.withColumn("_i", F.row_number().over(inside) - 1).join(F.broadcast(offsets.drop("_n")), "_p")
     rows = materialize(rows.withColumns(key).select(*KEY, (F.col("_before") + F.col("_i")).cast("int").alias("row_idx"), "cells"), "sheet-rows")
-    spark = df.sparkSession
-    heads = spark.range(1).select(*[c.alias(n) for n, c in key.items()], F.array(*map(F.lit, cells)).alias("columns"), F.lit(True).alias("has_header"))
-    return rows, materialize(heads, "sheet-heads")  # keys as columns: joins on literals would be nested loops
+    # a row of values, not literals, and rows read back: joins on literals would be nested loops
+    heads = df.sparkSession.createDataFrame([(doc or name, 0, name, list(cells), True)], "doc_id string, sheet_idx int, sheet_name string, columns array<string>, has_header boolean")
+    return rows, heads
 
 
 def cut(rows: DataFrame, heads: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
