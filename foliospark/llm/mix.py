@@ -7,8 +7,8 @@ uses come before repeats everywhere; a source takes its quota at most, and from
 
 The network has a node for each pattern and source, not for records. Of patterns there may be up to
 ``2 ** sources``; the ``most_patterns`` largest are nodes of their own, and records of smaller ones count
-for one of their sources only, the one that has least text for its share. Nothing is left out by that;
-only the choice of a source for those records is made before the flow.
+for one of their sources only, drawn by the target shares. Nothing is left out by that; only the choice
+of a source for those records is made before the flow.
 """
 
 from __future__ import annotations
@@ -72,13 +72,17 @@ def min_cost_flow(capacity: dict[Pattern, int], quota: dict[str, int], repeats:
     return {k: edges[e + 1][2] for k, e in arcs.items() if edges[e + 1][2]}
 
 
-def _narrowed(sized: DataFrame, per: DataFrame, wanted: dict[str, tuple[float, int]], most: int) -> DataFrame:
-    """``sized`` with patterns beyond the ``most`` largest made one of their sources, the scarcest."""
+def _narrowed(sized: DataFrame, per: DataFrame, wanted: dict[str, tuple[float, int]], most: int, seed: int) -> DataFrame:
+    """``sized`` with each record of a pattern beyond the ``most`` largest made one of one of its sources,
+    drawn by their target shares."""
     kept = per.orderBy(F.col("size").desc(), "pattern").limit(most).select("pattern", F.lit(True).alias("_kept"))
-    supply = {r["source"]: r["size"] for r in per.select(F.explode("pattern").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    need = sorted(supply, key=lambda s: (-wanted[s][0] / supply[s], s))
-    scarcest = F.slice(F.array_intersect(F.array(*map(F.lit, need)), F.col("pattern")), 1, 1)
-    return sized.join(F.broadcast(kept), "pattern", "left").withColumn("pattern", F.when(F.col("_kept"), F.col("pattern")).otherwise(scarcest)).drop("_kept")
+    shares = F.create_map(*[F.lit(x) for s, (share, _) in wanted.items() for x in (s, float(share))])
+    total = F.aggregate("pattern", F.lit(0.0), lambda n, s: n + shares[s])
+    at = F.pmod(F.xxhash64(F.lit(seed), "key", F.lit("source")), F.lit(1 << 31)) / (1 << 31) * total
+    none = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("string").alias("s"))
+    step = lambda a, s: F.when(a["s"].isNotNull(), a).otherwise(F.struct((a["upto"] + shares[s]).alias("upto"), F.when(a["upto"] + shares[s] > at, s).alias("s")))
+    one = F.array(F.coalesce(F.aggregate("pattern", none, step, lambda a: a["s"]), F.element_at("pattern", 1)))
+    return sized.join(F.broadcast(kept), "pattern", "left").withColumn("pattern", F.when(F.col("_kept"), F.col("pattern")).otherwise(one)).drop("_kept")
 
 
 def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 13, most_patterns: int = 4096, bucket_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +111,7 @@ def mix(records: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     sized = sized.withColumn("bucket", F.pmod(F.shiftright("draw", 20), F.lit(buckets)).cast("int"))
     per = materialize(sized.groupBy("pattern").agg(F.sum("n").alias("size")), "mix-patterns")
     if per.count() > most_patterns:
-        sized = _narrowed(sized, per, wanted, most_patterns)
+        sized = _narrowed(sized, per, wanted, most_patterns, seed)
     sums = sized.groupBy("pattern", "bucket").agg(F.sum("n").alias("size"))
     have = {tuple(r["pattern"]): r["size"] for r in sums.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}  # most_patterns and sources at most
     total = sum(have.values()) if total_tokens is None else total_tokens
