@@ -651,16 +651,41 @@ n1 as (select doc_id, count(*) as n from up group by doc_id)
 """
 
 
-@query(
-    f"""with recursive {_PROSE_CHUNKS}
+_PROSE_ROWS = """
     select doc_id, 'parent' as role, 'text' as block_type, root_id as chunk_id, null as parent_id, cast(0 as integer) as chunk_seq, sha256(text) as text_hash from ro
     union all select doc_id, 'parent', 'text', chunk_id, null, cast(ordinal + (doc_id in (select doc_id from ro))::integer as integer), sha256(text) from up
     union all select doc_id, 'child', case when tab then 'table' else 'text' end, substr(sha256(concat_ws(chr(31), doc_id, path, 'child', cast(ordinal as varchar), text)), 1, 16), parent_id,
       cast(ordinal + (doc_id in (select doc_id from ro))::integer + coalesce(n1.n, 0) as integer), sha256(text) from dn left join n1 using (doc_id)"""
-)
+# sentences joined where windows around them stay near each other: 16 bytes of a hash stand for a model's vector
+_BY_SENTENCE = "se as (select chunk_id as pid, unnest(x) as text, generate_subscripts(x, 1) as pos from (select chunk_id, "
+_BY_MEANING = """
+sx as (select chunk_id as pid, x, unnest(range(1, len(x) + 1)) as i from (select chunk_id, {split}),
+sv as (select pid, i, x[i] as s, list_transform(range(16), lambda k: ((strpos('0123456789abcdef', h[k * 2 + 1]) - 1) * 16 + strpos('0123456789abcdef', h[k * 2 + 2]) - 1) / 255) as v
+  from (select *, sha256(array_to_string(x[greatest(i - 1, 1):i + 1], ' ')) as h from sx)),
+sl as (select *, lead(v) over (partition by pid order by i) as b from sv),
+sd as (select pid, i, s, case when b is not null then 1 - list_sum(list_transform(list_zip(v, b), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(v, lambda z: z * z)) * list_sum(list_transform(b, lambda z: z * z))) end as d from sl),
+sq as (select pid, quantile_cont(d, 0.95) as th from sd group by pid),
+sb as (select pid, i, s, coalesce(sum(cast(coalesce(d > th, false) as integer)) over (partition by pid order by i rows between unbounded preceding and 1 preceding), 0) as piece from sd join sq using (pid)),
+se as (select pid, string_agg(s, ' ' order by i) as text, piece + 1 as pos from sb group by pid, piece),
+"""
+
+
+def _by_meaning(ctes: str) -> str:
+    head, rest = ctes.split(_BY_SENTENCE)
+    split, rest = rest.split("),\n", 1)
+    return head + _BY_MEANING.format(split=split).lstrip("\n") + rest
+
+
+@query(f"with recursive {_PROSE_CHUNKS} {_PROSE_ROWS}")
 def prose_size_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The prose chunker over all sections and tables, splitting by sentences and size."""
-    return _prose(spark, d, prose.by_size).select("doc_id", "role", "block_type", "chunk_id", "parent_id", "chunk_seq", F.sha2("text", 256).alias("text_hash"))
+    return _prose(spark, d, prose.by_size)
+
+
+@query(f"with recursive {_by_meaning(_PROSE_CHUNKS)} {_PROSE_ROWS}")
+def prose_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The prose chunker over all sections, with hashed sentence vectors in place of a model."""
+    return _prose(spark, d, semantic.splitter(semantic.hashed))
 
 
 # --- slides ------------------------------------------------------------------------------------------
@@ -734,17 +759,12 @@ def embed_cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return semantic.cached(table(spark, d, "chunks").filter("role = 'child'").select("text"), cache, semantic.hashed)[1].select("hash")
 
 
-@query()
-def prose_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The prose chunker over all sections, with hashed sentence vectors in place of a model."""
-    return _prose(spark, d, semantic.splitter(semantic.hashed))
-
-
 def _prose(spark: SparkSession, d: str, splitter: prose.Splitter) -> DataFrame:
     docs = table(spark, d, "docs").filter("file_type in ('pdf', 'docx')").select("doc_id", "title").dropDuplicates(["doc_id"])
     own = lambda name, key: table(spark, d, name).dropDuplicates([key]).join(docs.select("doc_id"), "doc_id", "left_semi")
     tabs = own("table_blocks", "table_id").withColumnRenamed("table_rows", "rows").drop("section_path")
-    return prose.chunks(docs, own("sections", "section_id"), own("blocks", "block_id"), tabs, splitter)
+    chunks = prose.chunks(docs, own("sections", "section_id"), own("blocks", "block_id"), tabs, splitter)
+    return chunks.select("doc_id", "role", "block_type", "chunk_id", "parent_id", "chunk_seq", F.sha2("text", 256).alias("text_hash"))
 
 
 # --- results, jobs ------------------------------------------------------------------------------------
