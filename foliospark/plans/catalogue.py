@@ -194,7 +194,34 @@ def cut_row_batches(spark: SparkSession, d: str) -> DataFrame:
     return sheets.batches(*_cut_sheets(spark, d)).select("sheet_name", "batch", "first_row", "last_row", F.sha2("lines", 256).alias("lines_hash"))
 
 
-@query()
+_CUT_TYPES = {"name": "object", "mktsegment": "object", "brand": "object", "type": "object", "acctbal": "float64", "retailprice": "float64"}
+
+
+def _cut_head(name: str, columns: tuple[str, ...]) -> str:
+    kinds = ", ".join(f"{c}={_CUT_TYPES.get(c.split('_')[1], 'int64')}" for c in columns)
+    return f"select '{name}' as doc_id, '{', '.join(columns)}' as cols, '{kinds}' as kinds"
+
+
+@query(
+    f"""with recursive every as ({" union all ".join(_cut_lines(n, c) for n, c in _CUT.items())}), named as ({" union all ".join(_cut_head(n, c) for n, c in _CUT.items())}),
+    sized as (select doc_id, cast(i // 5000 as integer) as sheet, doc_id || '-' || (i // 5000 + 1) as sheet_name, cast(i % 5000 as integer) as row_idx, line, {_tokens("line")} as n from every),
+    walk as (
+      select sheet_name, row_idx, 0 as g, case when n >= 400 then 0 else 1 end as k, case when n >= 400 then 0 else n end as tk, case when n >= 400 then 1 else 0 end as ng from sized where row_idx = 0
+      union all
+      select s.sheet_name, s.row_idx, w.ng, case when w.k + 1 >= 10 or w.tk + s.n >= 400 then 0 else w.k + 1 end, case when w.k + 1 >= 10 or w.tk + s.n >= 400 then 0 else w.tk + s.n end,
+        w.ng + case when w.k + 1 >= 10 or w.tk + s.n >= 400 then 1 else 0 end
+      from walk w join sized s on s.sheet_name = w.sheet_name and s.row_idx = w.row_idx + 1
+    ),
+    heads as (select doc_id, sheet, sheet_name, 'Sheet: ' || sheet_name || chr(10) || 'Columns: ' || any_value(cols) || chr(10) || 'Rows: ' || count(*) || chr(10) || 'Dtypes: ' || any_value(kinds) || chr(10)
+      || 'Sample:' || chr(10) || string_agg(line, chr(10) order by row_idx) filter (row_idx < 3) as text from sized join named using (doc_id) group by doc_id, sheet, sheet_name),
+    up as (select *, substr(sha256(concat_ws(chr(31), doc_id, sheet_name, 'parent', cast(row_number() over (partition by doc_id order by sheet) - 1 as varchar), text)), 1, 16) as id from heads),
+    batch as (select doc_id, sheet, sheet_name, g, min(row_idx) as first_row, max(row_idx) as last_row, 'Sheet: ' || sheet_name || chr(10) || string_agg(line, chr(10) order by row_idx) as text
+      from walk join sized using (sheet_name, row_idx) group by doc_id, sheet, sheet_name, g),
+    down as (select b.*, row_number() over (partition by b.doc_id order by b.sheet, g) - 1 as o, id as parent_id from batch b join up using (sheet_name)),
+    both_ as (select doc_id, sheet, -1 as g, id as chunk_id, cast(null as varchar) as parent_id, 'parent' as role, sheet_name, cast(null as integer) as first_row, cast(null as integer) as last_row, text from up
+      union all select doc_id, sheet, g, substr(sha256(concat_ws(chr(31), doc_id, sheet_name, 'child', cast(o as varchar), text)), 1, 16), parent_id, 'child', sheet_name, first_row, last_row, text from down)
+    select chunk_id, parent_id, role, sheet_name, first_row, last_row, {_tokens("text")} as token_count, sha256(text) as text_hash, cast(row_number() over (partition by doc_id order by sheet, g) - 1 as integer) as chunk_seq from both_"""
+)
 def cut_row_chunks(spark: SparkSession, d: str) -> DataFrame:
     return sheets.chunks(*_cut_sheets(spark, d)).select(
         "chunk_id", "parent_id", "role", "sheet_name", F.get("row_range", F.lit(0)).alias("first_row"), F.get("row_range", F.lit(1)).alias("last_row"), "token_count", F.sha2("text", 256).alias("text_hash"), "chunk_seq"
