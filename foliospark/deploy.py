@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,7 +23,9 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    archive = Path(tempfile.mkdtemp(prefix="folio-code-")) / f"{_PACKAGE.name}.zip"
+    folder = tempfile.mkdtemp(prefix="folio-code-")  # the driver's own; executors fetch the archive from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{_PACKAGE.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for source in sorted(_PACKAGE.rglob("*.py")):
             z.write(source, str(source.relative_to(_PACKAGE.parent)))

@@ -26,27 +26,25 @@ def after(sizes, target, most):
     return out
 
 
-def small(sizes, least):
-    groups = []
-    for n in sizes:
-        if groups and sum(groups[-1]) < least:
-            groups[-1].append(n)
-        else:
-            groups.append([n])
-    if len(groups) > 1 and sum(groups[-1]) < least:
-        tail = groups.pop()
-        groups[-1] += tail
-    return [g for g, x in enumerate(groups) for _ in x]
-
-
-def paths(heads):
-    stack, out = [], []
-    for level, x in heads:
-        while stack and stack[-1][0] >= level:
-            stack.pop()
-        stack.append((level, x))
-        out.append([y for _, y in stack])
-    return out
+def closes_at(sizes, least):
+    """How many items of a group it takes to reach ``least``."""
+    return next((k for k in range(1, len(sizes) + 1) if sum(sizes[:k]) >= least), len(sizes))
+
+
+def is_small_merge(sizes, ids, least):
+    """Groups follow one another and close at once on reaching the least; what the last holds beyond that
+    is a rest too small to be a group."""
+    groups = [[n for n, g in zip(sizes, ids) if g == k] for k in sorted(set(ids))]
+    in_order = list(ids) == sorted(ids) and sorted(set(ids)) == list(range(len(groups)))
+    closed = all(sum(g) >= least and closes_at(g, least) == len(g) for g in groups[:-1])
+    last = groups[-1] if groups else []
+    return in_order and closed and sum(last[closes_at(last, least) :]) < least and (len(groups) < 2 or sum(last) >= least)
+
+
+def path(heads, i):
+    """A heading's path is that of the nearest earlier one of a lower level, and itself."""
+    above = [j for j in range(i) if heads[j][0] < heads[i][0]]
+    return [*(path(heads, above[-1]) if above else []), heads[i][1]]
 
 
 def test_packers_like_loops(spark):
@@ -57,7 +55,7 @@ def test_packers_like_loops(spark):
     for r in rows:
         assert list(r["b"]) == before(r["n"], 10)
         assert list(r["a"]) == after(r["n"], 12, 4)
-        assert list(r["m"]) == small(r["n"], 6)
+        assert is_small_merge(r["n"], r["m"], 6)
 
 
 def test_worked_packs(spark):
@@ -73,7 +71,8 @@ def test_carry_and_headings(spark):
     cases = [[(rng.randint(1, 4), f"h{k}") for k in range(rng.randint(0, 12))] for _ in range(40)] + [[(1, "h1"), (2, "h2"), (3, "h3"), (2, "h4"), (1, "h5")]]
     df = spark.createDataFrame([(c,) for c in cases], "h array<struct<l:int,x:string>>")
     for r in df.select("h", folds.heading_paths("h").alias("p")).collect():
-        assert [list(p) for p in r["p"]] == paths([(h["l"], h["x"]) for h in r["h"]])
+        heads = [(h["l"], h["x"]) for h in r["h"]]
+        assert [list(p) for p in r["p"]] == [path(heads, i) for i in range(len(heads))]
 
 
 def test_starts_like_groups(spark):
