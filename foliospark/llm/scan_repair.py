@@ -117,6 +117,7 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.found: dict[str, tuple[int, list[str]]] = {}
         self._links: dict[str, list[str]] = {}
+        self._inverse: np.ndarray | None = None
         self.tokens: dict[str, _Token] = {}
         self.plain: set[str] = set()
         self.leads = {w[:k] for w in self.counts for k, c in enumerate(w) if c == "-"}
@@ -166,7 +167,9 @@ class Lexicon:
         """The vector of a word that meets the context words ``at`` ``n`` times each."""
         among = self.contexts[: len(self.met)]
         shifted = np.maximum(np.log(n / n.sum() * self.met.sum() / np.maximum(self.met[at], 1)) - np.log(negatives), 0)
-        return (shifted @ among[at]) @ np.linalg.pinv(among.T @ among)
+        if self._inverse is None:
+            self._inverse = np.linalg.pinv(among.T @ among)
+        return (shifted @ among[at]) @ self._inverse
 
     def near(self, vector: np.ndarray, n: int, word: str, word_n: int, told: np.ndarray | None = None) -> bool:
         """Whether a word of that ``vector``, met ``n`` times, is near enough to ``word`` to be it misread.
