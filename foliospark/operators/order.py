@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WIDTH = 4096
 
 
-def running_sum(df: DataFrame, keys: list[str], place: str, order: list[Column | str], value: Column, out: str, width: int = WIDTH) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` up to and with the row. ``place`` is the whole number
+def running_sum(df: DataFrame, keys: list[str], place: str, order: list[Column | str], value: Column, out: str, width: int = WIDTH, kind: str = "int") -> DataFrame:
+    """``df`` with ``out``, of type ``kind``: the sum of ``value`` up to and with the row. ``place`` is the whole number
     that stretches are cut by; ``order`` starts with it. Null places come last."""
     stretch = F.coalesce(F.floor(F.col(place) / width), F.lit(2**40))
     cut = df.withColumns({"_stretch": stretch, "_value": value})
@@ -21,7 +21,7 @@ def running_sum(df: DataFrame, keys: list[str], place: str, order: list[Column |
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch")) - F.col("_sum")).drop("_sum")
     inside = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     added = cut.withColumn("_inside", F.sum("_value").over(inside)).join(before, [*keys, "_stretch"])
-    return added.withColumn(out, (F.col("_before") + F.col("_inside")).cast("int")).drop("_stretch", "_value", "_before", "_inside")
+    return added.withColumn(out, (F.col("_before") + F.col("_inside")).cast(kind)).drop("_stretch", "_value", "_before", "_inside")
 
 
 def with_neighbours(df: DataFrame, keys: list[str], place: str, order: list[Column | str], first: Column, last: Column, before: str, after: str, width: int = WIDTH) -> DataFrame:
