@@ -30,7 +30,6 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = re.compile(f"[^{WHITE}]+")
 _ITEM = re.compile(r"(?:[-*+•◦▪‣☐☑✓–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])$")
 _HEADING = re.compile(r"(?:(#{1,6})\s|(\d+(?:\.\d+)+)\.?\s+\S|<h([1-6])[\s>])")
-_INDENT = re.compile(r"[ \t]*")
 _TAG = re.compile(r"<(/?)(section|article|div|table|tbody|thead|tr|td|th|ul|ol|dl|li|p|pre|blockquote)\b[^>]*?(/?)>", re.I)
 # Ranks of boundaries: a higher one is a boundary higher in the tree.
 _HEAD, _MARKUP, _PARAGRAPH, _LISTED, _LINE, _SENTENCE, _CLAUSE = 100, 90, 50, 48, 20, 10, 5
@@ -319,7 +318,7 @@ def blocks_to_split(blocks: DataFrame, limits: DataFrame, kind: str = "section")
     large = oversized(total, limits)
     width = F.col("max_tokens") * _SPAN
     order = [F.col("place").asc_nulls_last(), "block_id"]
-    placed = running_sum(sized.join(large, "item_id"), ["item_id"], "place", order, F.col("tokens"), "upto")
+    placed = running_sum(sized.join(large, "item_id"), ["item_id"], "place", order, F.col("tokens"), "upto", kind="bigint")
     placed = materialize(placed.withColumn("span", F.floor((F.col("upto") - F.col("tokens")) / width).cast("int")), "split-places")
     starts = placed.groupBy("item_id", "span").agg(F.min(F.col("upto") - F.col("tokens")).alias("start"))
     ahead = F.array_distinct(F.array(F.floor(F.col("upto") / width).cast("int"), F.floor((F.col("upto") + F.coalesce("overlap_tokens", F.lit(0))) / width).cast("int")))
